@@ -43,7 +43,7 @@ def to_stamp(text: Column | str, fmt: str = US_STAMP, strict: bool = False) -> C
     hour inside a daylight-saving gap keeps its wall-clock value.
     """
     t = _c(text)
-    parsed = F.to_timestamp(t, F.lit(fmt)) if strict else F.try_to_timestamp(t, F.lit(fmt))
+    parsed = F.to_timestamp(t, fmt) if strict else F.try_to_timestamp(t, F.lit(fmt))
     return parsed.cast("timestamp_ntz")
 
 

@@ -86,15 +86,27 @@ def partials(fs: FactSet, keys: Keys, *, with_id: bool = False) -> DataFrame:
     return fs.facts.select(*cols).where(non_null(key_names)).groupBy(*grain).agg(*_measures(fs.scale))
 
 
+def attach_names(part: DataFrame, names: DataFrame) -> DataFrame:
+    """Left join of the names dimension to an aggregate on ``id``.
+
+    An id without a name gets a NULL name and leaves the entity grouping, as
+    a NULL station name does in the reports. The join is written null-safe so
+    the optimizer does not push an ``id IS NOT NULL`` filter into the
+    aggregate below it: the aggregate then stays identical to the one the
+    all-rows totals are taken from, and Spark plans its shuffle once and
+    reuses it (``ReusedExchange``) instead of scanning the facts twice."""
+    p, n = part.alias("_p"), names.where(F.col("id").isNotNull()).alias("_n")
+    joined = p.join(n, F.col("_p.id").eqNullSafe(F.col("_n.id")), "left")
+    return joined.select("_p.*", F.col("_n.entity"))
+
+
 def by_entity(fs: FactSet, part: DataFrame, keys: Iterable[str], *, with_id: bool = False) -> DataFrame:
     """Re-aggregate partials to (keys, [id], entity), names attached, NULL
     names dropped. With a dimension this joins ``names`` to the aggregate,
     never to the raw facts."""
     keys = list(keys)
     if not fs.inline:
-        # Left join: an id without a name gets a NULL name and leaves the
-        # entity grouping, as a NULL station name does in the reports.
-        part = part.join(fs.names, "id", "left")
+        part = attach_names(part, fs.names)
     grain = keys + (["id"] if with_id else []) + ["entity"]
     nn = non_null(["entity"] + (["id"] if with_id else []))
     if fs.inline and ("id" in part.columns) == with_id:

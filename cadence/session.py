@@ -30,7 +30,11 @@ def build_session(
     ``shuffle_partitions`` should be about the core count in local runs; on a
     cluster leave it unset and let AQE coalesce from the cluster default.
     """
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+    )
     if master:
         builder = builder.master(master)
     for key, value in SESSION_DEFAULTS.items():
