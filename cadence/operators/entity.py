@@ -59,6 +59,7 @@ def distinct_months(df: DataFrame, ts: str = "ts") -> DataFrame:
         df.where(F.col(ts).isNotNull())
         .select(F.year(ts).alias("year"), F.month(ts).alias("month"))
         .dropDuplicates(["year", "month"])
+        .orderBy("year", "month")
     )
 
 

@@ -65,26 +65,36 @@ def rank_aligned(
 ) -> DataFrame:
     """Pair two ranked lists position by position (rank 1 with rank 1 ...).
 
-    ``top`` holds both lists, told apart by ``side`` = a or b. This is how the
-    reports' charts pair bars; each side keeps its own names."""
-    cols = list(cols)
-    left = top.where(F.col(side) == a).select(rank, *[F.col(c).alias(f"{c}_a") for c in cols])
-    right = top.where(F.col(side) == b).select(rank, *[F.col(c).alias(f"{c}_b") for c in cols])
-    return left.join(right, rank, "full_outer")
+    ``top`` holds both lists, told apart by ``side`` = a or b; each side keeps
+    its own names, as the reports' bar charts pair them. One conditional
+    aggregate by rank (each (side, rank) has one row), no self-join."""
+    cells = [
+        F.max(F.when(F.col(side) == val, F.col(c))).alias(f"{c}_{tag}")
+        for tag, val in (("a", a), ("b", b))
+        for c in cols
+    ]
+    return top.groupBy(rank).agg(*cells)
 
 
 def entity_aligned(
-    top_a: DataFrame,
-    all_b: DataFrame,
+    long: DataFrame,
+    side: str,
+    a,
+    b,
+    n: int,
+    s: str = "s",
     on: str = "entity",
-    value: str = "total",
-    missing: Column | None = None,
 ) -> DataFrame:
-    """The entities of list ``a`` with their value in ``a`` and in ``b``
-    (``missing`` -- by default 0 -- where ``b`` has no row for them)."""
-    missing = F.lit(0.0) if missing is None else missing
-    left = top_a.select(on, F.col(value).alias(f"{value}_a"))
-    right = all_b.select(on, F.col(value).alias(f"{value}_b"))
-    return left.join(right, on, "left").withColumn(
-        f"{value}_b", F.coalesce(F.col(f"{value}_b"), missing)
+    """The top-n entities of side ``a`` with their totals on both sides.
+
+    ``long`` holds partial sums per (side, entity). One conditional aggregate
+    per entity gives both totals (0 where a side has no rows), then a global
+    top-n (a bounded heap per task) keeps the entities that have rows on side
+    ``a`` -- no join between the two sides."""
+    wide = long.groupBy(on).agg(
+        F.max(F.when(F.col(side) == a, F.lit(True))).alias("_in_a"),
+        F.coalesce(F.sum(F.when(F.col(side) == a, F.col(s))).cast("double"), F.lit(0.0)).alias("total_a"),
+        F.coalesce(F.sum(F.when(F.col(side) == b, F.col(s))).cast("double"), F.lit(0.0)).alias("total_b"),
     )
+    top = wide.where(F.col("_in_a")).orderBy(F.col("total_a").desc(), F.col(on).asc()).limit(n)
+    return top.select(on, "total_a", "total_b")

@@ -33,7 +33,7 @@ from cadence.operators import entity as ent
 from cadence.operators.quality import quality_counts, rows_per_year
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
-from cadence.sinks.writers import run_folder, write_bundle
+from cadence.plans.bundles import write_report, yearly_report
 from cadence.sources.files import read_profile
 from cadence.sources.tables import (
     events_dirty,
@@ -57,6 +57,7 @@ EXTRACT_IDS = [10, 20]               # entity ids of the range extract
 RANGE_START, RANGE_END = "1996-01-01 00:00:00", "1997-12-31 23:59:59"
 PAGE_OFFSET, PAGE_SIZE = 200, 100
 SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
+OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
 SERIES_YEAR, SERIES_MONTH = 2024, 1
 PROFILE_YEAR = 2024
 
@@ -307,10 +308,11 @@ def merge_partials(spark, sf_dir):
 def outer_add(spark, sf_dir):
     """Hour sums of two slices with different hours, full-outer added."""
     fs = events_hourly(spark, sf_dir)
-    in_b = (F.hour("ts") >= 12) & (F.dayofmonth("ts") > 15)
+    # slice a: the first half day (hours 0-11 only), slice b: everything later
+    cut = F.lit(OUTER_ADD_CUT).cast("timestamp_ntz")
     keys = {"hour": F.hour("ts")}
-    a = agg.key_sums(fs.where(~in_b), keys)
-    b = agg.key_sums(fs.where(in_b), keys)
+    a = agg.key_sums(fs.where(F.col("ts") < cut), keys)
+    b = agg.key_sums(fs.where(F.col("ts") >= cut), keys)
     added = agg.outer_add(a, b, ["hour"], "s")
     return added.select("hour", agg.total_of("s").alias("total"))
 
@@ -380,21 +382,18 @@ def append_pages(spark, sf_dir):
 
 @query("report_bundle")
 def report_bundle(spark, sf_dir):
-    """Write the yearly report bundle (CSV, partitioned by year, in a new run
-    folder) and read the entity table back from its CSV files."""
+    """Write the yearly report bundle (one scan, CSV, shares partitioned by
+    year, in a new run folder) and read the entity totals back from the CSV
+    files."""
     fs = lineitem_supplier(spark, sf_dir)
-    root = run_folder(shared_dir(spark, "reports"))
-    paths = write_bundle(
-        {
-            "entity_totals": rpt.entity_year_totals(fs, [YEAR_A, YEAR_B]),
-            "yearly_totals": rpt.yearly_totals(spark, fs, TOTAL_YEARS),
-        },
-        root,
-        fmt="csv",
-        partition_by={"entity_totals": ["year"]},
-    )
+    bundle = yearly_report(spark, fs, [YEAR_A, YEAR_B])
+    paths = write_report(spark, bundle, shared_dir(spark, "reports"), fmt="csv")
     schema = T.StructType(
-        [T.StructField("entity", T.StringType()), T.StructField("total", T.DoubleType())]
+        [
+            T.StructField("entity", T.StringType()),
+            T.StructField("total", T.DoubleType()),
+            T.StructField("share", T.DoubleType()),
+        ]
     )
-    back = spark.read.option("header", True).schema(schema).csv(paths["entity_totals"])
+    back = spark.read.option("header", True).schema(schema).csv(paths["shares"])
     return back.select(F.col("year").cast("int").alias("year"), "entity", "total")

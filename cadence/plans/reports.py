@@ -82,13 +82,9 @@ def entity_year_totals(fs: FactSet, years: Sequence[int] | None = None) -> DataF
     return entity_sums(f, _year_key()).select("year", "entity", total_of("s").alias("total"))
 
 
-def entity_shares(fs: FactSet, years: Sequence[int] | None = None, pct: bool = False) -> DataFrame:
-    """Entity totals and their share of the year total. The year total
-    counts every row of the year, unnamed entities included; both come from
-    the same partial aggregate (the shuffle is planned once and reused)."""
-    f = _years(fs, years)
-    part = partials(f, _year_key())
-    ent = by_entity(f, part, ["year"]).select("year", "entity", total_of("s").alias("total"))
+def shares_from(fs: FactSet, part: DataFrame, pct: bool = False) -> DataFrame:
+    """Entity totals and shares of the year total from yearly partials."""
+    ent = by_entity(fs, part, ["year"]).select("year", "entity", total_of("s").alias("total"))
     year_totals = by_keys(part, ["year"]).select("year", total_of("s").alias("group_total"))
     out = share_of_total(ent, year_totals, ["year"], out="share")
     if pct:
@@ -96,9 +92,21 @@ def entity_shares(fs: FactSet, years: Sequence[int] | None = None, pct: bool = F
     return out.select("year", "entity", "total", "share")
 
 
+def entity_shares(fs: FactSet, years: Sequence[int] | None = None, pct: bool = False) -> DataFrame:
+    """Entity totals and their share of the year total. The year total
+    counts every row of the year, unnamed entities included; both come from
+    the same partial aggregate (the shuffle is planned once and reused)."""
+    f = _years(fs, years)
+    return shares_from(f, partials(f, _year_key()), pct=pct)
+
+
 def top_by_year(fs: FactSet, years: Sequence[int], n: int = 15) -> DataFrame:
-    ranked = rank_within(entity_year_totals(fs, years), ["year"], n=n)
-    return ranked.select("year", "rank", "entity", "total")
+    return top_from(entity_year_totals(fs, years), n)
+
+
+def top_from(totals: DataFrame, n: int) -> DataFrame:
+    """Top-n per year of a (year, entity, total) table."""
+    return rank_within(totals, ["year"], n=n).select("year", "rank", "entity", "total")
 
 
 def top_rank_aligned(fs: FactSet, year_a: int, year_b: int, n: int = 10) -> DataFrame:
@@ -112,14 +120,14 @@ def top_rank_aligned(fs: FactSet, year_a: int, year_b: int, n: int = 10) -> Data
 
 def top_entity_aligned(fs: FactSet, year_a: int, year_b: int, n: int = 10) -> DataFrame:
     """The first year's top-n entities with their totals in both years."""
-    totals = entity_year_totals(fs, [year_a, year_b])
-    top_a = rank_within(totals.where(F.col("year") == year_a), ["year"], n=n)
-    all_b = totals.where(F.col("year") == year_b)
-    return entity_aligned(top_a, all_b).select("entity", "total_a", "total_b")
+    f = _years(fs, [year_a, year_b])
+    return entity_aligned(entity_sums(f, _year_key()), "year", year_a, year_b, n)
 
 
 # --------------------------------------------------------------------------- seasons
-def _season_sums(fs: FactSet, years: Sequence[int]) -> DataFrame:
+def season_sums(fs: FactSet, years: Sequence[int]) -> DataFrame:
+    """Partial sums per (year, season, entity): the one aggregate the season
+    tables are all derived from."""
     f = _years(fs, years)
     return entity_sums(f, {"year": F.year("ts"), "season": season_of(F.month("ts"))})
 
@@ -131,17 +139,11 @@ def _season_cells(s: str = "s") -> list:
     return cells
 
 
-def season_matrix(fs: FactSet, years: Sequence[int]) -> DataFrame:
-    """Entity x season sums per year; a season without rows is 0."""
-    sums = _season_sums(fs, years)
-    return sums.groupBy("year", "entity").agg(*_season_cells()).select(
-        "year", "entity", *SEASONS
-    )
+def season_matrix_from(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("year", "entity").agg(*_season_cells()).select("year", "entity", *SEASONS)
 
 
-def season_compare(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> DataFrame:
-    """Season totals (of the named entities) with one column per year."""
-    sums = _season_sums(fs, years)
+def season_compare_from(spark: SparkSession, sums: DataFrame, years: Sequence[int]) -> DataFrame:
     cols = [total_of(F.sum(F.when(F.col("year") == y, F.col("s")))).alias(f"y{y}") for y in years]
     per_season = sums.groupBy("season").agg(*cols)
     out = seasons_table(spark).join(per_season, "season", "left")
@@ -150,10 +152,7 @@ def season_compare(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> Da
     )
 
 
-def season_top(fs: FactSet, years: Sequence[int], n: int = 5) -> DataFrame:
-    """Top-n entities per year by their total over the four seasons, with the
-    season cells and the peak cell over all years' top tables."""
-    sums = _season_sums(fs, years)
+def season_top_from(sums: DataFrame, n: int = 5) -> DataFrame:
     wide = sums.groupBy("year", "entity").agg(*_season_cells(), total_of(F.sum("s")).alias("total"))
     top = rank_within(wide, ["year"], n=n)
     # `top` holds at most n rows per requested year: one small partition.
@@ -161,6 +160,22 @@ def season_top(fs: FactSet, years: Sequence[int], n: int = 5) -> DataFrame:
     return top.withColumn("peak", peak).select("year", "rank", "entity", *SEASONS, "total", "peak")
 
 
+def season_matrix(fs: FactSet, years: Sequence[int]) -> DataFrame:
+    """Entity x season sums per year; a season without rows is 0."""
+    return season_matrix_from(season_sums(fs, years))
+
+
+def season_compare(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> DataFrame:
+    """Season totals (of the named entities) with one column per year."""
+    return season_compare_from(spark, season_sums(fs, years), years)
+
+
+def season_top(fs: FactSet, years: Sequence[int], n: int = 5) -> DataFrame:
+    """Top-n entities per year by their total over the four seasons, with the
+    season cells and the peak cell over all years' top tables."""
+    return season_top_from(season_sums(fs, years), n)
+
+
 # --------------------------------------------------------------------------- weekdays
 def weekday_average(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> DataFrame:
     """Average daily total per weekday: daily sums first, then their mean.
@@ -188,7 +203,8 @@ def hour_average_by_entity_year(
     f = _years(fs, years)
     sums = entity_sums(f, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
     cols = ["year"] + (["id"] if keep_id else []) + ["entity", "hour"]
-    return sums.select(*cols, mean_of(zero_if_empty=True).alias("avg"))
+    out = sums.select(*cols, mean_of(zero_if_empty=True).alias("avg"))
+    return out.orderBy(*cols)
 
 
 def hour_average_by_entity(fs: FactSet) -> DataFrame:
@@ -255,7 +271,9 @@ def monthly_series(
     sums = entity_sums(f, keys, with_id=True)
     per_slot = sums.select(*SERIES_KEYS, "hour", mean_of().alias("v"))
     out = filled_series(per_slot, SERIES_KEYS, min_slots=min_slots)
-    return out.select(*SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots")
+    cols = [*SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots"]
+    # hours in slot order (not label order) within each series
+    return out.select(*cols).sortWithinPartitions(*SERIES_KEYS, "hour")
 
 
 def hour_labels(df: DataFrame, hour: str = "hour") -> DataFrame:
