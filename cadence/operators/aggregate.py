@@ -134,10 +134,12 @@ def key_sums(fs: FactSet, keys: Keys) -> DataFrame:
 def with_default(requested: DataFrame, sums: DataFrame, on: list[str], value: str = "total") -> DataFrame:
     """Left join from a requested-keys table; absent groups get 0.
 
-    ``requested`` is a calendar table of fixed size, ``sums`` is grouped by the
-    same keys, so both sides are small and the planner broadcasts one.
+    ``requested`` is a calendar table of fixed size and ``sums`` is grouped
+    by the same keys (callers filter the facts to the requested keys first).
     """
-    return requested.join(sums, on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+    # ``sums`` has one row per requested key at most: broadcast, a bounded size
+    joined = requested.join(F.broadcast(sums), on, "left")
+    return joined.withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 
 
 def two_level_mean(

@@ -145,7 +145,8 @@ def season_matrix_from(sums: DataFrame) -> DataFrame:
 
 def season_compare_from(spark: SparkSession, sums: DataFrame, years: Sequence[int]) -> DataFrame:
     cols = [total_of(F.sum(F.when(F.col("year") == y, F.col("s")))).alias(f"y{y}") for y in years]
-    per_season = sums.groupBy("season").agg(*cols)
+    # one row per season (at most 4): broadcast, a bounded size
+    per_season = F.broadcast(sums.groupBy("season").agg(*cols))
     out = seasons_table(spark).join(per_season, "season", "left")
     return out.select(
         "slot", "season", *[F.coalesce(F.col(f"y{y}"), F.lit(0.0)).alias(f"y{y}") for y in years]
@@ -190,7 +191,10 @@ def weekday_average(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> D
         .select("year", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("slot"))
         .withColumn("day", F.element_at(names, F.col("slot") + 1))
     )
-    return calendar.join(means, ["year", "slot"], "left").select("year", "slot", "day", "avg_total")
+    # one row per (requested year, weekday): broadcast, a bounded size
+    return calendar.join(F.broadcast(means), ["year", "slot"], "left").select(
+        "year", "slot", "day", "avg_total"
+    )
 
 
 # --------------------------------------------------------------------------- hours
@@ -219,7 +223,8 @@ def hour_profile(spark: SparkSession, fs: FactSet) -> DataFrame:
     without rows."""
     sums = key_sums(fs, {"hour": F.hour("ts")})
     prof = sums.select("hour", (total_of("s") / F.col("rows")).alias("avg_per_row"))
-    return hours_table(spark).select("slot", "hour").join(prof, "hour", "left").select(
+    # one row per hour of the day (at most 24): broadcast, a bounded size
+    return hours_table(spark).select("slot", "hour").join(F.broadcast(prof), "hour", "left").select(
         "slot", "hour", "avg_per_row"
     )
 
@@ -243,7 +248,7 @@ def network_hour_curve(spark: SparkSession, fs: FactSet, years: Sequence[int]) -
     sums = key_sums(f, {"year": F.year("ts"), "hour": F.hour("ts")})
     means = sums.withColumn("avg", mean_of())
     cols = [F.max(F.when(F.col("year") == y, F.col("avg"))).alias(f"y{y}") for y in years]
-    wide = means.groupBy("hour").agg(*cols)
+    wide = F.broadcast(means.groupBy("hour").agg(*cols))  # at most 24 rows
     return hours_table(spark).select("hour", "label").join(wide, "hour", "left").select(
         "hour", "label", *[f"y{y}" for y in years]
     )

@@ -109,3 +109,19 @@ def test_json_pages_full_short_empty(spark, tmp_path):
     assert pages.count() == 5
     inside = pages_in_range(pages, "2024-12-01 00:00:00", "2024-12-31 23:59:59").orderBy("ts").collect()
     assert [r.v for r in inside] == [1.0, 2.0, 3.0, 4.0]  # both bounds are inside
+
+
+def test_strict_guess_parses_iso_and_raises_on_junk(spark):
+    from cadence.functions.clean import to_stamp_strict_guess
+
+    ok = spark.createDataFrame([("2024-12-01T00:00:00",)], "t string")
+    assert ok.select(to_stamp_strict_guess("t").alias("ts")).collect()[0].ts == dt.datetime(2024, 12, 1)
+    bad = spark.createDataFrame([("junk",)], "t string")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        bad.select(to_stamp_strict_guess("t")).collect()
+
+
+def test_empty_result_guard(spark, tmp_path):
+    fs = read_hourly_csv(spark, write(tmp_path, "g.csv", GOOD))
+    assert fs.facts.where("year(ts) = 1999").isEmpty()
+    assert not fs.facts.isEmpty()
