@@ -23,7 +23,8 @@ def directory(fs: FactSet) -> DataFrame:
 
 
 def month_start(ts: Column | str = "ts") -> Column:
-    return F.date_trunc("month", F.col(ts) if isinstance(ts, str) else ts)
+    """First day of the month of ``ts`` as a DATE (no time-zone step)."""
+    return F.trunc(F.to_date(F.col(ts) if isinstance(ts, str) else ts), "month")
 
 
 def first_month(fs: FactSet) -> DataFrame:

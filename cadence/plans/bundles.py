@@ -2,9 +2,10 @@
 from **one** scan of the facts.
 
 The aggregate the tables share (e.g. sums per year, season and entity) is
-computed once and checkpointed to the shared checkpoint folder; every table
-of the bundle is derived from that small, reliable copy, so the facts are not
-read again and a lost executor does not send Spark back to the raw input.
+computed once and written as a table in the shared checkpoint folder; every
+table of the bundle is derived from that small, reliable copy, so the facts
+are not read again and a lost executor does not send Spark back to the raw
+input.
 
     bundle = seasonal_report(spark, facts, [2023, 2024])
     write_report(spark, bundle, "reports/seasonal", fmt="csv")
@@ -22,15 +23,20 @@ from cadence.functions.calendar import in_years, years_table
 from cadence.operators.aggregate import by_keys, partials, total_of, with_default
 from cadence.operators.rank import rank_aligned
 from cadence.plans import reports as rpt
-from cadence.session import shared_root
+from cadence.session import shared_dir
 from cadence.sinks.writers import run_folder, write_bundle
 
 
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder
-    (lineage is cut there; never a machine-local copy)."""
-    shared_root(spark)  # makes sure a checkpoint folder is set
-    return df.checkpoint(eager=True)
+def materialize(spark: SparkSession, df: DataFrame, name: str = "shared-aggregate") -> DataFrame:
+    """Compute ``df`` once, write it as a Parquet table in the shared
+    checkpoint folder and read it back: lineage is cut there, a lost executor
+    re-reads the table instead of re-scanning the facts, and the planner gets
+    the table's real size. (An RDD ``checkpoint()`` of an unpersisted plan
+    would compute it twice; a machine-local copy would not survive a lost
+    executor.)"""
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def seasonal_report(

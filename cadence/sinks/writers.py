@@ -34,10 +34,13 @@ def write_partitioned(
     """One folder per value of ``by`` (``year=2023/``, ``month=1/`` ...).
 
     Rows are clustered on the partition columns first so each task writes
-    few files, instead of one file per partition value per task."""
+    few files, instead of one file per partition value per task. The
+    clustering is a ``rebalance`` hint, not ``repartition``: adaptive
+    execution splits a partition value that holds much of the data (a hot
+    year) over several tasks instead of giving it to one."""
     if fmt not in FORMATS:
         raise ValueError(f"fmt must be one of {FORMATS}")
-    clustered = df.repartition(*by) if by else df
+    clustered = df.hint("rebalance", *by) if by else df
     w = clustered.write.mode(mode).partitionBy(*by)
     if fmt == "csv":
         w.option("header", True).csv(path)
