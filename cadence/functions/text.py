@@ -46,8 +46,13 @@ def fixed2(x: Column | str) -> Column:
 
 
 def percent_text(ratio: Column | str, decimals: int = 2) -> Column:
-    """A 0-1 ratio as percent text: ``12.34%``."""
-    return F.format_string(f"%.{decimals}f%%", _c(ratio) * 100)
+    """A 0-1 ratio as percent text: ``12.34%``.
+
+    The percent is rounded half up first (``floor(x * 10^d + 0.5) / 10^d``),
+    so the text does not depend on how a formatter breaks a tie."""
+    unit = float(10**decimals)
+    pct = F.floor(_c(ratio) * F.lit(100.0 * unit) + F.lit(0.5)) / F.lit(unit)
+    return F.format_string(f"%.{decimals}f%%", pct)
 
 
 def ratio_to_pct(ratio: Column | str) -> Column:

@@ -94,9 +94,18 @@ def gap_fill(
 def series_mean(
     df: DataFrame, keys: Iterable[str], value: str = "filled", out: str = "mean", digits: int = 6
 ) -> DataFrame:
-    """Mean of a series' values (NULLs skipped), rounded to ``digits``."""
+    """Mean of a series' values (NULLs skipped).
+
+    Each value is taken to ``digits`` decimals as an integer count of units
+    (``floor(x * 10^digits + 0.5)``) and the units are summed as BIGINT, so
+    the mean does not depend on the order rows are added in (a sum of doubles
+    does): the same series gives the same mean on any cluster layout."""
+    scale = float(10**digits)
+    units = F.floor(F.col(value) * F.lit(scale) + F.lit(0.5))
     w = Window.partitionBy(*list(keys))
-    return df.withColumn(out, F.round(F.avg(value).over(w), digits))
+    total = F.sum(units).over(w)
+    n = F.count(value).over(w)
+    return df.withColumn(out, F.when(n > 0, total.cast("double") / (n * F.lit(scale))))
 
 
 def filled_series(

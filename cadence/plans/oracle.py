@@ -4,7 +4,7 @@ oracle. Tables are the driver's views of the same Parquet files.
 
 Conventions shared with the Spark side: sums over DECIMAL(18,2) cast to
 DOUBLE (0 when empty), averages as DOUBLE sum / count, calendar parts cast to
-INTEGER, series means rounded to 6 digits.
+INTEGER, series means as fixed-point sums of 6-decimal units.
 """
 
 from __future__ import annotations
@@ -127,7 +127,11 @@ w AS (SELECT *,
 x AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
                      ELSE pv + (nv - pv) * (hour - ph) / (nh - ph) END AS filled FROM w)
 SELECT year, month, id, entity, hour, {_label('hour')} AS label, v, filled,
-       round(avg(filled) OVER (PARTITION BY year, month, id, entity), 6) AS mean, n_slots
+       CASE WHEN COUNT(filled) OVER (PARTITION BY year, month, id, entity) > 0
+            THEN CAST(SUM(CAST(floor(filled * 1000000.0 + 0.5) AS BIGINT))
+                      OVER (PARTITION BY year, month, id, entity) AS DOUBLE)
+                 / (COUNT(filled) OVER (PARTITION BY year, month, id, entity) * 1000000.0) END AS mean,
+       n_slots
 FROM x"""
 
 
@@ -253,7 +257,8 @@ UNION ALL SELECT p_type AS raw, {_sanitize('p_type')} AS clean FROM part""",
 u AS (SELECT year, COALESCE(CAST(s AS DOUBLE), 0.0) AS total,
              COALESCE(CAST(SUM(s) OVER () AS DOUBLE), 0.0) AS grand FROM t)
 SELECT year, format('{{:,.0f}}', total) AS total_text, printf('%.2f', total) AS total_2dp,
-       printf('%.2f%%', (CASE WHEN grand > 0 THEN total / grand ELSE 0.0 END) * 100) AS pct_text,
+       printf('%.2f%%', floor((CASE WHEN grand > 0 THEN total / grand ELSE 0.0 END) * 10000.0 + 0.5) / 100.0)
+         AS pct_text,
        CAST(year AS VARCHAR) || ': ' || format('{{:,.0f}}', total) AS title
 FROM u""",
     "merge_partials": HOUR_SUMS_H,
