@@ -41,6 +41,28 @@ class FactSet:
     def with_facts(self, facts: DataFrame) -> FactSet:
         return replace(self, facts=facts)
 
+    def for_years(self, years: Iterable[int]) -> FactSet:
+        """Rows of the given years: a timestamp range that reaches the
+        Parquet scan, plus a partition filter when the facts were landed
+        partitioned by ``year`` (whole folders are then skipped)."""
+        from cadence.functions.calendar import in_years
+
+        years = list(years)
+        cond = in_years("ts", years)
+        if "year" in self.facts.columns:
+            cond = cond & F.col("year").isin(years)
+        return self.where(cond)
+
+    def for_month(self, year: int, month: int) -> FactSet:
+        """Rows of one month (timestamp range, plus partition filters when
+        landed partitioned by ``year`` and ``month``)."""
+        from cadence.functions.calendar import in_month
+
+        cond = in_month("ts", year, month)
+        if "year" in self.facts.columns and "month" in self.facts.columns:
+            cond = cond & (F.col("year") == year) & (F.col("month") == month)
+        return self.where(cond)
+
     def named_facts(self) -> DataFrame:
         """Fact rows with ``entity`` on each row (joins the names dimension;
         use only where a per-row name is the point, e.g. extracts)."""

@@ -75,8 +75,10 @@ def range_extract(
     (range-partitioned sort, so the output is ordered across files)."""
     lo = F.lit(start).cast("timestamp_ntz")
     hi = F.lit(end).cast("timestamp_ntz")
-    rows = fs.facts.where(F.col("id").isin(list(ids)) & F.col("ts").between(lo, hi))
-    return rows.select(*cols).orderBy("ts", "key")
+    rows = fs.named_facts() if "entity" in cols else fs.facts
+    rows = rows.where(F.col("id").isin(list(ids)) & F.col("ts").between(lo, hi))
+    tie = [c for c in ("key", "id") if c in rows.columns]
+    return rows.orderBy("ts", *tie).select(*cols)
 
 
 def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:

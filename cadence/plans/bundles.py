@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.binding import FactSet
-from cadence.functions.calendar import in_years, years_table
+from cadence.functions.calendar import years_table
 from cadence.operators.aggregate import by_keys, partials, total_of, with_default
 from cadence.operators.rank import rank_aligned
 from cadence.plans import reports as rpt
@@ -60,7 +60,7 @@ def yearly_report(
 ) -> dict[str, DataFrame]:
     """Year totals (every requested year), entity shares, the top lists and
     the first two years' top lists side by side."""
-    f = fs.where(in_years("ts", years))
+    f = fs.for_years(years)
     part = materialize(spark, partials(f, {"year": F.year("ts")}))
     totals = by_keys(part, ["year"]).select("year", total_of("s").alias("total"))
     shares = rpt.shares_from(f, part)

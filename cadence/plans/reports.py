@@ -35,8 +35,6 @@ from cadence.functions.calendar import (
     WEEKDAYS,
     hour_label,
     hours_table,
-    in_month,
-    in_years,
     season_of,
     seasons_table,
     weekday_slot,
@@ -63,7 +61,7 @@ def _year_key() -> dict:
 
 
 def _years(fs: FactSet, years: Sequence[int] | None) -> FactSet:
-    return fs.where(in_years("ts", years)) if years else fs
+    return fs.for_years(years) if years else fs
 
 
 # --------------------------------------------------------------------------- totals
@@ -269,9 +267,9 @@ def monthly_series(
     (``min_slots``), full hour axis, linear gap fill, series mean."""
     f = fs
     if year is not None and month is not None:
-        f = fs.where(in_month("ts", year, month))
+        f = fs.for_month(year, month)
     elif year is not None:
-        f = fs.where(in_years("ts", [year]))
+        f = fs.for_years([year])
     keys = {"year": F.year("ts"), "month": F.month("ts"), "hour": F.hour("ts")}
     sums = entity_sums(f, keys, with_id=True)
     per_slot = sums.select(*SERIES_KEYS, "hour", mean_of().alias("v"))
