@@ -33,7 +33,7 @@ from cadence.operators import entity as ent
 from cadence.operators.quality import quality_counts, rows_per_year
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
-from cadence.plans.bundles import write_report, yearly_report
+from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
 from cadence.sources.files import read_profile
 from cadence.sources.tables import (
     events_dirty,
@@ -397,3 +397,32 @@ def report_bundle(spark, sf_dir):
     )
     back = spark.read.option("header", True).schema(schema).csv(paths["shares"])
     return back.select(F.col("year").cast("int").alias("year"), "entity", "total")
+
+
+@query("season_bundle_top5")
+def season_bundle_top5(spark, sf_dir):
+    """The seasonal report bundle (three tables from one scan) written as
+    CSV in a new run folder; its top-5 table read back (RPT-1, SNK-3)."""
+    fs = lineitem_supplier(spark, sf_dir)
+    paths = write_report(
+        spark, seasonal_report(spark, fs, [YEAR_A, YEAR_B], n=5), shared_dir(spark, "seasonal"), fmt="csv"
+    )
+    schema = T.StructType(
+        [T.StructField("year", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("entity", T.StringType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("Winter", "Spring", "Summer", "Fall", "total", "peak")]
+    )
+    return spark.read.option("header", True).schema(schema).csv(paths["season_top"])
+
+
+@query("monthly_series_written")
+def monthly_series_written(spark, sf_dir):
+    """The monthly series written partitioned by (year, month) -- one folder
+    per month -- and read back whole (RPT-5, SNK-6)."""
+    fs = events_hourly(spark, sf_dir)
+    paths = write_report(spark, monthly_report(spark, fs, min_slots=12), shared_dir(spark, "monthly"))
+    back = spark.read.parquet(paths["monthly_series"])
+    return back.select(
+        F.col("year").cast("int").alias("year"),
+        F.col("month").cast("int").alias("month"),
+        "id", "entity", "hour", "label", "v", "filled", "mean", "n_slots",
+    )

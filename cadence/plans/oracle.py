@@ -271,6 +271,8 @@ WHERE ts IS NOT NULL""",
 WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1""",
     "report_bundle": ENTITY_TOTALS_9697,
 }
+ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
+ORACLE["monthly_series_written"] = ORACLE["monthly_series"]
 
 
 def oracle_sql() -> dict[str, str]:
