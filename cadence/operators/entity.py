@@ -81,11 +81,6 @@ def range_extract(
     return rows.orderBy("ts", *tie).select(*cols)
 
 
-def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Earliest and latest stamp."""
-    return df.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
-
-
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
     """One page of an ordered result: rows offset+1 .. offset+limit.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,5 +96,5 @@ def entity_aligned(
         F.coalesce(F.sum(F.when(F.col(side) == a, F.col(s))).cast("double"), F.lit(0.0)).alias("total_a"),
         F.coalesce(F.sum(F.when(F.col(side) == b, F.col(s))).cast("double"), F.lit(0.0)).alias("total_b"),
     )
-    top = wide.where(F.col("_in_a")).orderBy(F.col("total_a").desc(), F.col(on).asc()).limit(n)
+    top = top_n(wide.where(F.col("_in_a")), n, order="total_a", tie=on)
     return top.select(on, "total_a", "total_b")

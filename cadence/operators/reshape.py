@@ -21,19 +21,29 @@ def pivot_sum(
 
     Written as conditional aggregation, which is what ``pivot`` plans to, but
     keeps the exact DECIMAL sum per cell; absent cells get ``fill``."""
+    return df.groupBy(*list(index)).agg(*pivot_sum_cells(column, values, measure, names, fill))
+
+
+def pivot_sum_cells(
+    column: str,
+    values: Sequence,
+    measure: str,
+    names: Sequence[str] | None = None,
+    fill: float | None = 0.0,
+) -> list[Column]:
+    """The cells of ``pivot_sum`` as aggregate columns, to combine with other
+    aggregates of the same ``groupBy``."""
     names = list(names) if names is not None else [str(v) for v in values]
     cells = []
     for val, name in zip(values, names):
-        cell = F.sum(F.when(F.col(column) == F.lit(val), F.col(measure)))
+        cell = F.sum(F.when(F.col(column) == F.lit(val), F.col(measure))).cast("double")
         if fill is not None:
-            cell = F.coalesce(cell.cast("double"), F.lit(fill))
-        else:
-            cell = cell.cast("double")
+            cell = F.coalesce(cell, F.lit(fill))
         cells.append(cell.alias(name))
-    return df.groupBy(*list(index)).agg(*cells)
+    return cells
 
 
-def pivot_first(
+def pivot_one(
     df: DataFrame,
     index: Iterable[str],
     column: str,
@@ -41,21 +51,14 @@ def pivot_first(
     measure: str,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Wide table of a long table that has one row per (index, column):
-    ``groupBy(index).pivot(column, values).agg(first(measure))``."""
+    """Wide table of a long table with at most one row per (index, column):
+    ``groupBy(index).pivot(column, values)`` with the explicit value list, so
+    no extra job is run to discover the values. Absent cells are NULL."""
     names = list(names) if names is not None else [str(v) for v in values]
-    wide = df.groupBy(*list(index)).pivot(column, list(values)).agg(F.first(measure))
+    wide = df.groupBy(*list(index)).pivot(column, list(values)).agg(F.max(measure))
     return wide.select(*list(index), *[F.col(str(v)).alias(n) for v, n in zip(values, names)])
 
 
-def row_total(cols: Iterable[str]) -> Column:
-    """Sum across columns of one row (NULL cells count 0)."""
-    total = None
-    for c in cols:
-        term = F.coalesce(F.col(c), F.lit(0.0))
-        total = term if total is None else total + term
-    return total
-
-
 def row_max(cols: Sequence[str]) -> Column:
+    """Largest value across columns of one row."""
     return F.greatest(*[F.col(c) for c in cols])

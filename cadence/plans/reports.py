@@ -33,7 +33,6 @@ from cadence.binding import FactSet
 from cadence.functions.calendar import (
     SEASONS,
     WEEKDAYS,
-    hour_label,
     hours_table,
     season_of,
     seasons_table,
@@ -52,7 +51,8 @@ from cadence.operators.aggregate import (
     with_default,
 )
 from cadence.operators.rank import entity_aligned, rank_aligned, rank_within, share_of_total
-from cadence.operators.reshape import row_max
+from cadence.functions.text import ratio_to_pct
+from cadence.operators.reshape import pivot_one, pivot_sum, pivot_sum_cells, row_max
 from cadence.operators.series import filled_series
 
 
@@ -86,7 +86,7 @@ def shares_from(fs: FactSet, part: DataFrame, pct: bool = False) -> DataFrame:
     year_totals = by_keys(part, ["year"]).select("year", total_of("s").alias("group_total"))
     out = share_of_total(ent, year_totals, ["year"], out="share")
     if pct:
-        return out.select("year", "entity", "total", (F.col("share") * 100).alias("pct"))
+        return out.select("year", "entity", "total", ratio_to_pct("share").alias("pct"))
     return out.select("year", "entity", "total", "share")
 
 
@@ -131,21 +131,19 @@ def season_sums(fs: FactSet, years: Sequence[int]) -> DataFrame:
 
 
 def _season_cells(s: str = "s") -> list:
-    cells = [
-        total_of(F.sum(F.when(F.col("season") == name, F.col(s)))).alias(name) for name in SEASONS
-    ]
-    return cells
+    return pivot_sum_cells("season", SEASONS, s)
 
 
 def season_matrix_from(sums: DataFrame) -> DataFrame:
-    return sums.groupBy("year", "entity").agg(*_season_cells()).select("year", "entity", *SEASONS)
+    """Entity x season (PIV-1); absent cells are 0."""
+    return pivot_sum(sums, ["year", "entity"], "season", SEASONS, "s").select("year", "entity", *SEASONS)
 
 
 def season_compare_from(spark: SparkSession, sums: DataFrame, years: Sequence[int]) -> DataFrame:
-    cols = [total_of(F.sum(F.when(F.col("year") == y, F.col("s")))).alias(f"y{y}") for y in years]
+    """Season x year (PIV-3) on the four-season axis."""
+    per_season = pivot_sum(sums, ["season"], "year", list(years), "s", names=[f"y{y}" for y in years])
     # one row per season (at most 4): broadcast, a bounded size
-    per_season = F.broadcast(sums.groupBy("season").agg(*cols))
-    out = seasons_table(spark).join(per_season, "season", "left")
+    out = seasons_table(spark).join(F.broadcast(per_season), "season", "left")
     return out.select(
         "slot", "season", *[F.coalesce(F.col(f"y{y}"), F.lit(0.0)).alias(f"y{y}") for y in years]
     )
@@ -245,8 +243,8 @@ def network_hour_curve(spark: SparkSession, fs: FactSet, years: Sequence[int]) -
     f = _years(fs, years)
     sums = key_sums(f, {"year": F.year("ts"), "hour": F.hour("ts")})
     means = sums.withColumn("avg", mean_of())
-    cols = [F.max(F.when(F.col("year") == y, F.col("avg"))).alias(f"y{y}") for y in years]
-    wide = F.broadcast(means.groupBy("hour").agg(*cols))  # at most 24 rows
+    wide = pivot_one(means, ["hour"], "year", list(years), "avg", names=[f"y{y}" for y in years])
+    wide = F.broadcast(wide)  # one row per hour of the day: at most 24 rows
     return hours_table(spark).select("hour", "label").join(wide, "hour", "left").select(
         "hour", "label", *[f"y{y}" for y in years]
     )
@@ -277,7 +275,3 @@ def monthly_series(
     cols = [*SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots"]
     # hours in slot order (not label order) within each series
     return out.select(*cols).sortWithinPartitions(*SERIES_KEYS, "hour")
-
-
-def hour_labels(df: DataFrame, hour: str = "hour") -> DataFrame:
-    return df.withColumn("label", hour_label(hour))
