@@ -79,12 +79,13 @@ def parse(argv: Sequence[str]) -> argparse.Namespace:
     ap.add_argument("--end", default="9999-12-31 23:59:59")
     ap.add_argument("--plain-names", action="store_true", help="keep the library's column names")
     ap.add_argument("--master", default=None, help="only for runs outside spark-submit")
+    ap.add_argument("--profile", choices=("local", "cluster"), default=None, help="session settings profile")
     return ap.parse_args(argv)
 
 
 def main(argv: Sequence[str] | None = None) -> dict[str, str]:
     args = parse(sys.argv[1:] if argv is None else argv)
-    spark = build_session(args.master)
+    spark = build_session(args.master, profile=args.profile)
     fs = _facts(spark, args)
     if args.report == "land":
         paths = {"facts": land_as_parquet(fs, args.out)}

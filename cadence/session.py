@@ -19,17 +19,44 @@ SESSION_DEFAULTS = {
 }
 
 
+# Settings for a large cluster (about 1000 executors, 100 TB of Parquet).
+# A report scans a few columns of the facts (a tenth or so of the bytes), in
+# splits of 256 MB; the first shuffle carries partial aggregates only. The
+# shuffle starts wide and adaptive execution coalesces it to ~256 MB
+# partitions, splits skewed ones, and turns sort-merge joins of small
+# aggregates into broadcast joins at run time. Speculation re-runs stragglers
+# (a slow or lost executor); RocksDB keeps large streaming state off the heap.
+CLUSTER_PROFILE = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.speculation": "true",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
+
 def build_session(
     master: str | None = None,
     app: str = "cadence",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    profile: str | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session with the settings of SESSION_DEFAULTS.
 
-    ``shuffle_partitions`` should be about the core count in local runs; on a
-    cluster leave it unset and let AQE coalesce from the cluster default.
+    ``shuffle_partitions`` should be about the core count in local runs.
+    ``profile="cluster"`` adds CLUSTER_PROFILE (explicit ``extra`` settings
+    still win).
     """
+    if profile not in (None, "local", "cluster"):
+        raise ValueError("profile must be 'local' or 'cluster'")
+    if profile == "cluster":
+        extra = {**CLUSTER_PROFILE, **(extra or {})}
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")

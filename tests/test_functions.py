@@ -70,3 +70,10 @@ def test_hour_label_expression(spark):
     df = spark.range(24).select(F.col("id").cast("int").alias("h"))
     labels = [r.l for r in df.select(hour_label("h").alias("l")).orderBy("h").collect()]
     assert labels[0] == "12 AM" and labels[11] == "11 AM" and labels[13] == "1 PM"
+
+
+def test_cluster_profile_settings():
+    from cadence.session import CLUSTER_PROFILE
+
+    assert CLUSTER_PROFILE["spark.sql.files.maxPartitionBytes"] == "256m"
+    assert "RocksDBStateStoreProvider" in CLUSTER_PROFILE["spark.sql.streaming.stateStore.providerClass"]
