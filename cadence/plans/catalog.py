@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,12 +250,17 @@ def first_month_rows(spark, sf_dir):
 
 @query("entity_range_extract")
 def entity_range_extract(spark, sf_dir):
+    """The rows of given entities in a closed time range, in time order
+    (RPT-10). Picking entities is what an extract is for; the whole table is
+    scanned, with the id and range predicates pushed into the scan."""
     fs = orders_customer(spark, sf_dir)
     return ent.range_extract(fs, EXTRACT_IDS, RANGE_START, RANGE_END, cols=("key", "id", "ts", "v"))
 
 
 @query("page_extract")
 def page_extract(spark, sf_dir):
+    """Page 3 (rows 201-300) of the time-ordered rows of a closed range
+    (SRC-8, SRT-9): the limit is the page size, the feature itself."""
     facts = orders_customer(spark, sf_dir).facts
     lo = F.lit(RANGE_START).cast("timestamp_ntz")
     hi = F.lit(RANGE_END).cast("timestamp_ntz")
@@ -274,8 +279,6 @@ def sanitized_names(spark, sf_dir):
 def label_text(spark, sf_dir):
     """Per-year totals as report text: thousands, two decimals, percent of all
     years, and a title."""
-    from pyspark.sql import Window
-
     fs = lineitem_supplier(spark, sf_dir)
     sums = agg.key_sums(fs, {"year": F.year("ts")})
     # one row per year: a window over all of them is one small partition
