@@ -149,6 +149,12 @@ def hour_avg_by_entity_year(spark, sf_dir):
     return rpt.hour_average_by_entity_year(events_two_years(spark, sf_dir), HOUR_YEARS)
 
 
+@query("peak_hours")
+def peak_hours(spark, sf_dir):
+    """Peak and off-peak hour per entity and year."""
+    return rpt.peak_hours(events_two_years(spark, sf_dir), HOUR_YEARS)
+
+
 @query("hour_avg_by_entity")
 def hour_avg_by_entity(spark, sf_dir):
     return rpt.hour_average_by_entity(events_hourly(spark, sf_dir))

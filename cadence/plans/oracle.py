@@ -271,6 +271,19 @@ WHERE ts IS NOT NULL""",
 WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1""",
     "report_bundle": ENTITY_TOTALS_9697,
 }
+ORACLE["peak_hours"] = f"""WITH a AS (
+  SELECT year, id, entity, hour, CAST({SUM} AS DOUBLE) / COUNT(v) AS avg
+  FROM (SELECT {YR} AS year, {HR} AS hour, id, entity, v FROM ({H2})
+        WHERE {_years(2023, 2024)} AND id IS NOT NULL AND entity IS NOT NULL) f
+  GROUP BY 1, 2, 3, 4 HAVING COUNT(v) > 0),
+r AS (SELECT *,
+        row_number() OVER (PARTITION BY year, id, entity ORDER BY avg DESC, hour ASC) AS rp,
+        row_number() OVER (PARTITION BY year, id, entity ORDER BY avg ASC, hour ASC) AS rl
+      FROM a)
+SELECT year, id, entity,
+       MAX(CASE WHEN rp = 1 THEN hour END) AS peak_hour, MAX(CASE WHEN rp = 1 THEN avg END) AS peak_avg,
+       MAX(CASE WHEN rl = 1 THEN hour END) AS low_hour, MAX(CASE WHEN rl = 1 THEN avg END) AS low_avg
+FROM r GROUP BY 1, 2, 3"""
 ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
 ORACLE["monthly_series_written"] = ORACLE["monthly_series"]
 

@@ -207,6 +207,28 @@ def hour_average_by_entity_year(
     return out.orderBy(*cols)
 
 
+def peak_hours(fs: FactSet, years: Sequence[int]) -> DataFrame:
+    """Busiest and quietest hour per (year, id, entity), by per-row average;
+    ties go to the earlier hour. One aggregate of (average, hour) structs --
+    combined map-side, no window over an entity's rows."""
+    f = _years(fs, years)
+    sums = entity_sums(f, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
+    avgs = sums.select("year", "id", "entity", "hour", mean_of().alias("avg")).where(F.col("avg").isNotNull())
+    g = avgs.groupBy("year", "id", "entity").agg(
+        F.max(F.struct(F.col("avg"), (-F.col("hour")).alias("neg_hour"))).alias("hi"),
+        F.min(F.struct(F.col("avg"), F.col("hour"))).alias("lo"),
+    )
+    return g.select(
+        "year",
+        "id",
+        "entity",
+        (-F.col("hi.neg_hour")).alias("peak_hour"),
+        F.col("hi.avg").alias("peak_avg"),
+        F.col("lo.hour").alias("low_hour"),
+        F.col("lo.avg").alias("low_avg"),
+    )
+
+
 def hour_average_by_entity(fs: FactSet) -> DataFrame:
     """Per-row average per (id, entity, hour) over all years."""
     sums = entity_sums(fs, {"hour": F.hour("ts")}, with_id=True)

@@ -128,3 +128,10 @@ def test_fixed_point_sum_is_exact(spark):
     # 0.1 + 0.2 summed as doubles is not 0.3; the fixed-point sum is
     fs = facts(spark, [(T(2023), "1", "A", 0.1), (T(2023), "1", "A", 0.2)])
     assert rpt.entity_year_totals(fs, [2023]).collect()[0].total == 0.3
+
+
+def test_peak_hours_tie_goes_to_earlier_hour(spark):
+    fs = facts(spark, [(T(2023, h=8), "1", "A", 5.0), (T(2023, h=17), "1", "A", 5.0),
+                       (T(2023, h=3), "1", "A", 1.0), (T(2023, h=4), "1", "A", 1.0)])
+    r = rpt.peak_hours(fs, [2023]).collect()[0]
+    assert (r.peak_hour, r.peak_avg, r.low_hour, r.low_avg) == (8, 5.0, 3, 1.0)
