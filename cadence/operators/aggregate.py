@@ -3,7 +3,7 @@
 Null rules kept from the reports (Spark differs by default):
 
 * rows whose group key is NULL are not a group (``where key IS NOT NULL``);
-* the sum of a group whose measures are all NULL is 0 (``sum0``);
+* the sum of a group whose measures are all NULL is 0 (``total_of``);
 * averages are per row: sum / count of non-null measures.
 
 Every aggregate here is decomposable (sum, count), so Spark runs it as a
@@ -36,7 +36,7 @@ def measure(v: Column | str) -> Column:
     return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
 
 
-def dec_sum(v: Column | str, scale: int | None) -> Column:
+def exact_sum(v: Column | str, scale: int | None) -> Column:
     """Sum whose result does not depend on row order.
 
     With a ``scale`` each value is taken as a whole number of 10^-scale units
@@ -72,7 +72,7 @@ def mean_of(s: Column | str = "s", n: Column | str = "n", zero_if_empty: bool =
 
 def _measures(scale: int | None) -> list[Column]:
     return [
-        dec_sum("v", scale).alias("s"),
+        exact_sum("v", scale).alias("s"),
         F.count("v").alias("n"),
         F.count(F.lit(1)).alias("rows"),
     ]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cadence.operators.aggregate import dec_sum, measure, non_null
+from cadence.operators.aggregate import exact_sum, measure, non_null
 
 
 def running_totals(
@@ -46,7 +46,7 @@ def running_totals(
         stream.select(*[c.alias(k) for k, c in keys.items()], measure(value).alias("v"))
         .where(non_null(key_names))
         .groupBy(*key_names)
-        .agg(dec_sum("v", scale).alias("s"), F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"))
+        .agg(exact_sum("v", scale).alias("s"), F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"))
     )
 
     def overwrite(batch: DataFrame, _epoch: int) -> None:
