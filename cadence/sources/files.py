@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.binding import FactSet, require_columns, strip_column_names
+from cadence.binding import FactSet, missing_columns, require_columns, strip_column_names
 from cadence.functions.clean import US_STAMP, to_number, to_stamp, to_stamp_guess
 
 # ---------------------------------------------------------------------------
@@ -47,11 +47,15 @@ def sample(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
+FACT_SCHEMA = "ts timestamp_ntz, id string, entity string, v double"
+
+
 def clean_hourly(
     raw: DataFrame,
     mode: str = "lenient",
     fmt: str = US_STAMP,
     guess: bool = True,
+    on_missing: str = "raise",
 ) -> DataFrame:
     """Raw export cells -> ts, id, entity, v (+ every other column dropped).
 
@@ -60,9 +64,13 @@ def clean_hourly(
     * ``keep``: as lenient, but rows with NULLs are kept (a later year filter
       removes them).
     With ``guess`` a stamp that does not fit ``fmt`` is tried in ISO form.
+    A source without a required column stops with ``ValueError``, or with
+    ``on_missing="empty"`` gives an empty fact table (its rows are skipped).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if on_missing == "empty" and missing_columns(raw, REQUIRED):
+        return raw.sparkSession.createDataFrame([], FACT_SCHEMA)
     require_columns(raw, REQUIRED)
     strict = mode == "strict"
     if strict:

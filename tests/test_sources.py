@@ -82,6 +82,8 @@ def test_missing_required_column(spark, tmp_path):
     assert missing_columns(raw, ["ridership"]) == ["ridership"]
     with pytest.raises(ValueError, match="ridership"):
         clean_hourly(raw)
+    empty = clean_hourly(raw, on_missing="empty")
+    assert empty.columns == ["ts", "id", "entity", "v"] and empty.isEmpty()
 
 
 def test_projection_reaches_the_scan(spark, tmp_path):
