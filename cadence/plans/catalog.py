@@ -34,6 +34,7 @@ from cadence.operators.quality import quality_counts, rows_per_year
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
+from cadence.sinks.writers import write_partitioned
 from cadence.sources.files import read_profile
 from cadence.sources.tables import (
     events_dirty,
@@ -196,8 +197,7 @@ def profile_readback(spark, sf_dir):
     fs = events_hourly(spark, sf_dir)
     sums = agg.entity_sums(fs, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
     profile = sums.select("year", "id", "entity", "hour", agg.mean_of().alias("avg"))
-    path = shared_dir(spark, "profile")
-    profile.write.partitionBy("year").parquet(path)
+    path = write_partitioned(profile, shared_dir(spark, "profile"), ["year"])
     back = read_profile(spark, path, PROFILE_YEAR)
     return back.select(
         "id",
