@@ -27,13 +27,21 @@ def _nan_to_null(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def _fail_on(what: str, text: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"cannot parse {what}: '"), text, F.lit("'")))
+
+
 def to_number(text: Column | str, strict: bool = False) -> Column:
     """Text to DOUBLE. Empty text, ``NaN`` and junk become NULL when lenient;
-    junk raises when strict (empty and ``NaN`` are missing either way)."""
+    junk fails the job when strict (empty and ``NaN`` are missing either
+    way). Strict does not depend on the session's ANSI setting."""
     t = F.trim(_c(text).cast("string"))
     blank = t.isNull() | (t == "")
-    num = t.cast("double") if strict else t.try_cast("double")
-    return F.when(blank, F.lit(None).cast("double")).otherwise(_nan_to_null(num))
+    num = t.try_cast("double")
+    out = F.when(blank, F.lit(None).cast("double"))
+    if strict:
+        out = out.when(num.isNull(), _fail_on("number", t))
+    return out.otherwise(_nan_to_null(num))
 
 
 def to_stamp(text: Column | str, fmt: str = US_STAMP, strict: bool = False) -> Column:
@@ -43,8 +51,10 @@ def to_stamp(text: Column | str, fmt: str = US_STAMP, strict: bool = False) -> C
     hour inside a daylight-saving gap keeps its wall-clock value.
     """
     t = _c(text)
-    parsed = F.to_timestamp(t, fmt) if strict else F.try_to_timestamp(t, F.lit(fmt))
-    return parsed.cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
+    if strict:
+        return F.when(t.isNotNull() & parsed.isNull(), _fail_on("timestamp", t)).otherwise(parsed)
+    return parsed
 
 
 def to_stamp_guess(text: Column | str, fmt: str = US_STAMP) -> Column:
@@ -58,8 +68,11 @@ def to_stamp_guess(text: Column | str, fmt: str = US_STAMP) -> Column:
 
 
 def to_stamp_strict_guess(text: Column | str) -> Column:
-    """Strict parse of ISO-like text (raises on junk under ANSI)."""
-    return _c(text).cast("timestamp_ntz")
+    """Strict parse of ISO-like text: junk fails the job (with or without
+    ANSI mode)."""
+    t = _c(text)
+    parsed = t.try_cast("timestamp_ntz")
+    return F.when(t.isNotNull() & parsed.isNull(), _fail_on("timestamp", t)).otherwise(parsed)
 
 
 def stamp_text(ts: Column | str) -> Column:

@@ -127,3 +127,18 @@ def test_empty_result_guard(spark, tmp_path):
     fs = read_hourly_csv(spark, write(tmp_path, "g.csv", GOOD))
     assert fs.facts.where("year(ts) = 1999").isEmpty()
     assert not fs.facts.isEmpty()
+
+
+def test_strict_fails_without_ansi_too(spark, tmp_path):
+    prev = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        fs = read_hourly_csv(spark, write(tmp_path, "d.csv", DIRTY), mode="strict")
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            fs.facts.collect()
+        bad_number = GOOD + "01/02/2023 02:00:00 AM,7,Main St,text,x\n"
+        fs = read_hourly_csv(spark, write(tmp_path, "n.csv", bad_number), mode="strict")
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            fs.facts.collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", prev)
