@@ -36,24 +36,28 @@ def spine(
     value: str = "v",
     slots: int = SLOTS,
     min_slots: int | None = MIN_SLOTS,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Every series of ``per_slot`` on the full slot axis 0 .. slots-1.
 
     Output: keys, ``n_slots`` (non-null values the series had), slot,
-    ``value`` (NULL where the slot had no value). Series with fewer than
-    ``min_slots`` values are dropped (the coverage filter) when it is set.
+    ``value`` (NULL where the slot had no value), plus the per-series
+    aggregates in ``carry`` (e.g. the first-seen name). Series with fewer
+    than ``min_slots`` values are dropped (the coverage filter) when set.
     """
     keys = list(keys)
+    carry = carry or {}
     grouped = per_slot.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(slot), F.col(value)))).alias("_m"),
         F.count(value).alias("n_slots"),
+        *[c.alias(name) for name, c in carry.items()],
     )
     if min_slots is not None:
         grouped = grouped.where(F.col("n_slots") >= min_slots)
     axis = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias(slot)
-    exploded = grouped.select(*keys, "n_slots", "_m", axis)
+    exploded = grouped.select(*keys, *carry, "n_slots", "_m", axis)
     return exploded.select(
-        *keys, "n_slots", slot, F.try_element_at(F.col("_m"), F.col(slot)).alias(value)
+        *keys, *carry, "n_slots", slot, F.try_element_at(F.col("_m"), F.col(slot)).alias(value)
     )
 
 
@@ -115,10 +119,11 @@ def filled_series(
     min_slots: int | None = MIN_SLOTS,
     slot: str = "hour",
     value: str = "v",
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Coverage filter -> spine -> gap fill -> mean, with the 12-hour label."""
     keys = list(keys)
-    s = spine(per_slot, keys, slot=slot, value=value, min_slots=min_slots)
+    s = spine(per_slot, keys, slot=slot, value=value, min_slots=min_slots, carry=carry)
     s = gap_fill(s, keys, slot=slot, value=value)
     s = series_mean(s, keys)
     return s.withColumn("label", hour_label(slot))

@@ -183,6 +183,13 @@ def monthly_series(spark, sf_dir):
     return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=12)
 
 
+@query("monthly_series_by_id")
+def monthly_series_by_id(spark, sf_dir):
+    """24-hour series per (year, month, id), named by the first name seen
+    for the id (AGG-10 as the report keys it)."""
+    return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=12, name_rule="first_seen")
+
+
 @query("monthly_series_all")
 def monthly_series_all(spark, sf_dir):
     """Series of one month, no coverage filter (RPT-7)."""

@@ -104,15 +104,27 @@ SEASON_CELLS = ", ".join(
 )
 
 
-def _series(where: str, having: str) -> str:
+def _series(where: str, having: str, first_seen: bool = False) -> str:
     part = "PARTITION BY year, month, id, entity ORDER BY hour"
     seen = "CASE WHEN v IS NOT NULL THEN hour END"
-    return f"""WITH f AS (
+    if first_seen:
+        # one series per (year, month, id), named by the earliest row
+        f = f"""f AS (
+  SELECT {YR} AS year, {MO} AS month, {HR} AS hour, id, ts, entity, v
+  FROM ({H}) WHERE ts IS NOT NULL AND id IS NOT NULL {where}),
+nm AS (SELECT year, month, id, min({{'ts': ts, 'e': entity}}).e AS entity FROM f GROUP BY 1, 2, 3),
+g AS (SELECT f.year, f.month, f.id, nm.entity, f.hour,
+             CASE WHEN COUNT(f.v) > 0 THEN CAST(SUM(CAST(f.v AS DECIMAL(18,2))) AS DOUBLE) / COUNT(f.v) END AS v
+      FROM f JOIN nm ON f.year = nm.year AND f.month = nm.month AND f.id = nm.id
+      GROUP BY 1, 2, 3, 4, 5),"""
+    else:
+        f = f"""f AS (
   SELECT {YR} AS year, {MO} AS month, {HR} AS hour, id, entity, v
   FROM ({H}) WHERE ts IS NOT NULL AND id IS NOT NULL AND entity IS NOT NULL {where}),
 g AS (SELECT year, month, id, entity, hour,
              CASE WHEN COUNT(v) > 0 THEN CAST({SUM} AS DOUBLE) / COUNT(v) END AS v
-      FROM f GROUP BY 1, 2, 3, 4, 5),
+      FROM f GROUP BY 1, 2, 3, 4, 5),"""
+    return f"""WITH {f}
 c AS (SELECT year, month, id, entity, COUNT(v) AS n_slots FROM g GROUP BY 1, 2, 3, 4 {having}),
 sp AS (SELECT c.*, CAST(h.range AS INTEGER) AS hour FROM c, range(24) h),
 j AS (SELECT sp.year, sp.month, sp.id, sp.entity, sp.n_slots, sp.hour, g.v
@@ -284,6 +296,7 @@ SELECT year, id, entity,
        MAX(CASE WHEN rp = 1 THEN hour END) AS peak_hour, MAX(CASE WHEN rp = 1 THEN avg END) AS peak_avg,
        MAX(CASE WHEN rl = 1 THEN hour END) AS low_hour, MAX(CASE WHEN rl = 1 THEN avg END) AS low_avg
 FROM r GROUP BY 1, 2, 3"""
+ORACLE["monthly_series_by_id"] = _series("", "HAVING COUNT(v) >= 12", first_seen=True)
 ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
 ORACLE["monthly_series_written"] = ORACLE["monthly_series"]
 

@@ -43,8 +43,11 @@ from cadence.operators.aggregate import (
     by_entity,
     by_keys,
     entity_sums,
+    exact_sum,
     key_sums,
     mean_of,
+    measure,
+    non_null,
     partials,
     total_of,
     two_level_mean,
@@ -282,18 +285,44 @@ def monthly_series(
     min_slots: int | None = 12,
     year: int | None = None,
     month: int | None = None,
+    name_rule: str = "group",
 ) -> DataFrame:
     """24-hour average series per (year, month, id, entity): coverage filter
-    (``min_slots``), full hour axis, linear gap fill, series mean."""
+    (``min_slots``), full hour axis, linear gap fill, series mean.
+
+    ``name_rule="first_seen"`` keys a series by (year, month, id) alone and
+    names it by the name on its earliest row (ties: smallest name), as a
+    series per station id with the first name seen; the earliest
+    (ts, name) pair rides along in the same aggregates, so it costs no
+    extra scan. Names must be inline for it."""
     f = fs
     if year is not None and month is not None:
         f = fs.for_month(year, month)
     elif year is not None:
         f = fs.for_years([year])
-    keys = {"year": F.year("ts"), "month": F.month("ts"), "hour": F.hour("ts")}
-    sums = entity_sums(f, keys, with_id=True)
-    per_slot = sums.select(*SERIES_KEYS, "hour", mean_of().alias("v"))
-    out = filled_series(per_slot, SERIES_KEYS, min_slots=min_slots)
     cols = [*SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots"]
+    if name_rule == "group":
+        keys = {"year": F.year("ts"), "month": F.month("ts"), "hour": F.hour("ts")}
+        sums = entity_sums(f, keys, with_id=True)
+        per_slot = sums.select(*SERIES_KEYS, "hour", mean_of().alias("v"))
+        out = filled_series(per_slot, SERIES_KEYS, min_slots=min_slots)
+    elif name_rule == "first_seen":
+        if not fs.inline:
+            raise ValueError("first_seen needs names on the fact rows")
+        id_keys = ["year", "month", "id"]
+        rows = f.facts.select(
+            F.year("ts").alias("year"), F.month("ts").alias("month"), F.hour("ts").alias("hour"),
+            "id", "ts", "entity", measure("v").alias("v"),
+        ).where(non_null(["year", "month", "hour", "id"]))
+        per_slot = rows.groupBy(*id_keys, "hour").agg(
+            exact_sum("v", fs.scale).alias("s"),
+            F.count("v").alias("n"),
+            F.min(F.struct("ts", "entity")).alias("first"),
+        ).select(*id_keys, "hour", mean_of().alias("v"), "first")
+        out = filled_series(
+            per_slot, id_keys, min_slots=min_slots, carry={"entity": F.min("first")["entity"]}
+        )
+    else:
+        raise ValueError("name_rule must be 'group' or 'first_seen'")
     # hours in slot order (not label order) within each series
     return out.select(*cols).sortWithinPartitions(*SERIES_KEYS, "hour")

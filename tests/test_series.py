@@ -77,3 +77,15 @@ def test_monthly_series_end_to_end(spark):
     assert len(out) == 24 and out[0].n_slots == 12
     assert [r.filled for r in out[:4]] == [0.0, 1.0, 2.0, 3.0]
     assert out[23].filled == 22.0  # trailing gap takes the last value
+
+
+def test_first_seen_name_keys_series_by_id(spark):
+    # id 7 is written under two names; the series takes the earliest one
+    rows = [(dt.datetime(2023, 5, 1, h), "7", "Old Name" if h < 3 else "New Name", float(h)) for h in range(24)]
+    rows.append((dt.datetime(2023, 5, 2, 0), "7", "New Name", 2.0))
+    fs = FactSet(spark.createDataFrame(rows, "ts timestamp_ntz, id string, entity string, v double"))
+    out = rpt.monthly_series(fs, name_rule="first_seen").orderBy("hour").collect()
+    assert len(out) == 24 and {r.entity for r in out} == {"Old Name"}
+    assert out[0].v == 1.0  # hour 0 averages both days: (0 + 2) / 2
+    grouped = rpt.monthly_series(fs, min_slots=None)
+    assert {r.entity for r in grouped.collect()} == {"Old Name", "New Name"}
