@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -294,8 +294,9 @@ def label_text(spark, sf_dir):
     years, and a title."""
     fs = lineitem_supplier(spark, sf_dir)
     sums = agg.key_sums(fs, {"year": F.year("ts")})
-    # one row per year: a window over all of them is one small partition
-    grand = agg.total_of(F.sum("s").over(Window.partitionBy()))
+    # the all-years total as a scalar subquery (partial sums per task, then
+    # one final value) set into every year's row
+    grand = agg.total_of(sums.select(F.sum("s")).scalar())
     t = sums.select("year", agg.total_of("s").alias("total"), grand.alias("grand"))
     share = F.when(F.col("grand") > 0, F.col("total") / F.col("grand")).otherwise(F.lit(0.0))
     total_text = thousands("total", 0)

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.binding import FactSet
@@ -155,8 +155,9 @@ def season_compare_from(spark: SparkSession, sums: DataFrame, years: Sequence[in
 def season_top_from(sums: DataFrame, n: int = 5) -> DataFrame:
     wide = sums.groupBy("year", "entity").agg(*_season_cells(), total_of(F.sum("s")).alias("total"))
     top = rank_within(wide, ["year"], n=n)
-    # `top` holds at most n rows per requested year: one small partition.
-    peak = F.max(row_max(SEASONS)).over(Window.partitionBy())
+    # the peak cell over all years' top tables: a scalar subquery (a global
+    # max, partial per task then final), its one value set into every row
+    peak = top.select(F.max(row_max(SEASONS))).scalar()
     return top.withColumn("peak", peak).select("year", "rank", "entity", *SEASONS, "total", "peak")
 
 

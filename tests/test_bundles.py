@@ -1,6 +1,8 @@
 """Report bundles: every table of a report from one scan of the facts."""
 
 import datetime as dt
+import os
+import sys
 
 from cadence.binding import FactSet
 from cadence.plans import bundles
@@ -8,12 +10,16 @@ from cadence.plans import reports as rpt
 from cadence.session import shared_dir
 from cadence.sources.tables import lineitem_supplier
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+from plan_report import final_plan  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
 def _scans(df):
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = final_plan(df._jdf.queryExecution().executedPlan().toString())
     return plan.count("lineitem.parquet")
 
 

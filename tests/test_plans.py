@@ -2,11 +2,17 @@
 aggregate, top-n is limited before the shuffle, no query uses a Python UDF,
 a cartesian product or a nested-loop join."""
 
+import os
 import re
+import sys
 
 import pytest
 
-from __spark_entry__ import queries
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+from plan_report import final_plan, window_partition_keys  # noqa: E402
+
+from __spark_entry__ import queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,6 +74,22 @@ def test_no_python_cartesian_or_nested_loop(spark, name):
 def test_share_scans_the_facts_once(spark):
     df = queries()["entity_share"](spark, SF)
     df.collect()
-    final = physical(df).split("== Initial Plan ==")[0]
+    final = final_plan(physical(df))
     assert final.count("lineitem.parquet") == 1
     assert "ReusedExchange" in final
+
+
+def test_global_window_is_detected(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(5).withColumn("m", F.max("id").over(Window.partitionBy()))
+    df.collect()
+    assert window_partition_keys(df) == [0]
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_no_window_without_partition_keys(spark, name):
+    df = queries()[name](spark, SF)
+    df.collect()
+    assert all(k > 0 for k in window_partition_keys(df)), name
