@@ -31,8 +31,26 @@ EMPTY_VALUE_EVERY = 89
 BAD_STAMP_TEXT = "not a time"
 
 
+# The columns the bindings use, with their types. Reading with an explicit
+# schema skips Spark's schema-inference job over the file footers (one per
+# read) and keeps the scans to these columns.
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ",
+    "customer": "c_custkey BIGINT, c_name STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+    "pages": "page_id BIGINT, url STRING",
+    "part": "p_partkey BIGINT, p_type STRING",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the test tables; known tables are read with their schema."""
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def lineitem_supplier(spark: SparkSession, sf_dir: str) -> FactSet:
