@@ -111,4 +111,15 @@ def write_report(
     ``root`` (an earlier run is never overwritten). Returns name -> path."""
     parts = dict(PARTITIONS)
     parts.update(partition_by or {})
-    return write_bundle(bundle, run_folder(root), fmt=fmt, partition_by={k: v for k, v in parts.items() if k in bundle})
+    folder = run_folder(root)
+    paths = write_bundle(bundle, folder, fmt=fmt, partition_by={k: v for k, v in parts.items() if k in bundle})
+    # written last: a run folder without a manifest is an unfinished run
+    manifest = spark.createDataFrame(sorted(paths.items()), "table STRING, path STRING")
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")
+    return paths
+
+
+def read_manifest(spark: SparkSession, run: str) -> dict[str, str]:
+    """Table -> path of a finished run folder (fails on an unfinished one)."""
+    rows = spark.read.schema("table STRING, path STRING").json(f"{run.rstrip('/')}/_manifest").collect()
+    return {r.table: r.path for r in rows}

@@ -42,6 +42,8 @@ def test_yearly_bundle_written_and_read_back(spark):
     back = spark.read.parquet(paths["top15"])
     assert back.count() == b["top15"].count()
     assert "run_ts=" in paths["shares"]
+    run = paths["shares"].rsplit("/", 1)[0]
+    assert bundles.read_manifest(spark, run) == paths
 
 
 def test_monthly_bundle_is_partitioned_by_year_and_month(spark):
