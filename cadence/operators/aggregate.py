@@ -24,10 +24,11 @@ Keys = Mapping[str, Column]
 
 
 def non_null(cols: Iterable[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+    """``c1 IS NOT NULL AND c2 IS NOT NULL ...`` (one SQL predicate)."""
+    cols = list(cols)
+    if not cols:
+        return F.lit(True)
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
 
 
 def measure(v: Column | str) -> Column:
