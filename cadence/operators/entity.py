@@ -3,6 +3,7 @@ rows, extracts by id and time range, and ordered paging."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -85,5 +86,31 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFr
     """One page of an ordered result: rows offset+1 .. offset+limit.
 
     ``order`` must be a total order (end it with a unique key). Planned as a
-    bounded top-(offset+limit) per task, not a full sort."""
+    top-(offset+limit) per task, so it is for shallow pages; page deep with
+    ``page_after``, whose cost does not grow with the depth."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def _literal_like(df: DataFrame, col: str, value) -> Column:
+    dtype = df.schema[col].dataType
+    if isinstance(value, (datetime.datetime, datetime.date)):
+        return F.lit(value.isoformat(sep=" ") if isinstance(value, datetime.datetime) else value.isoformat()).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
+def page_after(df: DataFrame, order: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:
+    """Keyset paging: the first ``limit`` rows whose ``order`` key comes after
+    ``after`` (the key of the last row of the previous page; None for the
+    first page). The "after" test is a plain predicate -- (k1 > a1) OR
+    (k1 = a1 AND k2 > a2) ... -- that reaches the scan, and each task keeps
+    only ``limit`` rows however deep the page is."""
+    order = list(order)
+    if after is not None:
+        cond = None
+        for i, col in enumerate(order):
+            term = F.col(col) > _literal_like(df, col, after[i])
+            for j in range(i):
+                term = term & (F.col(order[j]) == _literal_like(df, order[j], after[j]))
+            cond = term if cond is None else (cond | term)
+        df = df.where(cond)
+    return df.orderBy(*order).limit(limit)

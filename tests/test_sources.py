@@ -142,3 +142,17 @@ def test_strict_fails_without_ansi_too(spark, tmp_path):
             fs.facts.collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", prev)
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    from cadence.operators.entity import page, page_after
+    from cadence.sources.tables import orders_customer
+
+    facts = orders_customer(spark, "/root/testdata/sf0.001").facts.select("key", "ts", "v")
+    order = ["ts", "key"]
+    after = None
+    for n in range(3):
+        keyset = page_after(facts, order, after, 50).collect()
+        offset = page(facts, order, 50 * n, 50).collect()
+        assert keyset == offset and len(keyset) == 50
+        after = (keyset[-1].ts, keyset[-1].key)
