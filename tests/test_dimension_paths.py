@@ -29,7 +29,7 @@ def test_hour_sum_for_names_in_a_dimension(spark, con):
 
 
 def test_first_seen_needs_inline_names(spark):
-    with pytest.raises(ValueError, match="inline"):
+    with pytest.raises(ValueError, match="names on the fact rows"):
         rpt.monthly_series(orders_customer(spark, SF), name_rule="first_seen")
 
 
