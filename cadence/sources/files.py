@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from cadence.binding import FactSet, missing_columns, require_columns, strip_column_names
 from cadence.functions.clean import US_STAMP, to_number, to_stamp, to_stamp_guess
+from cadence.session import ensure_defaults
 
 # ---------------------------------------------------------------------------
 # Column names of the hourly ridership export
@@ -69,6 +70,9 @@ def clean_hourly(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    # stamps are naive wall-clock times: parse them under UTC, so an hour in
+    # a daylight-saving gap of the session's zone keeps its value
+    ensure_defaults(raw.sparkSession)
     if on_missing == "empty" and missing_columns(raw, REQUIRED):
         return raw.sparkSession.createDataFrame([], FACT_SCHEMA)
     require_columns(raw, REQUIRED)

@@ -156,3 +156,11 @@ def test_keyset_paging_equals_offset_paging(spark):
         offset = page(facts, order, 50 * n, 50).collect()
         assert keyset == offset and len(keyset) == 50
         after = (keyset[-1].ts, keyset[-1].key)
+
+
+def test_dst_gap_hour_kept_even_from_a_new_york_session(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    text = "transit_timestamp,station_complex_id,station_complex,ridership\n3/12/2023 2:00:00 AM,1,A,5\n"
+    facts = read_hourly_csv(spark, write(tmp_path, "dst.csv", text)).facts
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert facts.collect()[0].ts == dt.datetime(2023, 3, 12, 2, 0)
