@@ -66,3 +66,22 @@ def test_extract_and_first_month(spark, export):
     p = main(["first-month", "--input", export, "--out", out])
     months = {(r.id, r.month) for r in spark.read.parquet(p["first_month_rows"]).collect()}
     assert months == {("1", 1), ("2", 1)}
+
+
+def test_report_from_json_pages(spark, tmp_path):
+    import json
+
+    recs = [
+        {"transit_timestamp": f"2023-0{m}-01T0{h}:00:00", "station_complex_id": "9",
+         "station_complex": "Pier St", "ridership": str(m * 10 + h)}
+        for m in range(1, 4) for h in range(3)
+    ]
+    d = tmp_path / "pages"
+    d.mkdir()
+    (d / "p1.json").write_text(json.dumps(recs[:5]))
+    (d / "p2.json").write_text(json.dumps(recs[5:]))
+    (d / "p3.json").write_text("[]")
+    out = shared_dir(spark, "t-cli-json")
+    paths = main(["yearly", "--input", str(d), "--source", "json", "--years", "2023", "--out", out, "--plain-names"])
+    shares = spark.read.parquet(paths["shares"]).collect()
+    assert [(r.entity, r.total, r.share) for r in shares] == [("Pier St", float(sum(int(r["ridership"]) for r in recs)), 1.0)]
