@@ -92,9 +92,13 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFr
 
 
 def _literal_like(df: DataFrame, col: str, value) -> Column:
+    """``value`` as a literal of ``col``'s type; dates and times go through
+    their ISO text, so no session time zone is involved."""
     dtype = df.schema[col].dataType
-    if isinstance(value, (datetime.datetime, datetime.date)):
-        return F.lit(value.isoformat(sep=" ") if isinstance(value, datetime.datetime) else value.isoformat()).cast(dtype)
+    if isinstance(value, datetime.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(dtype)
+    if isinstance(value, datetime.date):
+        return F.lit(value.isoformat()).cast(dtype)
     return F.lit(value).cast(dtype)
 
 

@@ -424,10 +424,7 @@ def season_bundle_top5(spark, sf_dir):
     paths = write_report(
         spark, seasonal_report(spark, fs, [YEAR_A, YEAR_B], n=5), shared_dir(spark, "seasonal"), fmt="csv"
     )
-    schema = T.StructType(
-        [T.StructField("year", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("entity", T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("Winter", "Spring", "Summer", "Fall", "total", "peak")]
-    )
+    schema = "year INT, rank INT, entity STRING, Winter DOUBLE, Spring DOUBLE, Summer DOUBLE, Fall DOUBLE, total DOUBLE, peak DOUBLE"
     return spark.read.option("header", True).schema(schema).csv(paths["season_top"])
 
 
