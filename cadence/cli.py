@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from cadence.binding import FactSet
 from cadence.operators import entity as ent
 from cadence.plans import bundles
+from cadence.plans import reports as rpt
 from cadence.plans.labels import as_report_columns
 from cadence.session import build_session
 from cadence.sources.files import (
@@ -28,7 +29,10 @@ from cadence.sources.files import (
     read_landed,
 )
 
-REPORTS = ("seasonal", "yearly", "hourly", "weekday", "monthly", "directory", "first-month", "extract", "land")
+REPORTS = (
+    "seasonal", "yearly", "hourly", "weekday", "monthly", "profile", "network", "histogram", "peak-hours",
+    "directory", "first-month", "extract", "land",
+)
 
 
 def _facts(spark, args) -> FactSet:
@@ -51,6 +55,14 @@ def _bundle(spark, args, fs: FactSet) -> dict:
         return bundles.weekday_report(spark, fs, years)
     if args.report == "monthly":
         return bundles.monthly_report(spark, fs, min_slots=args.min_slots or None)
+    if args.report == "profile":
+        return {"hour_profile": rpt.hour_average_by_entity(fs)}
+    if args.report == "network":
+        return {"network_hour_curve": rpt.network_hour_curve(spark, fs, years)}
+    if args.report == "histogram":
+        return {"hour_totals": rpt.hour_sum_for(fs, args.names)}
+    if args.report == "peak-hours":
+        return {"peak_hours": rpt.peak_hours(fs, years)}
     if args.report == "directory":
         return {"directory": ent.directory(fs)}
     if args.report == "first-month":
@@ -75,6 +87,7 @@ def parse(argv: Sequence[str]) -> argparse.Namespace:
     ap.add_argument("--top", type=int, default=5)
     ap.add_argument("--min-slots", type=int, default=12, help="0 keeps every series")
     ap.add_argument("--ids", nargs="*", default=[])
+    ap.add_argument("--names", nargs="*", default=[], help="entity names of the histogram")
     ap.add_argument("--start", default="1900-01-01 00:00:00")
     ap.add_argument("--end", default="9999-12-31 23:59:59")
     ap.add_argument("--plain-names", action="store_true", help="keep the library's column names")

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 #   weekday averages:   Day of the Week, Average Ridership
 #   monthly series:     Time (EST), Average Ridership
 #   station directory:  station_complex, station_complex_id
+#   hour profile:       station_complex_id, station_complex, hour, ridership
+#   network hour curve: AM_PM, <year>, <year>
+#   hour histogram:     hour, ridership
 # ---------------------------------------------------------------------------
 HEADINGS: dict[str, dict[str, str]] = {
     "season_matrix": {"entity": "Station"},
@@ -32,6 +35,9 @@ HEADINGS: dict[str, dict[str, str]] = {
     "weekday_averages": {"day": "Day of the Week", "avg_total": "Average Ridership"},
     "monthly_series": {"label": "Time (EST)", "filled": "Average Ridership"},
     "directory": {"entity": "station_complex", "id": "station_complex_id"},
+    "hour_profile": {"id": "station_complex_id", "entity": "station_complex", "hour": "hour", "avg": "ridership"},
+    "network_hour_curve": {"label": "AM_PM"},
+    "hour_totals": {"total": "ridership"},
 }
 
 

@@ -48,6 +48,9 @@ def test_land_then_seasonal_report(spark, export):
         ("weekday", "weekday_averages", "Day of the Week"),
         ("monthly", "monthly_series", "Time (EST)"),
         ("directory", "directory", "station_complex_id"),
+        ("profile", "hour_profile", "ridership"),
+        ("network", "network_hour_curve", "AM_PM"),
+        ("peak-hours", "peak_hours", "peak_hour"),
     ],
 )
 def test_reports_from_csv(spark, export, report, table, heading):
@@ -85,3 +88,10 @@ def test_report_from_json_pages(spark, tmp_path):
     paths = main(["yearly", "--input", str(d), "--source", "json", "--years", "2023", "--out", out, "--plain-names"])
     shares = spark.read.parquet(paths["shares"]).collect()
     assert [(r.entity, r.total, r.share) for r in shares] == [("Pier St", float(sum(int(r["ridership"]) for r in recs)), 1.0)]
+
+
+def test_histogram_of_named_stations(spark, export):
+    out = shared_dir(spark, "t-cli-hist")
+    p = main(["histogram", "--input", export, "--names", "Main St", "--out", out])
+    rows = spark.read.parquet(p["hour_totals"]).collect()
+    assert rows and {r.hour for r in rows} <= set(range(24))
