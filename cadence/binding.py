@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 class FactSet:
     facts: DataFrame
     names: DataFrame | None = None
-    # Sums are taken as DECIMAL(18, scale) so they do not depend on the order
-    # rows arrive in; None sums plain doubles.
+    # Sums are taken as whole 10^-scale units (BIGINT), so they are exact and
+    # do not depend on the order rows arrive in; None sums plain doubles.
     scale: int | None = 2
 
     @property

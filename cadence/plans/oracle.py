@@ -2,9 +2,10 @@
 written the plain way (join first, group, window), used as the correctness
 oracle. Tables are the driver's views of the same Parquet files.
 
-Conventions shared with the Spark side: sums over DECIMAL(18,2) cast to
-DOUBLE (0 when empty), averages as DOUBLE sum / count, calendar parts cast to
-INTEGER, series means as fixed-point sums of 6-decimal units.
+Conventions: sums are exact at two decimals -- here over DECIMAL(18,2), on the
+Spark side over BIGINT cents -- and cast to DOUBLE (0 when empty); averages
+are DOUBLE sum / count; calendar parts are INTEGER; series means are
+fixed-point sums of 6-decimal units.
 """
 
 from __future__ import annotations
