@@ -99,15 +99,23 @@ def _conf_checkpoint_dir(spark: SparkSession) -> str | None:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is missing (a bare local test session) a fresh local
-    folder is made and registered as the checkpoint folder.
+    Only when the setting is missing in a local-mode session (a bare test
+    session) a fresh local folder is made and registered as the checkpoint
+    folder; a cluster session without the setting is an error, never a
+    machine-local folder.
     """
     root = _conf_checkpoint_dir(spark)
     if root:
         return root.rstrip("/")
+    try:
+        sc = spark.sparkContext
+    except Exception as exc:  # a remote (Spark Connect) session: no local fallback
+        raise RuntimeError("set spark.checkpoint.dir to a folder on the shared file system") from exc
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on the shared file system")
     root = tempfile.mkdtemp(prefix="cadence-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
-    spark.sparkContext._conf.set("spark.checkpoint.dir", root)
+    sc.setCheckpointDir(root)
+    sc._conf.set("spark.checkpoint.dir", root)
     return root
 
 
