@@ -58,6 +58,8 @@ def test_number_text(spark):
     df = spark.createDataFrame([(1234567.5, 0.123456)], "x double, r double")
     r = df.select(thousands("x").alias("t"), fixed2("x").alias("f"), percent_text("r").alias("p")).collect()[0]
     assert (r.t, r.f, r.p) == ("1,234,568", "1234567.50", "12.35%")
+    all_digits = df.select(thousands("x", 1).alias("t"), percent_text("r", 1).alias("p")).collect()[0]
+    assert (all_digits.t, all_digits.p) == ("1,234,567.5", "12.3%")
 
 
 def test_stamp_text_extraction(spark):
