@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values (they must equal the reports' own rules)
-#   sanitiser: each of  /  \  *  :  ?  '  ,  .  becomes  -
-#              [ becomes (      ] becomes )
+#   sanitiser: characters replaced, in this order:
+#              /  ->  -      \  ->  -      *  ->  -      [  ->  (      ]  ->  )
+#              :  ->  -      ?  ->  -      '  ->  -      ,  ->  -      .  ->  -
 #              then outer blanks are removed and the first 31 characters kept;
 #              a missing name becomes "Unknown_Station"
 #   year in a stamp:           first run of four digits, pattern (\d{4})
 #   clock hour in a stamp:     pattern \d+/\d+/\d+\s+(\d+):\d+:\d+
 # ---------------------------------------------------------------------------
-SANITISE_FROM = "/\\*:?',.[]"
-SANITISE_TO = "--------()"
+SANITISE_FROM = "/\\*[]:?',."
+SANITISE_TO = "---()-----"
 SANITISE_MAX = 31
 UNKNOWN_NAME = "Unknown_Station"
 YEAR_PATTERN = r"(\d{4})"

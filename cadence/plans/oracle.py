@@ -66,7 +66,7 @@ def _season(m: str) -> str:
 def _sanitize(c: str) -> str:
     blanks = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
     return (
-        f"COALESCE(substring(trim(translate({c}, '/\\*:?'',.[]', '--------()'), {blanks}), 1, 31),"
+        f"COALESCE(substring(trim(translate({c}, '/\\*[]:?'',.', '---()-----'), {blanks}), 1, 31),"
         f" 'Unknown_Station')"
     )
 
