@@ -31,6 +31,7 @@ from cadence.functions.clean import to_number
 from cadence.operators import aggregate as agg
 from cadence.operators import entity as ent
 from cadence.operators.quality import quality_counts, rows_per_year
+from cadence.operators.series import filled_series
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
@@ -372,6 +373,36 @@ def running_hour_state(spark, sf_dir):
     return out.select("entity", "hour", agg.total_of("s").alias("total"), "n")
 
 
+@query("monthly_series_streamed")
+def monthly_series_streamed(spark, sf_dir):
+    """The monthly series from streamed running state: sums and counts per
+    (year, month, id, entity, hour) kept by a stream over landed event files
+    (STM-1), then coverage filter, spine and gap fill over the state table."""
+    facts = events_hourly(spark, sf_dir).facts
+    landing = shared_dir(spark, "landing-series")
+    facts.write.parquet(landing)
+    keys = {
+        "year": F.year("ts"),
+        "month": F.month("ts"),
+        "id": F.col("id"),
+        "entity": F.col("entity"),
+        "hour": F.hour("ts"),
+    }
+    state = running_totals(
+        spark,
+        landing,
+        _LANDED_EVENTS,
+        keys,
+        "v",
+        out=shared_dir(spark, "series-state"),
+        checkpoint=shared_dir(spark, "series-ckpt"),
+        files_per_trigger=1,
+    )
+    per_slot = state.select(*rpt.SERIES_KEYS, "hour", agg.mean_of().alias("v"))
+    out = filled_series(per_slot, rpt.SERIES_KEYS, min_slots=12)
+    return out.select(*rpt.SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots")
+
+
 @query("append_pages")
 def append_pages(spark, sf_dir):
     """Landed JSON pages appended to a table by a stream (STM-2, SNK-4)."""

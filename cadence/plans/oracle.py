@@ -299,6 +299,7 @@ SELECT year, id, entity,
 FROM r GROUP BY 1, 2, 3"""
 ORACLE["monthly_series_by_id"] = _series("", "HAVING COUNT(v) >= 12", first_seen=True)
 ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
+ORACLE["monthly_series_streamed"] = ORACLE["monthly_series"]
 ORACLE["monthly_series_written"] = ORACLE["monthly_series"]
 
 
