@@ -86,113 +86,113 @@ def queries() -> dict[str, Query]:
 
 # ------------------------------------------------------------------ totals, shares
 @query("totals_by_year")
-def totals_by_year(spark, sf_dir):
+def totals_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum per requested year; absent years 0 (AGG-2, AGG-24, FLT-1)."""
     return rpt.yearly_totals(spark, lineitem_supplier(spark, sf_dir), TOTAL_YEARS)
 
 
 @query("entity_totals")
-def entity_totals(spark, sf_dir):
+def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum per entity in each of two years (AGG-3)."""
     return rpt.entity_year_totals(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B])
 
 
 @query("entity_share")
-def entity_share(spark, sf_dir):
+def entity_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity totals with their share of the year total (RPT-2, WIN-1)."""
     return rpt.entity_shares(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B])
 
 
 @query("entity_share_pct")
-def entity_share_pct(spark, sf_dir):
+def entity_share_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share table on the 0-100 scale (RPT-14)."""
     return rpt.entity_shares(orders_customer(spark, sf_dir), [YEAR_A, YEAR_B], pct=True)
 
 
 @query("top15_by_year")
-def top15_by_year(spark, sf_dir):
+def top15_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_by_year(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B], n=15)
 
 
 @query("top10_rank_aligned")
-def top10_rank_aligned(spark, sf_dir):
+def top10_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_rank_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 
 @query("top10_entity_aligned")
-def top10_entity_aligned(spark, sf_dir):
+def top10_entity_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_entity_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 
 # ------------------------------------------------------------------ seasons
 @query("season_matrix")
-def season_matrix(spark, sf_dir):
+def season_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.season_matrix(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B])
 
 
 @query("season_compare")
-def season_compare(spark, sf_dir):
+def season_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.season_compare(spark, lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B])
 
 
 @query("season_top5")
-def season_top5(spark, sf_dir):
+def season_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.season_top(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B], n=5)
 
 
 # ------------------------------------------------------------------ weekdays, hours
 @query("weekday_avg")
-def weekday_avg(spark, sf_dir):
+def weekday_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.weekday_average(spark, orders_customer(spark, sf_dir), [YEAR_A, YEAR_B])
 
 
 @query("hour_avg_by_entity_year")
-def hour_avg_by_entity_year(spark, sf_dir):
+def hour_avg_by_entity_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.hour_average_by_entity_year(events_two_years(spark, sf_dir), HOUR_YEARS)
 
 
 @query("peak_hours")
-def peak_hours(spark, sf_dir):
+def peak_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak and off-peak hour per entity and year."""
     return rpt.peak_hours(events_two_years(spark, sf_dir), HOUR_YEARS)
 
 
 @query("hour_avg_by_entity")
-def hour_avg_by_entity(spark, sf_dir):
+def hour_avg_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.hour_average_by_entity(events_hourly(spark, sf_dir))
 
 
 @query("hour_profile")
-def hour_profile(spark, sf_dir):
+def hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.hour_profile(spark, events_hourly(spark, sf_dir))
 
 
 @query("hour_sum_subset")
-def hour_sum_subset(spark, sf_dir):
+def hour_sum_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.hour_sum_for(events_hourly(spark, sf_dir), SUBSET_NAMES)
 
 
 @query("network_hour_curve")
-def network_hour_curve(spark, sf_dir):
+def network_hour_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.network_hour_curve(spark, events_two_years(spark, sf_dir), HOUR_YEARS)
 
 
 # ------------------------------------------------------------------ series
 @query("monthly_series")
-def monthly_series(spark, sf_dir):
+def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24-hour series per (year, month, id, entity) with >= 12 hours (RPT-5)."""
     return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=12)
 
 
 @query("monthly_series_by_id")
-def monthly_series_by_id(spark, sf_dir):
+def monthly_series_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24-hour series per (year, month, id), named by the first name seen
     for the id (AGG-10 as the report keys it)."""
     return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=12, name_rule="first_seen")
 
 
 @query("monthly_series_all")
-def monthly_series_all(spark, sf_dir):
+def monthly_series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of one month, no coverage filter (RPT-7)."""
     return rpt.monthly_series(
         events_hourly(spark, sf_dir), min_slots=None, year=SERIES_YEAR, month=SERIES_MONTH
@@ -200,7 +200,7 @@ def monthly_series_all(spark, sf_dir):
 
 
 @query("profile_readback")
-def profile_readback(spark, sf_dir):
+def profile_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour profile written partitioned by year, one year read back (RPT-13)."""
     fs = events_hourly(spark, sf_dir)
     sums = agg.entity_sums(fs, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
@@ -218,14 +218,14 @@ def profile_readback(spark, sf_dir):
 
 # ------------------------------------------------------------------ dirty input
 @query("clean_facts")
-def clean_facts(spark, sf_dir):
+def clean_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lenient parse of text cells, rows with a bad stamp or measure dropped."""
     facts = events_dirty(spark, sf_dir).facts.dropna(subset=["ts", "v"])
     return facts.select(F.col("key").alias("event_id"), "ts", F.col("v").alias("value"))
 
 
 @query("quality_counts")
-def quality_counts_q(spark, sf_dir):
+def quality_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_counts(events_dirty(spark, sf_dir).facts)
     return out.select(
         "rows", "bad_ts", "bad_value", "kept", "valid_ratio", "min_ts", "max_ts", "min_kept_ts", "max_kept_ts"
@@ -233,12 +233,12 @@ def quality_counts_q(spark, sf_dir):
 
 
 @query("rows_per_year")
-def rows_per_year_q(spark, sf_dir):
+def rows_per_year_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_per_year(lineitem_supplier(spark, sf_dir).facts)
 
 
 @query("regex_year_hour12")
-def regex_year_hour12(spark, sf_dir):
+def regex_year_hour12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year and 12-hour clock hour read from the raw stamp text."""
     raw = events_dirty_text(spark, sf_dir)
     parsed = raw.select(
@@ -252,18 +252,18 @@ def regex_year_hour12(spark, sf_dir):
 
 # ------------------------------------------------------------------ entity tools
 @query("entity_directory")
-def entity_directory(spark, sf_dir):
+def entity_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ent.directory(orders_customer(spark, sf_dir))
 
 
 @query("first_month_rows")
-def first_month_rows(spark, sf_dir):
+def first_month_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ent.first_month_rows(orders_customer(spark, sf_dir))
     return rows.select("key", "id", "year", "month", "v")
 
 
 @query("entity_range_extract")
-def entity_range_extract(spark, sf_dir):
+def entity_range_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of given entities in a closed time range, in time order
     (RPT-10). Picking entities is what an extract is for; the whole table is
     scanned, with the id and range predicates pushed into the scan."""
@@ -272,7 +272,7 @@ def entity_range_extract(spark, sf_dir):
 
 
 @query("page_extract")
-def page_extract(spark, sf_dir):
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 3 (rows 201-300) of the time-ordered rows of a closed range
     (SRC-8, SRT-9): the limit is the page size, the feature itself."""
     facts = orders_customer(spark, sf_dir).facts
@@ -283,14 +283,14 @@ def page_extract(spark, sf_dir):
 
 
 @query("sanitized_names")
-def sanitized_names(spark, sf_dir):
+def sanitized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = read_table(spark, sf_dir, "pages").select(F.col("url").alias("raw"))
     types = read_table(spark, sf_dir, "part").select(F.col("p_type").alias("raw"))
     return urls.unionByName(types).select("raw", sanitize_name("raw").alias("clean"))
 
 
 @query("label_text")
-def label_text(spark, sf_dir):
+def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-year totals as report text: thousands, two decimals, percent of all
     years, and a title."""
     fs = lineitem_supplier(spark, sf_dir)
@@ -311,7 +311,7 @@ def label_text(spark, sf_dir):
 
 
 @query("merge_partials")
-def merge_partials(spark, sf_dir):
+def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sums of two slices merged = one pass (AGG-23, SET-1)."""
     fs = events_hourly(spark, sf_dir)
     cut = F.lit(SLICE_AT).cast("timestamp_ntz")
@@ -323,7 +323,7 @@ def merge_partials(spark, sf_dir):
 
 
 @query("outer_add")
-def outer_add(spark, sf_dir):
+def outer_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour sums of two slices with different hours, full-outer added."""
     fs = events_hourly(spark, sf_dir)
     # slice a: the first half day (hours 0-11 only), slice b: everything later
@@ -336,7 +336,7 @@ def outer_add(spark, sf_dir):
 
 
 @query("months_seen")
-def months_seen(spark, sf_dir):
+def months_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = lineitem_supplier(spark, sf_dir).facts
     o = orders_customer(spark, sf_dir).facts
     return ent.distinct_months(y.select("ts").unionByName(o.select("ts")))
@@ -355,7 +355,7 @@ _LANDED_EVENTS = T.StructType(
 
 
 @query("running_hour_state")
-def running_hour_state(spark, sf_dir):
+def running_hour_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums per (entity, hour) over landed event files (STM-1)."""
     facts = events_hourly(spark, sf_dir).facts
     landing = shared_dir(spark, "landing-events")
@@ -374,7 +374,7 @@ def running_hour_state(spark, sf_dir):
 
 
 @query("monthly_series_streamed")
-def monthly_series_streamed(spark, sf_dir):
+def monthly_series_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly series from streamed running state: sums and counts per
     (year, month, id, entity, hour) kept by a stream over landed event files
     (STM-1), then coverage filter, spine and gap fill over the state table."""
@@ -404,7 +404,7 @@ def monthly_series_streamed(spark, sf_dir):
 
 
 @query("append_pages")
-def append_pages(spark, sf_dir):
+def append_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed JSON pages appended to a table by a stream (STM-2, SNK-4)."""
     from cadence.sources.files import RAW_SCHEMA, clean_hourly
 
@@ -429,7 +429,7 @@ def append_pages(spark, sf_dir):
 
 
 @query("report_bundle")
-def report_bundle(spark, sf_dir):
+def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the yearly report bundle (one scan, CSV, shares partitioned by
     year, in a new run folder) and read the entity totals back from the CSV
     files."""
@@ -448,7 +448,7 @@ def report_bundle(spark, sf_dir):
 
 
 @query("season_bundle_top5")
-def season_bundle_top5(spark, sf_dir):
+def season_bundle_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seasonal report bundle (three tables from one scan) written as
     CSV in a new run folder; its top-5 table read back (RPT-1, SNK-3)."""
     fs = lineitem_supplier(spark, sf_dir)
@@ -460,7 +460,7 @@ def season_bundle_top5(spark, sf_dir):
 
 
 @query("monthly_series_written")
-def monthly_series_written(spark, sf_dir):
+def monthly_series_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly series written partitioned by (year, month) -- one folder
     per month -- and read back whole (RPT-5, SNK-6)."""
     fs = events_hourly(spark, sf_dir)
