@@ -119,10 +119,25 @@ def pages_in_range(pages: DataFrame, start: str, end: str) -> DataFrame:
     return facts.where(F.col("ts").between(lo, hi))
 
 
-def read_profile(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """A stored hourly profile (written partitioned by ``year``); the year
-    filter prunes partitions, so only that year's files are listed and read."""
-    df = spark.read.parquet(path)
+# The stored hourly profile's CSV columns
+PROFILE_CSV_SCHEMA = "station_complex_id STRING, station_complex STRING, hour INT, ridership DOUBLE"
+
+
+def read_profile(spark: SparkSession, path: str, year: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """A stored hourly profile -> (id, entity, hour, avg [, year]).
+
+    ``parquet``: as written by the library, partitioned by ``year``; the year
+    filter prunes partitions, so only that year's files are listed and read.
+    ``csv``: the export form with a header (station_complex_id,
+    station_complex, hour, ridership); a ``year=`` folder layout is read as a
+    partition column as well."""
+    if fmt == "csv":
+        df = spark.read.option("header", True).schema(PROFILE_CSV_SCHEMA).csv(path)
+        df = df.withColumnsRenamed(
+            {"station_complex_id": "id", "station_complex": "entity", "ridership": "avg"}
+        )
+    else:
+        df = spark.read.parquet(path)
     if year is not None:
         df = df.where(F.col("year") == year)
     return df

@@ -164,3 +164,16 @@ def test_dst_gap_hour_kept_even_from_a_new_york_session(spark, tmp_path):
     facts = read_hourly_csv(spark, write(tmp_path, "dst.csv", text)).facts
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert facts.collect()[0].ts == dt.datetime(2023, 3, 12, 2, 0)
+
+
+def test_stored_profile_csv_read_back(spark, tmp_path):
+    from cadence.sources.files import read_profile
+
+    d = tmp_path / "profile" / "year=2023"
+    d.mkdir(parents=True)
+    (d / "p.csv").write_text(
+        "station_complex_id,station_complex,hour,ridership\n444,\"Gun Hill Rd (2,5)\",7,57.5\n444,\"Gun Hill Rd (2,5)\",8,60\n"
+    )
+    rows = read_profile(spark, str(tmp_path / "profile"), year=2023, fmt="csv").orderBy("hour").collect()
+    assert [(r.id, r.entity, r.hour, r.avg, r.year) for r in rows] == [
+        ("444", "Gun Hill Rd (2,5)", 7, 57.5, 2023), ("444", "Gun Hill Rd (2,5)", 8, 60.0, 2023)]
