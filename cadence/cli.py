@@ -60,13 +60,13 @@ def _bundle(spark, args, fs: FactSet) -> dict:
     if args.report == "network":
         return {"network_hour_curve": rpt.network_hour_curve(spark, fs, years)}
     if args.report == "histogram":
-        return {"hour_totals": rpt.hour_sum_for(fs, args.names)}
+        return {"hour_totals": rpt.hour_sum_for(fs, args.names, spark)}
     if args.report == "peak-hours":
         return {"peak_hours": rpt.peak_hours(fs, years)}
     if args.report == "directory":
         return {"directory": ent.directory(fs)}
     if args.report == "first-month":
-        rows = ent.first_month_rows(fs)
+        rows = ent.first_month_rows(fs, spark)
         if args.ids:
             rows = rows.where(rows.id.isin(args.ids))
         return {"first_month_rows": rows}

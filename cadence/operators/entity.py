@@ -6,10 +6,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.binding import FactSet
+from cadence.session import shared_dir
+from cadence.sinks.writers import materialize
 
 
 def directory(fs: FactSet) -> DataFrame:
@@ -46,12 +48,21 @@ def first_month(fs: FactSet) -> DataFrame:
     )
 
 
-def first_month_rows(fs: FactSet) -> DataFrame:
+def first_month_rows(fs: FactSet, spark: SparkSession | None = None) -> DataFrame:
     """The fact rows of every id in its first recorded month, with year and
-    month. A semi-join on (id, month start): one row per id on the right."""
-    firsts = first_month(fs)
+    month. A semi-join on (id, month start): one row per id on the right.
+
+    With ``spark`` the per-id minima are first written as a table in the
+    shared folder, so the planner knows their size: when they are small the
+    join is a broadcast and the facts are not shuffled at all; when they are
+    large it stays a sort-merge join, with skewed partitions split by AQE.
+    (Without it the size is only known at run time, after the facts have
+    been shuffled for a sort-merge join.)"""
+    firsts = first_month(fs).select("id", "first_month")
+    if spark is not None:
+        firsts = materialize(spark, firsts, shared_dir(spark, "first-months"))
     facts = fs.facts.withColumn("first_month", month_start())
-    rows = facts.join(firsts.select("id", "first_month"), ["id", "first_month"], "left_semi")
+    rows = facts.join(firsts, ["id", "first_month"], "left_semi")
     return rows.withColumns({"year": F.year("ts"), "month": F.month("ts")}).drop("first_month")
 
 

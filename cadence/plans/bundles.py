@@ -24,19 +24,16 @@ from cadence.operators.aggregate import by_keys, partials, total_of, with_defaul
 from cadence.operators.rank import rank_aligned
 from cadence.plans import reports as rpt
 from cadence.session import shared_dir
+from cadence.sinks.writers import materialize as write_and_read
 from cadence.sinks.writers import run_folder, write_bundle
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str = "shared-aggregate") -> DataFrame:
-    """Compute ``df`` once, write it as a Parquet table in the shared
-    checkpoint folder and read it back: lineage is cut there, a lost executor
-    re-reads the table instead of re-scanning the facts, and the planner gets
-    the table's real size. (An RDD ``checkpoint()`` of an unpersisted plan
-    would compute it twice; a machine-local copy would not survive a lost
-    executor.)"""
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """Compute ``df`` once as a Parquet table in the shared checkpoint folder
+    and read it back (see ``sinks.writers.materialize``). An RDD
+    ``checkpoint()`` of an unpersisted plan would compute it twice; a
+    machine-local copy would not survive a lost executor."""
+    return write_and_read(spark, df, shared_dir(spark, name))
 
 
 def seasonal_report(

@@ -258,7 +258,7 @@ def entity_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_month_rows")
 def first_month_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ent.first_month_rows(orders_customer(spark, sf_dir))
+    rows = ent.first_month_rows(orders_customer(spark, sf_dir), spark)
     return rows.select("key", "id", "year", "month", "v")
 
 

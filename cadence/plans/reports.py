@@ -57,6 +57,8 @@ from cadence.operators.rank import entity_aligned, rank_aligned, rank_within, sh
 from cadence.functions.text import ratio_to_pct
 from cadence.operators.reshape import pivot_one, pivot_sum, pivot_sum_cells, row_max
 from cadence.operators.series import filled_series
+from cadence.session import shared_dir
+from cadence.sinks.writers import materialize as write_and_read
 
 
 def _year_key() -> dict:
@@ -251,12 +253,19 @@ def hour_profile(spark: SparkSession, fs: FactSet) -> DataFrame:
     )
 
 
-def hour_sum_for(fs: FactSet, names: Sequence[str]) -> DataFrame:
-    """Sum per hour over the entities with the given names."""
+def hour_sum_for(fs: FactSet, names: Sequence[str], spark: SparkSession | None = None) -> DataFrame:
+    """Sum per hour over the entities with the given names.
+
+    With a names dimension the facts are semi-joined with the ids of those
+    names. Given ``spark``, that id list is first written as a table in the
+    shared folder, so the planner sees its real (small) size and broadcasts
+    it instead of shuffling the facts for a sort-merge join."""
     if fs.inline:
         rows = fs.facts.where(F.col("entity").isin(list(names)))
     else:
-        ids = fs.names.where(F.col("entity").isin(list(names))).select("id")
+        ids = fs.names.where(F.col("entity").isin(list(names))).select("id").distinct()
+        if spark is not None:
+            ids = write_and_read(spark, ids, shared_dir(spark, "selected-ids"))
         rows = fs.facts.join(ids, "id", "left_semi")
     return key_sums(fs.with_facts(rows), {"hour": F.hour("ts")}).select(
         "hour", total_of("s").alias("total")

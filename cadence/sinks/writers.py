@@ -99,3 +99,13 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     else:
         w.parquet(path)
     return path
+
+
+def materialize(spark, df: DataFrame, path: str) -> DataFrame:
+    """Compute ``df`` once into a Parquet table at ``path`` (on the shared
+    file system) and read it back. Lineage is cut there, a lost executor
+    re-reads the table instead of recomputing it, and the planner sees the
+    table's real size -- so a join with it is broadcast only when it is
+    actually small, and stays a sort-merge join when it is not."""
+    df.write.parquet(path)
+    return spark.read.parquet(path)

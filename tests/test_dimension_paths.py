@@ -20,6 +20,8 @@ def con():
 def test_hour_sum_for_names_in_a_dimension(spark, con):
     names = [r[0] for r in con.execute("SELECT c_name FROM customer ORDER BY c_custkey LIMIT 7").fetchall()]
     got = {r.hour: r.total for r in rpt.hour_sum_for(orders_customer(spark, SF), names).collect()}
+    staged = {r.hour: r.total for r in rpt.hour_sum_for(orders_customer(spark, SF), names, spark).collect()}
+    assert staged == got
     quoted = ", ".join(f"'{n}'" for n in names)
     want = dict(con.execute(
         f"""SELECT CAST(hour(o_orderdate) AS INTEGER), CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)
