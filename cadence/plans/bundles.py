@@ -65,12 +65,12 @@ def yearly_report(
     out = {
         "year_totals": with_default(years_table(spark, years), totals, ["year"]),
         "shares": shares,
-        f"top{top_long}": rpt.top_from(entity_totals, top_long),
-        f"top{top_short}": rpt.top_from(entity_totals, top_short),
+        f"top_{top_long}": rpt.top_from(entity_totals, top_long),
+        f"top_{top_short}": rpt.top_from(entity_totals, top_short),
     }
     if len(years) >= 2:
         a, b = sorted(years)[:2]
-        out[f"top{top_short}_side_by_side"] = rank_aligned(
+        out[f"top_{top_short}_side_by_side"] = rank_aligned(
             rpt.top_from(entity_totals.where(F.col("year").isin(a, b)), top_short), "year", a, b
         ).select("rank", "entity_a", "total_a", "entity_b", "total_b")
     return out

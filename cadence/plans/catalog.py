@@ -109,18 +109,18 @@ def entity_share_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.entity_shares(orders_customer(spark, sf_dir), [YEAR_A, YEAR_B], pct=True)
 
 
-@query("top15_by_year")
-def top15_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("top_15_by_year")
+def top_15_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_by_year(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B], n=15)
 
 
-@query("top10_rank_aligned")
-def top10_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("top_10_rank_aligned")
+def top_10_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_rank_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 
-@query("top10_entity_aligned")
-def top10_entity_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("top_10_entity_aligned")
+def top_10_entity_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_entity_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 

@@ -29,8 +29,8 @@ HEADINGS: dict[str, dict[str, str]] = {
     "season_top": {"entity": "Station"},
     "season_compare": {"season": "Season"},
     "shares": {"entity": "station_complex", "total": "ridership", "share": "percentage"},
-    "top15": {"entity": "station_complex", "total": "ridership"},
-    "top10": {"entity": "station_complex", "total": "ridership"},
+    "top_15": {"entity": "station_complex", "total": "ridership"},
+    "top_10": {"entity": "station_complex", "total": "ridership"},
     "hour_averages": {"entity": "Station Name", "hour": "Hour", "avg": "Average Ridership"},
     "weekday_averages": {"day": "Day of the Week", "avg_total": "Average Ridership"},
     "monthly_series": {"label": "Time (EST)", "filled": "Average Ridership"},

@@ -159,10 +159,10 @@ SELECT y.year, COALESCE(t.total, 0.0) AS total FROM y LEFT JOIN t ON y.year = t.
     "entity_totals": ENTITY_TOTALS_9697,
     "entity_share": _share(Y, " AS share"),
     "entity_share_pct": _share(O, " * 100 AS pct"),
-    "top15_by_year": f"""SELECT year, CAST(rn AS INTEGER) AS rank, entity, total FROM (
+    "top_15_by_year": f"""SELECT year, CAST(rn AS INTEGER) AS rank, entity, total FROM (
   SELECT *, row_number() OVER (PARTITION BY year ORDER BY total DESC, entity ASC) AS rn
   FROM ({ENTITY_TOTALS_9697}) e) r WHERE rn <= 15""",
-    "top10_rank_aligned": f"""WITH r AS (
+    "top_10_rank_aligned": f"""WITH r AS (
   SELECT year, entity, total,
          row_number() OVER (PARTITION BY year ORDER BY total DESC, entity ASC) AS rn
   FROM ({ENTITY_TOTALS_9697}) e),
@@ -170,7 +170,7 @@ a AS (SELECT rn, entity AS entity_a, total AS total_a FROM r WHERE year = 1996 A
 b AS (SELECT rn, entity AS entity_b, total AS total_b FROM r WHERE year = 1997 AND rn <= 10)
 SELECT CAST(COALESCE(a.rn, b.rn) AS INTEGER) AS rank, entity_a, total_a, entity_b, total_b
 FROM a FULL OUTER JOIN b ON a.rn = b.rn""",
-    "top10_entity_aligned": f"""WITH e AS ({ENTITY_TOTALS_9697}),
+    "top_10_entity_aligned": f"""WITH e AS ({ENTITY_TOTALS_9697}),
 a AS (SELECT entity, total AS total_a FROM (
         SELECT *, row_number() OVER (ORDER BY total DESC, entity ASC) AS rn FROM e WHERE year = 1996) q
       WHERE rn <= 10),

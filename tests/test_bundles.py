@@ -37,10 +37,10 @@ def test_seasonal_bundle_equals_single_tables(spark):
 def test_yearly_bundle_written_and_read_back(spark):
     fs = lineitem_supplier(spark, SF)
     b = bundles.yearly_report(spark, fs, [1996, 1997])
-    assert {"year_totals", "shares", "top15", "top10", "top10_side_by_side"} <= set(b)
+    assert {"year_totals", "shares", "top_15", "top_10", "top_10_side_by_side"} <= set(b)
     paths = bundles.write_report(spark, b, shared_dir(spark, "t-yearly"), fmt="parquet")
-    back = spark.read.parquet(paths["top15"])
-    assert back.count() == b["top15"].count()
+    back = spark.read.parquet(paths["top_15"])
+    assert back.count() == b["top_15"].count()
     assert "run_ts=" in paths["shares"]
     run = paths["shares"].rsplit("/", 1)[0]
     assert bundles.read_manifest(spark, run) == paths

@@ -47,7 +47,7 @@ def test_names_join_sits_above_the_aggregate(spark):
 
 
 def test_top_n_is_limited_before_the_shuffle(spark):
-    plan = physical(queries()["top15_by_year"](spark, SF))
+    plan = physical(queries()["top_15_by_year"](spark, SF))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
