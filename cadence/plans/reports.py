@@ -18,8 +18,10 @@ parameters and returns a lazy DataFrame; nothing is collected.
 | hour_profile                   | slot, hour, avg_per_row                            |
 | hour_sum_for                   | hour, total                                        |
 | network_hour_curve             | hour, label, y<a>, y<b>                            |
+| peak_hours                     | year, id, entity, peak_hour, peak_avg, low_hour,   |
+|                                | low_avg                                            |
 | monthly_series                 | year, month, id, entity, hour, label, v, filled,   |
-|                                | mean, n_slots                                      |
+|                                | mean, n_slots (per id with ``first_seen`` names)   |
 """
 
 from __future__ import annotations
