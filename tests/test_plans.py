@@ -93,3 +93,23 @@ def test_no_window_without_partition_keys(spark, name):
     df = queries()[name](spark, SF)
     df.collect()
     assert all(k > 0 for k in window_partition_keys(df)), name
+
+
+YEAR_FILTERED = {
+    "totals_by_year": "l_shipdate", "entity_totals": "l_shipdate", "entity_share": "l_shipdate",
+    "entity_share_pct": "o_orderdate", "top_15_by_year": "l_shipdate", "top_10_rank_aligned": "l_shipdate",
+    "top_10_entity_aligned": "l_shipdate", "season_matrix": "l_shipdate", "season_compare": "l_shipdate",
+    "season_top5": "l_shipdate", "weekday_avg": "o_orderdate", "page_extract": "o_orderdate",
+    "entity_range_extract": "o_orderdate",
+}
+
+
+@pytest.mark.parametrize("name", sorted(YEAR_FILTERED))
+def test_time_range_reaches_every_fact_scan(spark, name):
+    col = YEAR_FILTERED[name]
+    plan = physical(queries()[name](spark, SF))
+    scans = [l for l in plan.splitlines() if "FileScan parquet" in l and col in l.split("ReadSchema")[-1]]
+    assert scans
+    for line in scans:
+        pushed = line.split("PushedFilters: ")[1].split(", ReadSchema")[0]
+        assert f"GreaterThanOrEqual({col}" in pushed or f"GreaterThan({col}" in pushed, pushed
