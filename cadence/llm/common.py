@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from cadence.session import shared_root
 
 #: Texts of one Arrow batch are worked on in slices of about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Words of a generation of a worker's word table; it holds two, and the words of one slice.
-WORD_TABLE = 200_000
+WORD_TABLE = 150_000
 
 
 def ship_package(spark: SparkSession) -> None:

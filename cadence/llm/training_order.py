@@ -108,6 +108,21 @@ def encode_slice(texts: pa.Array, path: str) -> list[bytes]:
     return out
 
 
+def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(numbers, counts of ids, ids) of the sequences of a partition's texts, slice by slice."""
+    size, end = 2 * length, _bytes_of([END_OF_TEXT])
+    number, rest = TaskContext.get().partitionId() * PER_UNIT, b""
+    for batch in batches:
+        for part in text_slices(as_texts(batch.column(0))):
+            data = rest + b"".join([t + end for t in encode_slice(part, path)])
+            full = len(data) // size
+            rest = data[full * size :]
+            yield np.arange(number, number + full), np.full(full, length), [data[k * size : (k + 1) * size] for k in range(full)]
+            number += full
+    if rest:
+        yield np.array([number]), np.array([len(rest) // 2]), [rest + end * (length - len(rest) // 2)]
+
+
 def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
     """(number long, n_ids int, ids binary): sequences of ``length`` ids.
 
@@ -117,29 +132,13 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE)
     over the same rows in the same order makes the same sequences. Null and
     empty texts give an end-of-text id alone."""
     ship_package(docs.sparkSession)
-    path, size = path or ranks_path(), 2 * length
-    end = _bytes_of([END_OF_TEXT])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rest = TaskContext.get().partitionId() * PER_UNIT, b""
+    ranks = path or ranks_path()
 
-        def rows(data: bytes, n_ids: list[int]) -> pa.RecordBatch:
-            nonlocal number
-            numbers = range(number, number + len(n_ids))
-            number += len(n_ids)
-            parts = [data[k * size : (k + 1) * size] for k in range(len(n_ids))]
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(n_ids, pa.int32()), pa.array(parts, pa.binary())], ["number", "n_ids", "ids"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, n, ids in _cut(batches, ranks, length):
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["number", "n_ids", "ids"])
 
-        for batch in batches:
-            for part in text_slices(as_texts(batch.column(0))):
-                data = rest + b"".join([t + end for t in encode_slice(part, path)])
-                full = len(data) // size
-                rest = data[full * size :]
-                yield rows(data, [length] * full)
-        if rest:
-            yield rows(rest + end * (length - len(rest) // 2), [len(rest) // 2])
-
-    return docs.select("text").mapInArrow(cut, "number long, n_ids int, ids binary")
+    return docs.select("text").mapInArrow(rows, "number long, n_ids int, ids binary")
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -191,16 +190,18 @@ def write_training_order(docs: DataFrame, folder: str, key: int, shards: int | N
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = -(-DOMAIN // shards)
 
+    ranks = path or ranks_path()
+    ship_package(spark)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number, n = np.asarray(b.column(0)), np.asarray(b.column(1))
+        for number, n, ids in _cut(batches, ranks, length):
             slot_key = permute(number, key)
             head = np.concatenate([number.astype(">i8").view(np.uint8).reshape(-1, 8), n.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1)
-            records = [h.tobytes() + ids for h, ids in zip(head, b.column(2).to_pylist(), strict=True)]
+            records = [h.tobytes() + x for h, x in zip(head, ids, strict=True)]
             shard = (slot_key // width).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot_key), pa.array(records, pa.binary())], ["shard", "slot_key", "record"])
 
-    placed = sequences(docs, path, length).mapInArrow(place, "shard int, slot_key long, record binary")
+    placed = docs.select("text").mapInArrow(place, "shard int, slot_key long, record binary")
     ranged = placed.repartitionById(shards, "shard").sortWithinPartitions("slot_key")
     ranged.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
     return folder
