@@ -6,6 +6,7 @@ word codes, and look words up in a per-worker table of bounded size.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -140,6 +141,21 @@ class WordTable:
         return out
 
 
+_WORKER_TABLE: dict[tuple, WordTable] = {}
+
+
+def worker_table(key: tuple, make: Callable[[], WordTable]) -> WordTable:
+    """The worker process's word table of that key. A worker serves one operator
+    after another: it keeps the table of the last one only, and hands memory of
+    the one before back."""
+    if key not in _WORKER_TABLE:
+        _WORKER_TABLE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _WORKER_TABLE[key] = make()
+    return _WORKER_TABLE[key]
+
+
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges``; nodes are longs.
 

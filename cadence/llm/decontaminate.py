@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cadence.llm.common import WordTable, as_texts, materialise, ship_package, text_slices
+from cadence.llm.common import WordTable, as_texts, materialise, ship_package, text_slices, worker_table
 
 WINDOW = 5
 #: Share of an item's windows, or words in a row, that make a document hold it.
@@ -162,14 +162,9 @@ def windows(text: Column, wanted: bytes | None = None) -> Column:
     return of(text)
 
 
-_TABLES: list[WordTable] = []
-
-
 def _described() -> WordTable:
     """The worker's table of described words."""
-    if not _TABLES:
-        _TABLES.append(WordTable(lambda words: [describe_word(w) for w in words]))
-    return _TABLES[0]
+    return worker_table(("described",), lambda: WordTable(lambda words: [describe_word(w) for w in words]))
 
 
 def judge_alignment(windows_of: list[dict]) -> dict:

@@ -21,16 +21,17 @@ import functools
 import math
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from cadence.llm.common import WordTable, as_texts, coded_words, joined_values, ship_package, text_slices
+from cadence.llm.common import WordTable, as_texts, coded_words, joined_values, ship_package, text_slices, worker_table
 from cadence.llm.token_counts import SPACE_SIGN, irregular, is_word_safe, model_path, processor
 
 UNKNOWN_PENALTY = 10.0
@@ -137,8 +138,11 @@ def _crossing(path: str) -> re.Pattern:
     return re.compile("[" + re.escape("".join(sorted(found))) + SPACE_SIGN + "]")
 
 
-@functools.cache
 def _words(path: str) -> WordTable:
+    return worker_table(("pieces", path), lambda: _make_words(path))
+
+
+def _make_words(path: str) -> WordTable:
     c, crossing = codec(path), _crossing(path)
     runs = WordTable(lambda cut: [array("i", c.encode(x)).tobytes() for x in cut])
 
@@ -164,27 +168,6 @@ def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
 
-def encode(text: Column, path: str) -> Column:
-    """struct<ids array<int>, exact boolean> of a whole text; null counts as empty.
-
-    ``exact`` says that decoding the ids gives the text back."""
-
-    @arrow_udf("struct<ids:array<int>,exact:boolean>")
-    def of(texts: pa.Array) -> pa.Array:
-        c = codec(path)
-        ids, exact, ends = [np.zeros(0, dtype=np.int32)], [], [0]
-        for part in text_slices(as_texts(texts)):
-            got, cuts = encode_slice(part, path)
-            ids.append(got)
-            for a, b, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), part.to_numpy(zero_copy_only=False), strict=True):
-                exact.append(c.decode(got[a:b]) == t)
-            ends += (cuts[1:] + ends[-1]).tolist()
-        lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate(ids)))
-        return pa.StructArray.from_arrays([lists, pa.array(exact, type=pa.bool_())], ["ids", "exact"])
-
-    return of(text)
-
-
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids; null stays null."""
 
@@ -197,12 +180,30 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip) per row of ``docs``.
+    """(doc_id, n_tokens, ids, round_trip) per row of ``docs``; round_trip says
+    that decoding the ids gave the text back.
 
-    Null and empty texts have no ids and round-trip to the empty text. Very long
-    texts are coded whole; repeated rows and null ids like any other; an empty
-    table gives no rows; other columns are ignored.
+    Null and empty texts have no ids and round-trip to the empty text. A text
+    that holds the space sign itself decodes with a space there and does not
+    round-trip. Very long texts are coded whole; repeated rows and null ids like
+    any other; an empty table gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    coded = docs.select("doc_id", encode(F.col("text"), path or model_path()).alias("coded"))
-    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), F.col("coded.ids").alias("ids"), F.col("coded.exact").alias("round_trip"))
+    model = path or model_path()
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for batch in batches:
+            at = 0
+            # a batch out for each slice: ids of a whole batch in would be large
+            for part in text_slices(as_texts(batch.column(1))):
+                ids, cuts = encode_slice(part, model)
+                texts = part.to_numpy(zero_copy_only=False)
+                exact = [c.decode(ids[a:b]) == t for a, b, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                doc_ids = batch.column(0).slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(cuts).astype(np.int64)), lists, pa.array(exact, type=pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+                at += len(part)
+
+    return docs.select("doc_id", "text").mapInArrow(code, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cadence.llm.common import WordTable, as_texts, coded_words, ship_package, text_slices
+from cadence.llm.common import WordTable, as_texts, coded_words, ship_package, text_slices, worker_table
 
 SPACE_SIGN = "▁"
 #: Characters of a long text that are encoded at once.
@@ -93,10 +93,9 @@ def count_tokens_in(texts: list[str], path: str) -> list[int]:
     return np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64).tolist()
 
 
-@functools.cache
 def _lengths(path: str) -> WordTable:
     sp = processor(path)
-    return WordTable(lambda words: [len(x) for x in sp.encode(words, num_threads=1)])
+    return worker_table(("lengths", path), lambda: WordTable(lambda words: [len(x) for x in sp.encode(words, num_threads=1)]))
 
 
 #: Texts in which a space run, a space at an edge, or the space sign itself

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadence.llm.common import WordTable, as_texts, coded_words, joined_values, ship_package, text_slices
+from cadence.llm.common import WordTable, as_texts, coded_words, joined_values, ship_package, text_slices, worker_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
@@ -67,11 +67,17 @@ def _bytes_of(ids: list[int]) -> bytes:
 
 
 @functools.cache
-def _words(path: str) -> WordTable:
+def _starts_word(path: str) -> np.ndarray:
+    """Which ids stand for bytes that begin with a space."""
     enc = encoding(path)
     starts = np.zeros(1 << 16, dtype=bool)
     for k, token in enumerate(enc.token_byte_values()):
         starts[enc.encode_single_token(token)] = token.startswith(b" ")
+    return starts
+
+
+def _words(path: str) -> WordTable:
+    enc, starts = encoding(path), _starts_word(path)
 
     def work(words: list[str]) -> list[bytes]:
         # words as one text: each begins with the only space it has
@@ -80,7 +86,7 @@ def _words(path: str) -> WordTable:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return WordTable(work)
+    return worker_table(("ids", path), lambda: WordTable(work))
 
 
 def encode_slice(texts: pa.Array, path: str) -> list[bytes]:
