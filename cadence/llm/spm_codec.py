@@ -35,6 +35,8 @@ from cadence.llm.common import WordTable, as_texts, coded_words, joined_values,
 from cadence.llm.token_counts import SPACE_SIGN, irregular, is_word_safe, model_path, processor
 
 UNKNOWN_PENALTY = 10.0
+#: Words, and cuts of words, of a generation that a worker remembers.
+WORDS_KEPT = 60_000
 _RUNS = re.compile(f"{SPACE_SIGN}+[^{SPACE_SIGN}]*|[^{SPACE_SIGN}]+")
 
 
@@ -144,14 +146,14 @@ def _words(path: str) -> WordTable:
 
 def _make_words(path: str) -> WordTable:
     c, crossing = codec(path), _crossing(path)
-    runs = WordTable(lambda cut: [array("i", c.encode(x)).tobytes() for x in cut])
+    runs = WordTable(lambda cut: [array("i", c.encode(x)).tobytes() for x in cut], WORDS_KEPT)
 
     def work(words: list[str]) -> list[bytes]:
         cut = [[SPACE_SIGN + w] if not w or crossing.search(w) else _MARK_RUNS.findall(SPACE_SIGN + w) for w in words]
         coded = iter(runs.values(list(chain.from_iterable(cut))))
         return [next(coded) if len(x) == 1 else b"".join([next(coded) for _ in x]) for x in cut]
 
-    return WordTable(work)
+    return WordTable(work, WORDS_KEPT)
 
 
 def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
