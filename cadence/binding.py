@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 class FactSet:
     facts: DataFrame
     names: DataFrame | None = None
-    # Sums are taken as whole 10^-scale units (BIGINT), so they are exact and
-    # do not depend on the order rows arrive in; None sums plain doubles.
-    scale: int | None = 2
+    # None sums the measure as it is (doubles). A scale, which only a caller who
+    # knows the measure gives, takes sums as whole 10^-scale units (BIGINT):
+    # exact and free of the order of rows. A value with more decimals fails.
+    scale: int | None = None
 
     @property
     def inline(self) -> bool:

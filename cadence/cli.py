@@ -40,7 +40,7 @@ def _facts(spark, args) -> FactSet:
         return read_hourly_csv(spark, args.input, mode=args.mode)
     if args.source == "json":
         return FactSet(clean_hourly(read_json_pages(spark, args.input), mode=args.mode))
-    return read_landed(spark, args.input[0])
+    return read_landed(spark, args.input)
 
 
 def _bundle(spark, args, fs: FactSet) -> dict:
@@ -54,7 +54,7 @@ def _bundle(spark, args, fs: FactSet) -> dict:
     if args.report == "weekday":
         return bundles.weekday_report(spark, fs, years)
     if args.report == "monthly":
-        return bundles.monthly_report(spark, fs, min_slots=args.min_slots or None)
+        return bundles.monthly_report(spark, fs, years, min_slots=args.min_slots or None)
     if args.report == "profile":
         return {"hour_profile": rpt.hour_average_by_entity(fs)}
     if args.report == "network":

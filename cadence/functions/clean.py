@@ -32,12 +32,13 @@ def _fail_on(what: str, text: Column) -> Column:
 
 
 def to_number(text: Column | str, strict: bool = False) -> Column:
-    """Text to DOUBLE. Empty text, ``NaN`` and junk become NULL when lenient;
-    junk fails the job when strict (empty and ``NaN`` are missing either
+    """Text to DOUBLE. Empty text, ``NaN``, infinities and junk become NULL when
+    lenient; junk and infinities fail the job when strict (empty and ``NaN`` are missing either
     way). Strict does not depend on the session's ANSI setting."""
     t = F.trim(_c(text).cast("string"))
     blank = t.isNull() | (t == "")
     num = t.try_cast("double")
+    num = F.when(F.abs(num) != F.lit(float("inf")), num)
     out = F.when(blank, F.lit(None).cast("double"))
     if strict:
         out = out.when(num.isNull(), _fail_on("number", t))

@@ -56,7 +56,8 @@ def yearly_report(
     top_short: int = 10,
 ) -> dict[str, DataFrame]:
     """Year totals (every requested year), entity shares, the top lists and
-    the first two years' top lists side by side."""
+    the top lists of every two adjacent years side by side (one table; with more
+    than two years one per pair, named by its years)."""
     f = fs.for_years(years)
     part = materialize(spark, partials(f, {"year": F.year("ts")}))
     totals = by_keys(part, ["year"]).select("year", total_of("s").alias("total"))
@@ -68,9 +69,10 @@ def yearly_report(
         f"top_{top_long}": rpt.top_from(entity_totals, top_long),
         f"top_{top_short}": rpt.top_from(entity_totals, top_short),
     }
-    if len(years) >= 2:
-        a, b = sorted(years)[:2]
-        out[f"top_{top_short}_side_by_side"] = rank_aligned(
+    ordered = sorted(set(years))
+    for a, b in zip(ordered, ordered[1:], strict=False):
+        pair = "" if len(ordered) == 2 else f"_{a}_{b}"
+        out[f"top_{top_short}_side_by_side{pair}"] = rank_aligned(
             rpt.top_from(entity_totals.where(F.col("year").isin(a, b)), top_short), "year", a, b
         ).select("rank", "entity_a", "total_a", "entity_b", "total_b")
     return out
@@ -85,9 +87,15 @@ def weekday_report(spark: SparkSession, fs: FactSet, years: Sequence[int]) -> di
     return {"weekday_averages": rpt.weekday_average(spark, fs, years)}
 
 
-def monthly_report(spark: SparkSession, fs: FactSet, min_slots: int | None = 12) -> dict[str, DataFrame]:
-    """The 24-hour series; written partitioned by (year, month)."""
-    return {"monthly_series": rpt.monthly_series(fs, min_slots=min_slots)}
+def monthly_report(
+    spark: SparkSession, fs: FactSet, years: Sequence[int] | None = None, min_slots: int | None = 12
+) -> dict[str, DataFrame]:
+    """The 24-hour series of the chosen years (None: all), one per month and id,
+    named by the id's first name where names stand on the fact rows; written
+    partitioned by (year, month)."""
+    chosen = fs if years is None else fs.for_years(years)
+    rule = "first_seen" if fs.inline else "group"
+    return {"monthly_series": rpt.monthly_series(chosen, min_slots=min_slots, name_rule=rule)}
 
 
 PARTITIONS = {

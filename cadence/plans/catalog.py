@@ -109,17 +109,17 @@ def entity_share_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.entity_shares(orders_customer(spark, sf_dir), [YEAR_A, YEAR_B], pct=True)
 
 
-@query("top_15_by_year")
+@query("top15_by_year")
 def top_15_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_by_year(lineitem_supplier(spark, sf_dir), [YEAR_A, YEAR_B], n=15)
 
 
-@query("top_10_rank_aligned")
+@query("top10_rank_aligned")
 def top_10_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_rank_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 
-@query("top_10_entity_aligned")
+@query("top10_entity_aligned")
 def top_10_entity_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_entity_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
@@ -209,7 +209,8 @@ def profile_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_profile(spark, path, PROFILE_YEAR)
     return back.select(
         "id",
-        sanitize_name("entity").alias("entity"),
+        "entity",
+        sanitize_name("entity").alias("clean_name"),
         "hour",
         hour_label("hour").alias("label"),
         "avg",
@@ -246,7 +247,7 @@ def regex_year_hour12(spark: SparkSession, sf_dir: str) -> DataFrame:
         clock_hour12("ts_text").alias("clock_hour12"),
         to_number("v_text").alias("v"),
     )
-    sums = agg.key_sums(FactSet(parsed), {"year": F.col("year"), "clock_hour12": F.col("clock_hour12")})
+    sums = agg.key_sums(FactSet(parsed, scale=2), {"year": F.col("year"), "clock_hour12": F.col("clock_hour12")})
     return sums.select("year", "clock_hour12", agg.total_of("s").alias("total"))
 
 
@@ -368,7 +369,7 @@ def running_hour_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         "v",
         out=shared_dir(spark, "running-out"),
         checkpoint=shared_dir(spark, "running-ckpt"),
-        files_per_trigger=1,
+        scale=2,
     )
     return out.select("entity", "hour", agg.total_of("s").alias("total"), "n")
 
@@ -396,7 +397,7 @@ def monthly_series_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "v",
         out=shared_dir(spark, "series-state"),
         checkpoint=shared_dir(spark, "series-ckpt"),
-        files_per_trigger=1,
+        scale=2,
     )
     per_slot = state.select(*rpt.SERIES_KEYS, "hour", agg.mean_of().alias("v"))
     out = filled_series(per_slot, rpt.SERIES_KEYS, min_slots=12)

@@ -159,10 +159,10 @@ SELECT y.year, COALESCE(t.total, 0.0) AS total FROM y LEFT JOIN t ON y.year = t.
     "entity_totals": ENTITY_TOTALS_9697,
     "entity_share": _share(Y, " AS share"),
     "entity_share_pct": _share(O, " * 100 AS pct"),
-    "top_15_by_year": f"""SELECT year, CAST(rn AS INTEGER) AS rank, entity, total FROM (
+    "top15_by_year": f"""SELECT year, CAST(rn AS INTEGER) AS rank, entity, total FROM (
   SELECT *, row_number() OVER (PARTITION BY year ORDER BY total DESC, entity ASC) AS rn
   FROM ({ENTITY_TOTALS_9697}) e) r WHERE rn <= 15""",
-    "top_10_rank_aligned": f"""WITH r AS (
+    "top10_rank_aligned": f"""WITH r AS (
   SELECT year, entity, total,
          row_number() OVER (PARTITION BY year ORDER BY total DESC, entity ASC) AS rn
   FROM ({ENTITY_TOTALS_9697}) e),
@@ -170,7 +170,7 @@ a AS (SELECT rn, entity AS entity_a, total AS total_a FROM r WHERE year = 1996 A
 b AS (SELECT rn, entity AS entity_b, total AS total_b FROM r WHERE year = 1997 AND rn <= 10)
 SELECT CAST(COALESCE(a.rn, b.rn) AS INTEGER) AS rank, entity_a, total_a, entity_b, total_b
 FROM a FULL OUTER JOIN b ON a.rn = b.rn""",
-    "top_10_entity_aligned": f"""WITH e AS ({ENTITY_TOTALS_9697}),
+    "top10_entity_aligned": f"""WITH e AS ({ENTITY_TOTALS_9697}),
 a AS (SELECT entity, total AS total_a FROM (
         SELECT *, row_number() OVER (ORDER BY total DESC, entity ASC) AS rn FROM e WHERE year = 1996) q
       WHERE rn <= 10),
@@ -229,7 +229,7 @@ SELECT h.hour, h.label, w.y2023, w.y2024 FROM h LEFT JOIN w ON h.hour = w.hour""
     "monthly_series_all": _series(
         "AND ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00'", ""
     ),
-    "profile_readback": f"""SELECT id, {_sanitize('entity')} AS entity, hour, {_label('hour')} AS label,
+    "profile_readback": f"""SELECT id, entity, {_sanitize('entity')} AS clean_name, hour, {_label('hour')} AS label,
        CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n END AS avg
 FROM (SELECT {YR} AS year, id, entity, {HR} AS hour, {SUM} AS s, COUNT(v) AS n
       FROM ({H}) WHERE ts IS NOT NULL AND id IS NOT NULL AND entity IS NOT NULL GROUP BY 1, 2, 3, 4) g
@@ -300,7 +300,7 @@ FROM r GROUP BY 1, 2, 3"""
 ORACLE["monthly_series_by_id"] = _series("", "HAVING COUNT(v) >= 12", first_seen=True)
 ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
 ORACLE["monthly_series_streamed"] = ORACLE["monthly_series"]
-ORACLE["monthly_series_written"] = ORACLE["monthly_series"]
+ORACLE["monthly_series_written"] = ORACLE["monthly_series_by_id"]
 
 
 def oracle_sql() -> dict[str, str]:

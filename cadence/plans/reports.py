@@ -303,7 +303,7 @@ def monthly_series(
     (``min_slots``), full hour axis, linear gap fill, series mean.
 
     ``name_rule="first_seen"`` keys a series by (year, month, id) alone and
-    names it by the name on its earliest row (ties: smallest name), as a
+    names it by the name on its earliest row with a measure (ties: smallest name), as a
     series per station id with the first name seen; the earliest
     (ts, name) pair rides along in the same aggregates, so it costs no
     extra scan. Names must be inline for it."""
@@ -329,7 +329,7 @@ def monthly_series(
         per_slot = rows.groupBy(*id_keys, "hour").agg(
             exact_sum("v", fs.scale).alias("s"),
             F.count("v").alias("n"),
-            F.min(F.struct("ts", "entity")).alias("first"),
+            F.min(F.when(F.col("v").isNotNull(), F.struct("ts", "entity"))).alias("first"),
         ).select(*id_keys, "hour", mean_of().alias("v"), "first")
         out = filled_series(
             per_slot, id_keys, min_slots=min_slots, carry={"entity": F.min("first")["entity"]}

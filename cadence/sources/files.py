@@ -8,6 +8,7 @@ cell is a query matter (strict: the job fails; lenient: the cell is NULL).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,14 @@ MODES = ("strict", "lenient", "keep")
 
 def read_raw_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Headered CSV, every column as STRING (no inference pass over the
-    data), column names stripped of outer blanks."""
+    data), column names stripped of outer blanks. All files must have the same
+    header: a file whose columns differ or stand in another order fails the read
+    instead of being taken by position."""
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("multiLine", False)
+        .option("enforceSchema", False)
         .csv(path if isinstance(path, str) else list(path))
     )
     return strip_column_names(df)
@@ -158,8 +162,10 @@ def land_as_parquet(fs: FactSet, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
-def read_landed(spark: SparkSession, path: str) -> FactSet:
-    """Facts landed by ``land_as_parquet`` (names inline). The ``year`` and
+def read_landed(spark: SparkSession, path: str | Sequence[str]) -> FactSet:
+    """Facts of all given folders landed by ``land_as_parquet`` (names inline). The ``year`` and
     ``month`` partition columns stay, so year and month filters of the
     reports skip whole folders."""
-    return FactSet(spark.read.parquet(path))
+    paths = [path] if isinstance(path, str) else list(path)
+    folders = [spark.read.parquet(p) for p in paths]
+    return FactSet(reduce(lambda a, b: a.unionByName(b), folders))

@@ -60,7 +60,7 @@ def lineitem_supplier(spark: SparkSession, sf_dir: str) -> FactSet:
     li = read_table(spark, sf_dir, "lineitem")
     facts = li.selectExpr("l_orderkey AS key", "l_shipdate AS ts", "l_suppkey AS id", "l_quantity AS v")
     names = read_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS entity")
-    return FactSet(facts, names)
+    return FactSet(facts, names, scale=2)
 
 
 def orders_customer(spark: SparkSession, sf_dir: str) -> FactSet:
@@ -68,14 +68,14 @@ def orders_customer(spark: SparkSession, sf_dir: str) -> FactSet:
     o = read_table(spark, sf_dir, "orders")
     facts = o.selectExpr("o_orderkey AS key", "o_orderdate AS ts", "o_custkey AS id", "o_totalprice AS v")
     names = read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS entity")
-    return FactSet(facts, names)
+    return FactSet(facts, names, scale=2)
 
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> FactSet:
     """Binding H: event value per (user, event type) with hours."""
     e = read_table(spark, sf_dir, "events")
     facts = e.selectExpr("event_id AS key", "ts", "user_id AS id", "event_type AS entity", "value AS v")
-    return FactSet(facts)
+    return FactSet(facts, scale=2)
 
 
 def events_two_years(spark: SparkSession, sf_dir: str) -> FactSet:
@@ -116,4 +116,4 @@ def events_dirty(spark: SparkSession, sf_dir: str) -> FactSet:
         to_stamp_guess("ts_text").alias("ts"),
         to_number("v_text").alias("v"),
     )
-    return FactSet(facts)
+    return FactSet(facts, scale=2)

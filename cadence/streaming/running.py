@@ -32,7 +32,7 @@ def running_totals(
     out: str,
     checkpoint: str,
     fmt: str = "parquet",
-    scale: int | None = 2,
+    scale: int | None = None,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Run the running aggregate over everything landed so far
@@ -72,10 +72,15 @@ def append_stream(
     checkpoint: str,
     fmt: str = "json",
     files_per_trigger: int | None = None,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Append landed records (after ``transform``) to a Parquet table; run
-    until everything landed is in, then return the table."""
-    reader = spark.readStream.schema(schema).format(fmt)
+    until everything landed is in, then return the table.
+
+    ``options`` go to the reader: pages that are JSON arrays over several lines
+    need ``multiLine``. A record that cannot be read fails the run instead of
+    turning into an empty row (``mode`` FAILFAST, unless ``options`` say else)."""
+    reader = spark.readStream.schema(schema).format(fmt).options(**{"mode": "FAILFAST", **(options or {})})
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     stream = transform(reader.load(landing))

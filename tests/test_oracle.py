@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from oracle_check import TABLES, digest, rows_of  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from cadence.plans.catalog import queries  # noqa: E402
+from cadence.plans.oracle import oracle_sql  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 

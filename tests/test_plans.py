@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from plan_report import final_plan, window_partition_keys  # noqa: E402
 
-from __spark_entry__ import queries  # noqa: E402
+from cadence.plans.catalog import queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,7 +47,7 @@ def test_names_join_sits_above_the_aggregate(spark):
 
 
 def test_top_n_is_limited_before_the_shuffle(spark):
-    plan = physical(queries()["top_15_by_year"](spark, SF))
+    plan = physical(queries()["top15_by_year"](spark, SF))
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
@@ -97,8 +97,8 @@ def test_no_window_without_partition_keys(spark, name):
 
 YEAR_FILTERED = {
     "totals_by_year": "l_shipdate", "entity_totals": "l_shipdate", "entity_share": "l_shipdate",
-    "entity_share_pct": "o_orderdate", "top_15_by_year": "l_shipdate", "top_10_rank_aligned": "l_shipdate",
-    "top_10_entity_aligned": "l_shipdate", "season_matrix": "l_shipdate", "season_compare": "l_shipdate",
+    "entity_share_pct": "o_orderdate", "top15_by_year": "l_shipdate", "top10_rank_aligned": "l_shipdate",
+    "top10_entity_aligned": "l_shipdate", "season_matrix": "l_shipdate", "season_compare": "l_shipdate",
     "season_top5": "l_shipdate", "weekday_avg": "o_orderdate", "page_extract": "o_orderdate",
     "entity_range_extract": "o_orderdate",
 }

@@ -1,5 +1,6 @@
 """Null, NaN and tie rules of the reports, on hand-made rows."""
 
+from dataclasses import replace
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -125,8 +126,8 @@ def test_nan_measure_is_missing(spark):
 
 
 def test_fixed_point_sum_is_exact(spark):
-    # 0.1 + 0.2 summed as doubles is not 0.3; the fixed-point sum is
-    fs = facts(spark, [(T(2023), "1", "A", 0.1), (T(2023), "1", "A", 0.2)])
+    # 0.1 + 0.2 summed as doubles is not 0.3; with a scale the fixed-point sum is
+    fs = replace(facts(spark, [(T(2023), "1", "A", 0.1), (T(2023), "1", "A", 0.2)]), scale=2)
     assert rpt.entity_year_totals(fs, [2023]).collect()[0].total == 0.3
 
 

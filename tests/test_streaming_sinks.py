@@ -24,7 +24,7 @@ def test_running_totals_equal_batch_over_several_files(spark):
     keys = {"entity": F.col("entity"), "hour": F.hour("ts")}
     streamed = running_totals(
         spark, landing, facts.schema, keys, "v",
-        out=shared_dir(spark, "t-out"), checkpoint=shared_dir(spark, "t-ckpt"), files_per_trigger=1,
+        out=shared_dir(spark, "t-out"), checkpoint=shared_dir(spark, "t-ckpt"), files_per_trigger=1, scale=2,
     )
     batch = agg.key_sums(events_hourly(spark, SF), keys)
     a = sorted(tuple(r) for r in streamed.select("entity", "hour", "s", "n", "rows").collect())
