@@ -210,7 +210,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     texts, and texts of fewer than five template words, have no windows: such
     documents are clean and such items are never found. Rows are told apart by
     doc_id and text, so repeated rows give one result and rows of one id with
-    different texts (null ids too) are judged apart. An empty table on either
+    different texts (null ids too) are judged apart. Words in capitals only are
+    no names, so an item with names is not recognised in a shouted copy; one
+    without names is. An empty table on either
     side gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
