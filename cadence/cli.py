@@ -15,6 +15,8 @@ import json
 import sys
 from collections.abc import Sequence
 
+from pyspark.sql import functions as F
+
 from cadence.binding import FactSet
 from cadence.operators import entity as ent
 from cadence.plans import bundles
@@ -66,10 +68,8 @@ def _bundle(spark, args, fs: FactSet) -> dict:
     if args.report == "directory":
         return {"directory": ent.directory(fs)}
     if args.report == "first-month":
-        rows = ent.first_month_rows(fs, spark)
-        if args.ids:
-            rows = rows.where(rows.id.isin(args.ids))
-        return {"first_month_rows": rows}
+        chosen = fs.where(F.col("id").isin(args.ids)) if args.ids else fs
+        return {"first_month_rows": ent.first_month_rows(chosen, spark)}
     if args.report == "extract":
         return {"extract": ent.range_extract(fs, args.ids, args.start, args.end, cols=("id", "entity", "ts", "v"))}
     raise ValueError(args.report)
@@ -90,6 +90,7 @@ def parse(argv: Sequence[str]) -> argparse.Namespace:
     ap.add_argument("--names", nargs="*", default=[], help="entity names of the histogram")
     ap.add_argument("--start", default="1900-01-01 00:00:00")
     ap.add_argument("--end", default="9999-12-31 23:59:59")
+    ap.add_argument("--append", action="store_true", help="land: add to a folder landed before")
     ap.add_argument("--plain-names", action="store_true", help="keep the library's column names")
     ap.add_argument("--master", default=None, help="only for runs outside spark-submit")
     ap.add_argument("--profile", choices=("local", "cluster"), default=None, help="session settings profile")
@@ -101,7 +102,7 @@ def main(argv: Sequence[str] | None = None) -> dict[str, str]:
     spark = build_session(args.master, profile=args.profile)
     fs = _facts(spark, args)
     if args.report == "land":
-        paths = {"facts": land_as_parquet(fs, args.out)}
+        paths = {"facts": land_as_parquet(fs, args.out, mode="append" if args.append else "errorifexists")}
     else:
         bundle = _bundle(spark, args, fs)
         if not args.plain_names:

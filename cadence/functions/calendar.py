@@ -161,3 +161,14 @@ def years_table(spark: SparkSession, years: Iterable[int]) -> DataFrame:
     ys = sorted(set(int(y) for y in years))
     arr = F.array(*[F.lit(y) for y in ys])
     return spark.range(1).select(F.explode(arr).alias("year"))
+
+
+#: Keys whose distinct values a calendar bounds.
+CALENDAR_KEYS = frozenset({"year", "month", "date", "season", "slot", "hour", "day"})
+
+
+def require_calendar_keys(keys) -> None:
+    """Stop with ``ValueError`` if a key of a table to broadcast is no calendar key."""
+    others = [k for k in keys if k not in CALENDAR_KEYS]
+    if others:
+        raise ValueError(f"not calendar keys: {others}; a table by them has no size bound to broadcast it")

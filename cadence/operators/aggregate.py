@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.binding import FactSet
+from cadence.functions.calendar import require_calendar_keys
 
 Keys = Mapping[str, Column]
 
@@ -157,7 +158,8 @@ def with_default(requested: DataFrame, sums: DataFrame, on: list[str], value: st
     ``requested`` is a calendar table of fixed size and ``sums`` is grouped
     by the same keys (callers filter the facts to the requested keys first).
     """
-    # ``sums`` has one row per requested key at most: broadcast, a bounded size
+    # ``sums`` has one row per requested calendar key at most: broadcast, a bounded size
+    require_calendar_keys(on)
     joined = requested.join(F.broadcast(sums), on, "left")
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 

@@ -13,6 +13,8 @@ from cadence.binding import FactSet
 from cadence.session import shared_dir
 from cadence.sinks.writers import materialize
 
+MAX_PAGE_END = 100_000  # rows that one task may hold for a page
+
 
 def directory(fs: FactSet) -> DataFrame:
     """Distinct (id, entity) pairs of the ids that occur in the facts.
@@ -98,7 +100,10 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFr
 
     ``order`` must be a total order (end it with a unique key). Planned as a
     top-(offset+limit) per task, so it is for shallow pages; page deep with
-    ``page_after``, whose cost does not grow with the depth."""
+    ``page_after``, whose cost does not grow with the depth. Pages that end
+    beyond row MAX_PAGE_END are refused."""
+    if offset + limit > MAX_PAGE_END:
+        raise ValueError(f"page ends at row {offset + limit}, over {MAX_PAGE_END}: use page_after")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 

@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.functions.calendar import require_calendar_keys
+
 
 def share_of_total(
     per_entity: DataFrame,
@@ -26,7 +28,9 @@ def share_of_total(
 
     ``group_totals`` holds one row per group (e.g. per requested year); its
     size is bounded by the number of groups asked for, so it is broadcast.
+    Only calendar keys are taken: other groups may be as many as the rows.
     """
+    require_calendar_keys(on)
     joined = per_entity.join(F.broadcast(group_totals), on, "inner")
     ratio = F.when(F.col(group_value) > 0, F.col(value) / F.col(group_value)).otherwise(F.lit(0.0))
     return joined.withColumn(out, ratio)
@@ -37,17 +41,21 @@ def rank_within(
     by: Iterable[str],
     order: str = "total",
     tie: str = "entity",
-    n: int | None = None,
+    n: int = 10,
     out: str = "rank",
 ) -> DataFrame:
     """Row number per group, largest ``order`` first, ties by ``tie`` ascending.
 
-    With ``n`` only ranks ``<= n`` are kept (the top-n list)."""
+    Only ranks ``<= n`` are kept (the top-n list). Spark limits each task's rows
+    before the shuffle up to ``spark.sql.optimizer.windowGroupLimitThreshold``;
+    a larger ``n`` is refused, since it would send a whole group to one task
+    (raise that setting to ask for longer lists)."""
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > most:
+        raise ValueError(f"n = {n} is over spark.sql.optimizer.windowGroupLimitThreshold = {most}")
     w = Window.partitionBy(*list(by)).orderBy(F.col(order).desc(), F.col(tie).asc())
     ranked = df.withColumn(out, F.row_number().over(w))
-    if n is not None:
-        ranked = ranked.where(F.col(out) <= n)
-    return ranked
+    return ranked.where(F.col(out) <= n)
 
 
 def top_n(df: DataFrame, n: int, order: str = "total", tie: str = "entity") -> DataFrame:

@@ -23,6 +23,7 @@ from cadence.functions.calendar import years_table
 from cadence.operators.aggregate import by_keys, partials, total_of, with_default
 from cadence.operators.rank import rank_aligned
 from cadence.plans import reports as rpt
+from cadence.plans.labels import HEADINGS
 from cadence.session import shared_dir
 from cadence.sinks.writers import materialize as write_and_read
 from cadence.sinks.writers import run_folder, write_bundle
@@ -104,6 +105,19 @@ PARTITIONS = {
     "shares": ["year"],
 }
 
+#: Columns that the files of a partitioned table are sorted by.
+ORDERS = {
+    "hour_averages": ["id", "entity", "hour"],
+    "monthly_series": ["id", "entity", "hour"],
+}
+
+
+def _order_of(name: str, table: DataFrame) -> list[str]:
+    """The sort columns of a table, under the report's headings if it has those."""
+    headings = HEADINGS.get(name, {})
+    called = [c if c in table.columns else headings.get(c, c) for c in ORDERS.get(name, ())]
+    return [c for c in called if c in table.columns]
+
 
 def write_report(
     spark: SparkSession,
@@ -117,7 +131,13 @@ def write_report(
     parts = dict(PARTITIONS)
     parts.update(partition_by or {})
     folder = run_folder(root)
-    paths = write_bundle(bundle, folder, fmt=fmt, partition_by={k: v for k, v in parts.items() if k in bundle})
+    paths = write_bundle(
+        bundle,
+        folder,
+        fmt=fmt,
+        partition_by={k: v for k, v in parts.items() if k in bundle},
+        order={k: _order_of(k, table) for k, table in bundle.items()},
+    )
     # written last: a run folder without a manifest is an unfinished run
     manifest = spark.createDataFrame(sorted(paths.items()), "table STRING, path STRING")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")

@@ -60,7 +60,6 @@ RANGE_START, RANGE_END = "1996-01-01 00:00:00", "1997-12-31 23:59:59"
 PAGE_OFFSET, PAGE_SIZE = 200, 100
 SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
 OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
-SERIES_YEAR, SERIES_MONTH = 2024, 1
 PROFILE_YEAR = 2024
 
 _REGISTRY: dict[str, Query] = {}
@@ -193,16 +192,14 @@ def monthly_series_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("monthly_series_all")
 def monthly_series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of one month, no coverage filter (RPT-7)."""
-    return rpt.monthly_series(
-        events_hourly(spark, sf_dir), min_slots=None, year=SERIES_YEAR, month=SERIES_MONTH
-    )
+    """Series of every month, no coverage filter (RPT-7)."""
+    return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=None)
 
 
 @query("profile_readback")
 def profile_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hour profile written partitioned by year, one year read back (RPT-13)."""
-    fs = events_hourly(spark, sf_dir)
+    """Hour profile of a year written partitioned by year and read back (RPT-13)."""
+    fs = events_hourly(spark, sf_dir).for_years([PROFILE_YEAR])
     sums = agg.entity_sums(fs, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
     profile = sums.select("year", "id", "entity", "hour", agg.mean_of().alias("avg"))
     path = write_partitioned(profile, shared_dir(spark, "profile"), ["year"])
@@ -344,29 +341,21 @@ def months_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ streams, sinks
-_LANDED_EVENTS = T.StructType(
-    [
-        T.StructField("key", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("entity", T.StringType()),
-        T.StructField("v", T.DoubleType()),
-    ]
-)
+def _landed(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, T.StructType]:
+    """The files of a table as a stream's landing place, and their schema. A
+    stream wants a folder or a glob, a table may be one file: the glob matches
+    its name alone, and no copy is made."""
+    return f"{sf_dir}/{name}.parque[t]", read_table(spark, sf_dir, name).schema
 
 
 @query("running_hour_state")
 def running_hour_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums per (entity, hour) over landed event files (STM-1)."""
-    facts = events_hourly(spark, sf_dir).facts
-    landing = shared_dir(spark, "landing-events")
-    facts.write.parquet(landing)
     out = running_totals(
         spark,
-        landing,
-        _LANDED_EVENTS,
-        {"entity": F.col("entity"), "hour": F.hour("ts")},
-        "v",
+        *_landed(spark, sf_dir, "events"),
+        {"entity": F.col("event_type"), "hour": F.hour("ts")},
+        "value",
         out=shared_dir(spark, "running-out"),
         checkpoint=shared_dir(spark, "running-ckpt"),
         scale=2,
@@ -379,22 +368,18 @@ def monthly_series_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly series from streamed running state: sums and counts per
     (year, month, id, entity, hour) kept by a stream over landed event files
     (STM-1), then coverage filter, spine and gap fill over the state table."""
-    facts = events_hourly(spark, sf_dir).facts
-    landing = shared_dir(spark, "landing-series")
-    facts.write.parquet(landing)
     keys = {
         "year": F.year("ts"),
         "month": F.month("ts"),
-        "id": F.col("id"),
-        "entity": F.col("entity"),
+        "id": F.col("user_id"),
+        "entity": F.col("event_type"),
         "hour": F.hour("ts"),
     }
     state = running_totals(
         spark,
-        landing,
-        _LANDED_EVENTS,
+        *_landed(spark, sf_dir, "events"),
         keys,
-        "v",
+        "value",
         out=shared_dir(spark, "series-state"),
         checkpoint=shared_dir(spark, "series-ckpt"),
         scale=2,

@@ -207,12 +207,12 @@ def hour_average_by_entity_year(
 ) -> DataFrame:
     """Per-row average per (year, id, entity, hour); 0 where a group has no
     measure. ``keep_id=False`` leaves the id out, as the report does, so a
-    name with two ids has two rows for an hour."""
+    name with two ids has two rows for an hour. Sorted by name and hour when
+    it is written (``bundles.ORDERS``): a sort here would not survive that."""
     f = _years(fs, years)
     sums = entity_sums(f, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
     cols = ["year"] + (["id"] if keep_id else []) + ["entity", "hour"]
-    out = sums.select(*cols, mean_of(zero_if_empty=True).alias("avg"))
-    return out.orderBy(*cols)
+    return sums.select(*cols, mean_of(zero_if_empty=True).alias("avg"))
 
 
 def peak_hours(fs: FactSet, years: Sequence[int]) -> DataFrame:

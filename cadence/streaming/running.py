@@ -1,10 +1,11 @@
 """Structured Streaming forms of the incremental work.
 
 * :func:`running_totals` -- sums and counts per key over files as they land,
-  in any order. Complete output of a streaming aggregate, written by
-  ``foreachBatch`` as an overwrite of the result table (the file sink does not
-  take complete mode). No watermark: a late row must still count, and the
-  state is bounded by the number of keys (entities x hours), not by time.
+  in any order. Every micro-batch adds the keys that it changed (update mode)
+  as a folder of its own and then notes that the folder is whole; the result
+  is the latest row of each key among whole folders. Nothing is overwritten,
+  so a reader never meets a half-written result, and a batch that is run
+  again writes the same folder. No watermark: a late row must still count.
 * :func:`append_stream` -- landed pages appended to a Parquet table with
   exactly-once file-sink semantics.
 
@@ -14,10 +15,12 @@ system, so a lost executor or a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from cadence.operators.aggregate import exact_sum, measure, non_null
@@ -36,7 +39,11 @@ def running_totals(
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Run the running aggregate over everything landed so far
-    (``availableNow``), then return the result table (keys, s, n, rows)."""
+    (``availableNow``), then return the result table (keys, s, n, rows).
+
+    ``landing`` is a folder or a glob; the files are read where they are. With
+    nothing landed yet the result is empty. Results in ``out`` belong to their
+    ``checkpoint``: another checkpoint starts a result of its own."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -49,18 +56,28 @@ def running_totals(
         .agg(exact_sum("v", scale).alias("s"), F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"))
     )
 
-    def overwrite(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    own = f"{out.rstrip('/')}/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    # an empty first folder, so that the result has a table before any batch
+    spark.createDataFrame([], agg.schema).write.mode("ignore").parquet(f"{own}/changed/epoch=-1")
+    spark.range(1).select(F.lit(-1).alias("epoch")).write.mode("ignore").json(f"{own}/whole/start")
+
+    def add_changed(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{own}/changed/epoch={epoch}")
+        note = batch.sparkSession.range(1).select(F.lit(epoch).alias("epoch"))
+        note.write.mode("overwrite").json(f"{own}/whole/epoch_{epoch}")
 
     query = (
-        agg.writeStream.outputMode("complete")
+        agg.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(overwrite)
+        .foreachBatch(add_changed)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    changed = spark.read.schema(T.StructType([*agg.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{own}/changed")
+    whole = spark.read.schema("epoch LONG").json(f"{own}/whole/*").distinct()
+    latest = changed.join(whole, "epoch", "left_semi").groupBy(*key_names).agg(F.max(F.struct("epoch", "s", "n", "rows")).alias("last"))
+    return latest.select(*key_names, "last.s", "last.n", "last.rows")
 
 
 def append_stream(
