@@ -60,6 +60,7 @@ RANGE_START, RANGE_END = "1996-01-01 00:00:00", "1997-12-31 23:59:59"
 PAGE_OFFSET, PAGE_SIZE = 200, 100
 SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
 OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
+SERIES_YEAR, SERIES_MONTH = 2024, 1
 PROFILE_YEAR = 2024
 
 _REGISTRY: dict[str, Query] = {}
@@ -196,6 +197,15 @@ def monthly_series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.monthly_series(events_hourly(spark, sf_dir), min_slots=None)
 
 
+@query("monthly_series_one_month")
+def monthly_series_one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of a chosen month, no coverage filter; the month reaches the scan
+    (FLT-6: choosing the month is the feature)."""
+    return rpt.monthly_series(
+        events_hourly(spark, sf_dir), min_slots=None, year=SERIES_YEAR, month=SERIES_MONTH
+    )
+
+
 @query("profile_readback")
 def profile_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour profile of a year written partitioned by year and read back (RPT-13)."""

@@ -227,6 +227,9 @@ h AS (SELECT CAST(range AS INTEGER) AS hour, {_label('range')} AS label FROM ran
 SELECT h.hour, h.label, w.y2023, w.y2024 FROM h LEFT JOIN w ON h.hour = w.hour""",
     "monthly_series": _series("", "HAVING COUNT(v) >= 12"),
     "monthly_series_all": _series("", ""),
+    "monthly_series_one_month": _series(
+        "AND ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00'", ""
+    ),
     "profile_readback": f"""SELECT id, entity, {_sanitize('entity')} AS clean_name, hour, {_label('hour')} AS label,
        CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n END AS avg
 FROM (SELECT {YR} AS year, id, entity, {HR} AS hour, {SUM} AS s, COUNT(v) AS n
