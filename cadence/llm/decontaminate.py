@@ -3,13 +3,16 @@
 Texts become templates: numbers, units after numbers and names turn into typed
 placeholders, other words into their lower-case letters without the marks
 around them. Windows of five template words of documents and of benchmark items
-are hash-joined. Along an alignment of a document with an item, every value of
+are hash-joined. The item says where its names are: capitalised words are, and
+at the beginning of a sentence they are read both ways. In a document any word
+may stand for a name, whatever its case and place. Each window is also hashed
+word for word without case. Along an alignment of a document with an item, every value of
 the item (a number, a name) must stand for one value of the document; windows
 that disagree with the majority do not count. A document holds an item if
 enough of the item's windows count (80 %), or enough of them in a row (13 words).
 
 The documents' windows do not leave the executors unless a bitmap of fixed size
-(2 MB), filled from the items' windows, has their hash: false hits only cost a
+(2 MB), filled from the items' windows, has two bits of their hash: false hits only cost a
 row in the join, and a large benchmark only fills the bitmap.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ COVERAGE, RUN_WORDS = 0.8, 13
 #: A window with fewer plain words keeps its words, and so only matches word for word.
 LEAST_PLAIN = 2
 BITMAP_BITS = 1 << 24
+_SECOND_BIT = 40  # the second bit is what is left of a hash from here on
 
 #: Words for numbers and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve dozen twenty thirty forty fifty hundred thousand million billion".split())
@@ -49,6 +54,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = np.dtype([("n", "u1"), ("kind", "u1"), ("cap", "u1"), ("stop", "u1"), ("pad", "u4"), ("value", "<u8"), ("unit", "<u8")])
 _PLAIN, _NUM, _UNIT, _NAME = range(4)
 _MASK = (1 << 64) - 1
+_KIND_MARKS = np.array([0, 0x1D8E4E27C47D124F, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D], dtype=np.uint64)
 
 
 _PACK = struct.Struct("<BBBBIQQ").pack
@@ -94,10 +100,16 @@ def _factors() -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def template_windows(texts: pa.Array, table: WordTable, wanted: np.ndarray | None) -> list[list[dict]]:
+def template_windows(texts: pa.Array, table: WordTable, wanted: np.ndarray | None, masks: Sequence[int] = range(1 << WINDOW)) -> list[list[dict]]:
     """For each text of a slice, its windows: h, at (place of the first template
-    word) and slots (values of its placeholders, in order). With ``wanted``, a
-    bitmap as bytes, only the windows it has."""
+    word), mask (bits of the words read as names; -1 for the window word for
+    word), sure (every such word is capitalised inside a sentence, or the window
+    is word for word) and slots (values of its placeholders, in order).
+
+    Without ``wanted`` the texts are items: all readings of their names. With
+    it, a bitmap as bytes, they are documents: any plain words may be names, at
+    the places of one of ``masks``; only windows that the bitmap has, and no
+    slots for those word for word, as they are the item's."""
     words = pc.utf8_split_whitespace(texts)
     offsets = np.asarray(words.offsets)
     offsets = offsets - (offsets[0] if len(offsets) else 0)
@@ -112,51 +124,66 @@ def template_windows(texts: pa.Array, table: WordTable, wanted: np.ndarray | Non
     starts_text = np.zeros(len(seq), dtype=bool)
     starts_text[offsets[:-1][np.diff(offsets) > 0]] = True
     after_stop = starts_text | np.concatenate(([True], seq["stop"][:-1] > 0))
-    kind = np.where((seq["cap"] > 0) & ~after_stop & (seq["kind"] == _PLAIN), _NAME, seq["kind"])
     n = seq["n"].astype(np.int64)
     at = np.repeat(np.arange(len(seq)), n)
     second = np.concatenate(([False], at[1:] == at[:-1])) if len(at) else np.zeros(0, dtype=bool)
-    kind, value, row = np.where(second, _UNIT, kind[at]), np.where(second, seq["unit"][at], seq["value"][at]), row[at]
+    kind, value, row = np.where(second, _UNIT, seq["kind"][at]), np.where(second, seq["unit"][at], seq["value"][at]), row[at]
     if len(kind) < WINDOW:
         return out
     follows = np.concatenate(([False], (kind[:-1] == _NUM) & (row[1:] == row[:-1])))
     kind = np.where((kind == _UNIT) & ~follows, _PLAIN, kind)  # a unit only after a number
     plain = kind == _PLAIN
-    mark = np.where(plain, value, np.array([0, 0x1D8E4E27C47D124F, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D], dtype=np.uint64)[kind])
+    capital = (seq["cap"][at] > 0) & plain
+    inside = capital & ~after_stop[at]
     total = len(kind) - WINDOW + 1
     factors = _factors()
+    mark = np.where(plain, value, _KIND_MARKS[kind])
     mark ^= mark >> np.uint64(29)
-    h, n_plain = np.zeros(total, np.uint64), np.zeros(total, np.int8)
-    for k in range(WINDOW):
-        h += mark[k : k + total] * factors[k]
-        n_plain += plain[k : k + total]
-    bare = np.flatnonzero(n_plain < LEAST_PLAIN)
     value_mark = value ^ (value >> np.uint64(31))
-    h[bare] = sum(value_mark[bare + k] * factors[k] for k in range(WINDOW)) ^ np.uint64(0xA0761D6478BD642F)
-    h ^= h >> np.uint64(32)
-    whole = row[: total] == row[WINDOW - 1 :]
-    if wanted is not None:
-        bit = h & np.uint64(BITMAP_BITS - 1)
-        whole &= (wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    name_mark = _KIND_MARKS[_NAME] ^ (_KIND_MARKS[_NAME] >> np.uint64(29))
+    plains, capitals, insides = (sum(x[k : k + total].astype(np.uint8) << k for k in range(WINDOW)) for x in (plain, capital, inside))
+    whole = row[:total] == row[WINDOW - 1 :]
     first = np.searchsorted(row, np.arange(len(texts)))
-    for k in np.flatnonzero(whole).tolist():
-        slots = [int(v) for v, p in zip(value[k : k + WINDOW].view(np.int64), plain[k : k + WINDOW], strict=True) if not p]
-        out[row[k]].append({"h": int(h[k : k + 1].view(np.int64)[0]), "at": int(k - first[row[k]]), "slots": slots})
+
+    def add(h: np.ndarray, mask: int, some: np.ndarray) -> None:
+        """The windows of one reading, of those that ``some`` names."""
+        h ^= h >> np.uint64(32)
+        if wanted is not None:
+            for bit in (h & np.uint64(BITMAP_BITS - 1), h >> np.uint64(_SECOND_BIT)):
+                some &= (wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        for k in np.flatnonzero(some).tolist():
+            of = (int(plains[k]) ^ 31) | (int(insides[k]) if mask < 0 else mask)
+            slots = [] if mask < 0 and wanted is not None else [int(v) for j, v in enumerate(value[k : k + WINDOW].view(np.int64)) if of >> j & 1]
+            sure = mask < 0 or not mask & ~int(insides[k])
+            out[row[k]].append({"h": int(h[k : k + 1].view(np.int64)[0]), "at": int(k - first[row[k]]), "mask": mask, "sure": sure, "slots": slots})
+
+    as_words = sum(value_mark[k : k + total] * factors[k] for k in range(WINDOW)) ^ np.uint64(0xA0761D6478BD642F)
+    add(as_words, -1, whole.copy())
+    unread = sum(mark[k : k + total] * factors[k] for k in range(WINDOW))
+    n_plain = np.bitwise_count(plains)
+    for mask in masks:
+        places = [k for k in range(WINDOW) if mask >> k & 1]
+        some = whole & (n_plain >= LEAST_PLAIN + len(places))
+        some &= (plains & mask) == mask
+        if wanted is None:
+            some &= ((capitals & mask) == mask) & ((insides & mask) == insides)
+        if some.any():
+            add(sum(((name_mark - mark[k : k + total]) * factors[k] for k in places), unread.copy()), mask, some)
     return out
 
 
-_WINDOWS = "array<struct<h:long,at:int,slots:array<long>>>"
+_WINDOWS = "array<struct<h:long,at:int,mask:int,sure:boolean,slots:array<long>>>"
 
 
-def windows(text: Column, wanted: bytes | None = None) -> Column:
+def windows(text: Column, wanted: bytes | None = None, masks: Sequence[int] = range(1 << WINDOW)) -> Column:
     """Template windows of a whole text (see ``template_windows``); null counts as empty."""
 
     @arrow_udf(_WINDOWS)
     def of(texts: pa.Array) -> pa.Array:
         table = _described()
         bits = np.frombuffer(wanted, dtype=np.uint8) if wanted is not None else None
-        rows = [w for part in text_slices(as_texts(texts)) for w in template_windows(part, table, bits)]
-        kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
+        rows = [w for part in text_slices(as_texts(texts)) for w in template_windows(part, table, bits, masks)]
+        kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("mask", pa.int32()), ("sure", pa.bool_()), ("slots", pa.list_(pa.int64()))])
         return pa.array(rows, type=pa.list_(kind))
 
     return of(text)
@@ -169,13 +196,20 @@ def _described() -> WordTable:
 
 def judge_alignment(windows_of: list[dict]) -> dict:
     """Of the matched windows of one alignment (place in the item, slot pairs):
-    the places that count, the most of them in a row, and whether a value was changed."""
-    votes: dict[int, Counter] = {}
+    the places that count, the most of them in a row, and whether a value was
+    changed. A window that is not sure (a word that does not look like a name
+    stands for one) counts beside one that counts."""
+    cast: dict[int, Counter] = {}  # readings of one place vote once
     for w in windows_of:
-        for p in w["pairs"]:
-            votes.setdefault(p["item"], Counter())[p["doc"]] += 1
+        cast[w["place"]] = cast.get(w["place"], Counter()) | Counter((p["item"], p["doc"]) for p in w["pairs"])
+    votes: dict[int, Counter] = {}
+    for of_place in cast.values():
+        for (item, doc), n in of_place.items():
+            votes.setdefault(item, Counter())[doc] += n
     chosen = {b: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for b, c in votes.items()}
-    good = sorted({w["place"] for w in windows_of if all(chosen[p["item"]] == p["doc"] for p in w["pairs"])})
+    agreeing = [w for w in windows_of if all(chosen[p["item"]] == p["doc"] for p in w["pairs"])]
+    places = {w["place"] for w in agreeing}
+    good = sorted({w["place"] for w in agreeing if w.get("sure", True) or {w["place"] - 1, w["place"] + 1} & places})
     run = best = 0
     for k, place in enumerate(good):
         run = run + 1 if k and place == good[k - 1] + 1 else 1
@@ -193,9 +227,10 @@ def _judged(found: Column) -> Column:
 
 
 def _bitmap(item_windows: DataFrame) -> bytes:
-    """BITMAP_BITS bits with a bit for every hash: at most 2^18 rows of 64 bits are gathered."""
-    bit = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    cells = item_windows.select(F.shiftright(bit, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(h & {63} as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    """BITMAP_BITS bits with two bits for every hash: at most 2^18 rows of 64 bits are gathered."""
+    bits = F.array(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), F.shiftrightunsigned("h", _SECOND_BIT))
+    bit = item_windows.select(F.explode(bits).alias("b"))
+    cells = bit.select(F.shiftright("b", 6).alias("cell"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
     got = cells.toArrow()
     out[np.asarray(got["cell"])] = np.asarray(got["bits"])
@@ -210,22 +245,24 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     texts, and texts of fewer than five template words, have no windows: such
     documents are clean and such items are never found. Rows are told apart by
     doc_id and text, so repeated rows give one result and rows of one id with
-    different texts (null ids too) are judged apart. Words in capitals only are
-    no names, so an item with names is not recognised in a shouted copy; one
-    without names is. An empty table on either
-    side gives no rows; other columns are ignored.
+    different texts (null ids too) are judged apart. Words in capitals only, and
+    those of an item that is in lower case, are no names of the item: they are
+    found as they are, in any case. An empty table on either side gives no rows;
+    other columns are ignored.
     """
     ship_package(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = materialise(items.select("item_id", F.explode(windows(F.col("text"))).alias("w")).select("item_id", "w.h", F.col("w.at").alias("place"), F.col("w.slots").alias("item_slots")))
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    in_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), _bitmap(items))).alias("w"))
-    in_docs = in_docs.select("doc_id", "text_hash", "w.h", "w.at", F.col("w.slots").alias("doc_slots"))
-    met = in_docs.join(items, "h").where(F.size("doc_slots") == F.size("item_slots"))
+    items = materialise(items.select("item_id", F.explode(windows(F.col("text"))).alias("w")).select("item_id", "w.h", F.col("w.at").alias("place"), "w.mask", F.col("w.slots").alias("item_slots")))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
+    masks = sorted(r["mask"] for r in items.where("mask >= 0").select("mask").distinct().collect())  # at most 2^WINDOW
+    in_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), _bitmap(items), masks)).alias("w"))
+    in_docs = in_docs.select("doc_id", "text_hash", "w.h", "w.at", F.col("w.mask").alias("doc_mask"), "w.sure", F.col("w.slots").alias("doc_slots"))
+    met = in_docs.join(items, "h").where(F.col("doc_mask") == F.col("mask"))
+    met = met.withColumn("doc_slots", F.when(F.col("mask") < 0, F.col("item_slots")).otherwise(F.col("doc_slots"))).where(F.size("doc_slots") == F.size("item_slots"))
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc")), lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))
-    # along one alignment a place of the item comes up once, so an item's length bounds the set
+    # along one alignment a place of the item comes up once a reading, so an item's length bounds the set
     key = ["doc_id", "text_hash", "item_id"]
-    aligned = met.select(*key, (F.col("at") - F.col("place")).alias("shift"), F.struct("place", pairs.alias("pairs")).alias("w"))
+    aligned = met.select(*key, (F.col("at") - F.col("place")).alias("shift"), F.struct("place", "sure", pairs.alias("pairs")).alias("w"))
     judged = aligned.groupBy(*key, "shift").agg(F.collect_set("w").alias("ws")).select(*key, _judged(F.col("ws")).alias("j"))
     by_item = judged.select(*key, F.explode("j.places").alias("place"), "j.run", "j.changed").groupBy(*key).agg(
         F.countDistinct("place").alias("n_matched"), F.max("run").alias("longest_run"), F.max("changed").alias("reparameterised")

@@ -77,6 +77,23 @@ def test_templates_find_changed_values_and_spare_clean_texts(spark, clashing):
     assert decontaminate.find_contaminated(docs, bench.limit(0)).count() == 0
 
 
+WORD_PROBLEM = "Tom has 3 apples. Tom buys 4 more apples at the market. Tom gives 2 to Sam. How many apples does Tom have left?"
+MID_NAMES = "Yesterday Ann met Bob and Carl near the old mill where Dora sold bread to Emil for 4 coins each morning."
+
+
+def test_names_at_sentence_starts_and_in_any_case(spark):
+    other = WORD_PROBLEM.replace("Tom", "Mary").replace("Sam", "Kim").replace("3", "7").replace("4", "9").replace("2", "5")
+    held = [other, other.lower(), other.upper(), "Some words before it. " + other + " And some after.", WORD_PROBLEM, WORD_PROBLEM.lower()]
+    mixed = "Tom has 3 apples. Mary buys 9 pears in a shop. Kim gives 5 to Sam. How many plums does Ann want now?"
+    docs = [*held, mixed, MID_NAMES.lower(), MID_NAMES.upper()]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, WORD_PROBLEM), (2, MID_NAMES)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_contaminated(frame, bench).collect()}
+    assert set(got) == {*((k, 1) for k in range(len(held))), (7, 2), (8, 2)}
+    assert [got[k, 1].reparameterised for k in range(len(held))] == [True] * 4 + [False] * 2
+    assert all(r.coverage == 1.0 and r.n_windows == (20 if r.item_id == 1 else 17) for r in got.values())
+
+
 def test_slots_must_be_consistent():
     w = lambda place, item, doc: {"place": place, "pairs": [{"item": item, "doc": doc}]}
     got = decontaminate.judge_alignment([w(0, 1, 5), w(1, 1, 5), w(2, 1, 6), w(3, 2, 7)])
