@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 
 import duckdb
 
@@ -65,6 +67,26 @@ def test_redaction_replaces_joined_spans(clashing, docs_of):
     assert secrets.find_secrets(clashing.limit(0)).count() == 0
 
 
+def test_redaction_takes_whole_random_keys_of_every_alphabet(docs_of):
+    rng = random.Random(5)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {"base32": lower.upper() + "234567", "base36": lower + "0123456789", "BASE36": lower.upper() + "0123456789", "base64": lower + lower.upper() + "0123456789+/"}
+    planted = []
+    for name, alphabet in alphabets.items():
+        for n in (20, 24, 32, 64):
+            for _ in range(100):
+                key = "".join(rng.choices(alphabet, k=n))
+                while key.isalpha():  # letters only: the allow-list's
+                    key = "".join(rng.choices(alphabet, k=n))
+                planted.append((name, n, key))
+    got = secrets.redact_secrets(docs_of([(k, f"the key {key} here") for k, (_, _, key) in enumerate(planted)]))
+    left = Counter(planted[r.doc_id][:2] for r in got.collect() if r.text != "the key [SECRET] here")
+    assert set(left) <= {(name, 20) for name in alphabets}  # of 100 each
+    assert all(n <= (8 if name == "base64" else 2) for (name, _), n in left.items()), left
+    plain = "see internationalization_of_all_the_documents 12345678901234567890 AAAAAAAAAAAAAAAAAAAAAAAA1 thequickbrownfoxjumps"
+    assert secrets.redact_secrets(docs_of([(1, plain)])).first().text == plain
+
+
 TURNS = [
     (-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok"),
     (1, None, "user", "a"), (1, 0, "assistant", "x\\###</turn><+>\\\\h"), (1, 1, "assistant", "y\n"), (1, 4097, "assistant", None), (1, 4098, None, "é😀: b"),
