@@ -14,7 +14,7 @@ assistant texts take in the formatted string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, COLON, MERGED, CLOSE = "### ", ": ", "<+>", " </turn>\n"
@@ -22,7 +22,7 @@ OPEN, COLON, MERGED, CLOSE = "### ", ": ", "<+>", " </turn>\n"
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\t"), ("<+>", "\\m"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 LOSS_ROLE = "assistant"
-#: Turn numbers of one formatted part; a longer conversation makes several parts.
+#: Turns of one formatted part; a longer conversation makes several parts.
 PART_TURNS = 4096
 
 
@@ -86,7 +86,8 @@ def _loss_ranges(blocks: Column) -> Column:
 def format_conversations(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """(conv_id, part, formatted, loss, n_blocks) of rows (conv_id, turn, role, text).
 
-    ``part`` is the turn number divided by ``part_turns``: a very long
+    As ``oracle_sql`` has it: turns are not merged over the end of a part.
+    ``format_whole_conversations`` merges them all. ``part`` is the turn number divided by ``part_turns``: a very long
     conversation is formatted in several parts, which bounds what one group
     collects; concatenated in order they are the whole conversation.
 
@@ -104,6 +105,36 @@ def format_conversations(turns: DataFrame, part_turns: int = PART_TURNS) -> Data
     )
 
 
+def format_whole_conversations(turns: DataFrame, part_rows: int = PART_TURNS) -> DataFrame:
+    """(conv_id, part, formatted, loss, n_blocks) of rows (conv_id, turn, role, text).
+
+    Every ``part_rows`` turns in order are a part, whatever their numbers. Adjacent
+    turns of a role are merged wherever they stand: a block that goes on in the
+    next part is left open there and continued with the merge mark, so the parts
+    put together in order are the same string for every ``part_rows``. ``loss``
+    counts from the beginning of its part; ``n_blocks`` are those that begin in it.
+
+    Nulls, order and repeated rows as in ``format_conversations``; null numbers
+    are no part of their own.
+    """
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    joins = lambda neighbour: F.coalesce(neighbour.over(order) == F.col("role"), F.lit(False))
+    rows = rows.select("*", (F.row_number().over(order) - 1).alias("at"), joins(F.lag("role")).alias("goes_on"), joins(F.lead("role")).alias("stays_open"))
+    rows = rows.select("conv_id", F.floor(F.col("at") / part_rows).alias("part"), F.struct("at", "role", "text", "goes_on", "stays_open").alias("t"))
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    first, last = F.element_at("turns", 1), F.element_at("turns", -1)
+    head = F.when(first["goes_on"], len(OPEN) + F.char_length(escape(first["role"], ROLE_ESCAPES)) + len(COLON)).otherwise(0)
+    blocks = parts.select("conv_id", "part", merged_turns(F.col("turns")).alias("blocks"), head.alias("head"), F.when(last["stays_open"], len(CLOSE)).otherwise(0).alias("tail"))
+    closed = blocks.select("*", F.array_join(F.transform("blocks", _block_text), "").alias("closed"))
+    mark = F.when(F.col("head") > 0, F.lit(MERGED)).otherwise(F.lit(""))
+    body = F.substring(F.col("closed"), F.col("head") + 1, F.char_length("closed") - F.col("head") - F.col("tail"))
+    shift = F.char_length(mark) - F.col("head")
+    loss = F.transform(_loss_ranges(F.col("blocks")), lambda r: F.struct((r["start"] + shift).alias("start"), (r["end"] + shift).alias("end")))
+    n_blocks = F.size("blocks") - (F.col("head") > 0).cast("int")
+    return closed.select("conv_id", "part", F.concat(mark, body).alias("formatted"), loss.alias("loss"), n_blocks.alias("n_blocks"))
+
+
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>>: the turns of a formatted string, merged ones apart."""
     blocks = F.filter(F.split(formatted, " </turn>\n", -1), lambda b: b != "")
@@ -123,26 +154,25 @@ def text_under_mask(formatted: Column, loss: Column) -> Column:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from ``format_conversations``:
+    """One row per conversation, read back from its formatted parts:
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
     n_blocks. A digest over a whole conversation needs its text in one row, so
     here (not in the formatting) a conversation's parts meet."""
-    back = formatted.select("conv_id", "part", F.char_length("formatted").alias("chars"), "n_blocks", read_back(F.col("formatted")).alias("turns"), text_under_mask(F.col("formatted"), F.col("loss")).alias("loss_text"))
-    printed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    parts = back.select("conv_id", F.size("turns").alias("n"), "chars", "n_blocks", F.struct("part", printed.alias("turns"), F.col("loss_text").alias("loss")).alias("p"))
+    parts = formatted.select("conv_id", F.char_length("formatted").alias("chars"), "n_blocks", F.struct("part", "formatted", text_under_mask(F.col("formatted"), F.col("loss")).alias("loss")).alias("p"))
     whole = parts.groupBy("conv_id").agg(
-        F.sum("n").cast("long").alias("n_turns"),
         F.sum("chars").cast("long").alias("formatted_chars"),
         F.sum("n_blocks").cast("long").alias("n_blocks"),
         F.sort_array(F.collect_list("p")).alias("p"),
     )
     joined = lambda field: F.array_join(F.transform("p", lambda x: x[field]), "")
+    whole = whole.select("conv_id", read_back(joined("formatted")).alias("turns"), joined("loss").alias("loss"), "formatted_chars", "n_blocks")
+    printed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return whole.select(
         "conv_id",
-        "n_turns",
-        F.sha2(joined("turns"), 256).alias("turns_sha256"),
-        F.char_length(joined("loss")).cast("long").alias("loss_chars"),
-        F.sha2(joined("loss"), 256).alias("loss_sha256"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(printed, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
         "n_blocks",
     )

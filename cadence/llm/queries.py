@@ -41,7 +41,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe conversation -7."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(chat.format_conversations(turns.unionByName(probe)))
+    return chat.conversation_digests(chat.format_whole_conversations(turns.unionByName(probe)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
