@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, curves, decontaminate, quality, secrets, simhash, spm_codec, token_counts, toxicity, training_order
+from cadence.llm import chat, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, token_counts, toxicity, training_order
 from cadence.llm.common import read_table
 from cadence.session import shared_dir
 
@@ -65,10 +65,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+#: One of so many runs loses a code point before words are counted.
+GARBLE = 97
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose crc32 of ``doc_id:run`` GARBLE divides lose the code point at
+    crc32 % length; words of 5 code points and 3 occurrences are grouped."""
+    # a shorter run cannot become a word
+    runs = spelling.word_runs(read_table(spark, sf_dir, "documents"), least=5)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    runs = runs.withColumn("h", h)
+    at = (F.col("h") % F.length("run")).cast("int")
+    short = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    damaged = runs.select(F.when(F.col("h") % GARBLE == 0, short).otherwise(F.col("run")).alias("run"))
+    return spelling.spelling_variants(spelling.count_words(damaged))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_secret_scan, op3_token_counts, op4_toxicity, op5_hilbert_neighbours,
-        op6_chat_format, op7_simhash, op8_sentencepiece, op9_training_order, op10_decontaminate,
+        op6_chat_format, op7_simhash, op8_sentencepiece, op9_training_order, op10_decontaminate, op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
