@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, token_counts, toxicity, training_order
+from cadence.llm import chat, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, suffix_dedup, token_counts, toxicity, training_order
 from cadence.llm.common import read_table
 from cadence.session import shared_dir
 
@@ -65,6 +65,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes removed, removed runs and the digest of what is left."""
+    rows = suffix_dedup.repeated_strings(read_table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return rows.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: One of so many runs loses a code point before words are counted.
 GARBLE = 97
 
@@ -85,7 +92,8 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_secret_scan, op3_token_counts, op4_toxicity, op5_hilbert_neighbours,
-        op6_chat_format, op7_simhash, op8_sentencepiece, op9_training_order, op10_decontaminate, op13_spelling_variants,
+        op6_chat_format, op7_simhash, op8_sentencepiece, op9_training_order, op10_decontaminate,
+        op12_suffix_dedup, op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
