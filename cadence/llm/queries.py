@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, suffix_dedup, token_counts, toxicity, training_order
+from cadence.llm import chat, conversation_repair, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, suffix_dedup, token_counts, toxicity, training_order
 from cadence.llm.common import read_table
 from cadence.session import shared_dir
 
@@ -65,6 +65,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def damaged_conversations(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text; null roles and texts one space) as the
+    contract damages them, by crc32 of ``conv_id:turn`` modulo 20."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(name.cast("binary")) % 20).alias("hit"))
+    text = F.when(F.col("hit") == 1, F.lit("")).when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hit") == 4, F.lit("user")).otherwise(F.col("role"))
+    rows = rows.where(F.col("hit") != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("hit") == 3, 2).otherwise(1).alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, its rows damaged by the contract, audited and repaired."""
+    turns = read_table(spark, sf_dir, "conversations")
+    rows, report = conversation_repair.repair(damaged_conversations(turns))
+    audits = conversation_repair.conversation_audits(rows).withColumnRenamed("conv", "c")
+    every = turns.select("conv_id").distinct()
+    joined = every.join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(audits, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit(b""), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, bytes removed, removed runs and the digest of what is left."""
     rows = suffix_dedup.repeated_strings(read_table(spark, sf_dir, "documents"))
@@ -93,7 +117,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_secret_scan, op3_token_counts, op4_toxicity, op5_hilbert_neighbours,
         op6_chat_format, op7_simhash, op8_sentencepiece, op9_training_order, op10_decontaminate,
-        op12_suffix_dedup, op13_spelling_variants,
+        op11_conversation_repair, op12_suffix_dedup, op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
