@@ -8,12 +8,15 @@ e - Q_MAX + 1 to p + Q_MAX - 1 only, so an edit elsewhere leaves it in the word'
 decomposition. The most grams that one edit can affect, subtracted from all, is
 the word's bound: so many of its grams every near word has.
 
-Grams that an edit leaves alone stand left or right of it, so two near words
-have half their bound (the smaller of both halves) in common at the beginning
-or at the end. Each word is listed under its first and last grams up to that
-half, together with what lies before (after) them and with the length of the
-shorter word; a list needs a word whose own half it is. Words of a list are then
-compared in full. Nothing is decided by lists alone.
+Grams that an edit leaves alone stand left or right of it, so of two near words
+the first grams and the last grams agree, as many together as the larger of their
+bounds. With the bound cut into ``SPLITS`` + 1 equal shares, some number of shares
+agrees at the beginning and the others, but for one, at the end. For each such
+split a word is listed under its first and last grams, all that lies before and
+after them included, and the length of the shorter word. It owns the lists of its
+own bound and visits those of larger bounds, as far as a near word can have one;
+a list needs an owner. Words of a list are then compared in full. Nothing is
+decided by lists alone.
 
 Lists over ``LIST_MOST`` words are never gathered: their words, and words whose
 bound is 0, meet instead under their deletion variants, whose groups have a
@@ -41,7 +44,9 @@ LETTERS = "[A-Za-zÀ-ÿ]+"
 Q_MIN, Q_MAX = 2, 3
 #: A gram is frequent if it is more than one of so many gram places of the
 #: vocabulary; so at most this many grams of a length are frequent.
-DICTIONARY_MOST = 2000
+DICTIONARY_MOST = 20_000
+#: Lists of a word and bound, less one.
+SPLITS = 3
 #: Longer lists are not gathered.
 LIST_MOST = 8192
 #: Cells of the arrays that compare a list with some of its words at once.
@@ -91,25 +96,32 @@ def least_common(grams: list[tuple[int, int]], size: int) -> int:
     return len(grams) - most
 
 
-def list_keys(word: str, frequent: frozenset[str] | set[str]) -> tuple[int, list[tuple[int, bool]]]:
-    """The word's bound, and its lists: (key, whether it is the word's own half).
-    A word without a bound owns none.
+def bound_of(word: str, frequent: frozenset[str] | set[str]) -> int:
+    marked = _BEGIN + word + _END
+    return least_common(cut_grams(marked, frequent), len(marked))
+
+
+def list_keys(word: str, frequent: frozenset[str] | set[str], highest: dict[int, int]) -> tuple[int, list[tuple[int, bool]]]:
+    """The word's bound, and its lists: (key, whether the word owns it). ``highest``
+    has the largest bound of the words of each length.
 
     An edit affects 2 * Q_MAX - 2 grams at most (they lie less than Q_MAX places
-    from it and end apart), so the halves of near words are less than Q_MAX apart:
-    deeper or shallower lists need no visit."""
+    from it and end apart), so the bounds of near words differ by no more: lists
+    of larger bounds need no visit. A word without a bound (0 or less) owns none."""
     marked = _BEGIN + word + _END
     grams = cut_grams(marked, frequent)
-    bound = least_common(grams, len(marked))
-    half = (bound + 1) // 2
-    keys = []
-    levels = range(max(1, half - Q_MAX + 1), half + 1) if half else range(1, min(len(grams), Q_MAX - 1) + 1)
-    for level in levels:
-        head, tail = marked[: grams[level - 1][1] + 1], marked[grams[-level][0] :]
-        for shorter in (len(word) - 1, len(word)):
-            keys.append((_key(f"L{level},{shorter},{head}"), level == half))
-            keys.append((_key(f"R{level},{shorter},{tail}"), level == half))
-    return bound, keys
+    bound, keys = least_common(grams, len(marked)), {}
+    for shorter in (len(word) - 1, len(word)):
+        most = min(bound + 2 * Q_MAX - 2, max(highest.get(shorter, 0), highest.get(shorter + 1, 0)))
+        for of in range(max(bound, 1), most + 1):
+            for k in range(SPLITS + 1):
+                first, last = -(-k * of // (SPLITS + 1)), -(-(SPLITS - k) * of // (SPLITS + 1))
+                if first + last <= len(grams):
+                    head = marked[: grams[first - 1][1] + 1] if first else ""
+                    tail = marked[grams[-last][0] :] if last else ""
+                    key = _key(f"{shorter},{first},{last},{len(head)},{head}{tail}")
+                    keys[key] = keys.get(key, False) or of == bound
+    return bound, list(keys.items())
 
 
 def _key(text: str) -> int:
@@ -132,7 +144,7 @@ def one_edit(a: str, b: str) -> bool:
 
 def near_pairs(words: list[str], own: list[bool]) -> list[tuple[int, int]]:
     """Places (i, j), i < j, of the words of a list that are one edit apart, one of
-    them at least in its own half."""
+    them at least an owner."""
     count, width = len(words), max(map(len, words))
     if count * width > COMPARE_CELLS or count < 12:
         return [(i, j) for i in range(count) for j in range(i + 1, count) if (own[i] or own[j]) and one_edit(words[i], words[j])]
@@ -193,7 +205,24 @@ def _frequent_grams(words: DataFrame) -> frozenset[str]:
     return frozenset(r["gram"] for r in grams.where(F.col("n") * DICTIONARY_MOST > places).select("gram").collect())
 
 
-def _listed(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
+def _highest_bounds(words: DataFrame, frequent: frozenset[str]) -> dict[int, int]:
+    """The largest bound for each length of a word: words of so many different
+    lengths have half the square of that number of characters, so few rows come
+    to the driver."""
+    schema = pa.schema([("length", pa.int64()), ("bound", pa.int64())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most: dict[int, int] = {}
+            for w in as_texts(batch.column(0)).to_pylist():
+                most[len(w)] = max(most.get(len(w), 0), bound_of(w, frequent))
+            yield _rows([list(most), list(most.values())], schema)
+
+    found = words.select("word").mapInArrow(measure, "length long, bound long").groupBy("length").agg(F.max("bound").alias("bound"))
+    return {r["length"]: r["bound"] for r in found.collect()}
+
+
+def _listed(words: DataFrame, frequent: frozenset[str], highest: dict[int, int]) -> DataFrame:
     """(key, own, word, n): the lists of every word, and a null key if its bound is 0."""
     schema = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -203,7 +232,7 @@ def _listed(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 part = batch.slice(at, _ROWS)
                 out: list[list] = [[], [], [], []]
                 for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    bound, keys = list_keys(w, frequent)
+                    bound, keys = list_keys(w, frequent, highest)
                     if bound <= 0:
                         keys.append((None, False))
                     for key, own in keys:
@@ -257,7 +286,8 @@ def near_words(words: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
     spark = words.sparkSession
     ship_package(spark)
     folder = shared_dir(spark, "spelling")
-    _listed(words, _frequent_grams(words)).write.parquet(folder)
+    frequent = _frequent_grams(words)
+    _listed(words, frequent, _highest_bounds(words, frequent)).write.parquet(folder)
     listed = spark.read.parquet(folder)
     sizes = listed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("needed"))
     sizes = sizes.where(F.col("needed") & (F.col("size") > 1)).select("key", "size")
