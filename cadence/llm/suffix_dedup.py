@@ -12,7 +12,9 @@ depth 16: buckets are the anchors' 16-grams. A bucket that one document only
     smallest document of the bucket covers the others.
 depth 32: in the buckets left, bucket identifiers of later offsets are paired:
     that of the anchor and of 16 bytes on, or of 16 bytes before and the anchor
-    (each window has one of the two pairs). Buckets of one document are done.
+    (each window has one of the two pairs). Buckets of one document are done. So
+    are cells whose whole text a smaller document has: they are covered, and that
+    document stands for them further on.
 depth 50: the windows left, under the pair of depth 32 identifiers at 0 and 18.
 
 A bucket identifier is a hash of the pair of identifiers it comes from, so all
@@ -236,12 +238,23 @@ class Refinement:
         def pair(at: np.ndarray) -> np.ndarray:
             return _mixed(_mixed(eights[at], eights[at + 8]), _mixed(eights[at + GRAM], eights[at + GRAM + 8]))
 
-        name = np.concatenate([pair(anchor[before] - GRAM) ^ np.uint64(1), pair(anchor[after])])
-        return self._named(row.doc[self.cell], name, np.ones(len(name), dtype=np.uint64))
+        # whole cells too: a copy of a smaller document's cell needs no depth 50
+        self.open_cells = open_cells
+        text = row.text[open_cells]
+        name = np.concatenate([pair(anchor[before] - GRAM) ^ np.uint64(1), pair(anchor[after]), _mixed(row.gram[open_cells], text) ^ np.uint64(2)])
+        text = np.concatenate([np.ones(len(self.cell), dtype=np.uint64), text])
+        return self._named(row.doc[np.concatenate([self.cell, open_cells])], name, text)
 
     def _depth_50(self, flags: np.ndarray) -> Buckets:
         row, b = self.row, self.buckets
-        left = np.flatnonzero((flags[b.of] & _OTHER > 0) | b.many[b.of])
+        pairs = b.of[: len(self.cell)]
+        cells = b.of[len(self.cell) :]
+        copied = (flags[cells] & _SMALLER > 0) | (row.ids[row.doc[self.open_cells]] > b.least[cells])
+        copied = self.open_cells[copied & (flags[cells] & _VARIED == 0)]
+        self.covered.append((row.first[copied], row.last[copied]))
+        is_copy = np.zeros(len(row.first), dtype=bool)
+        is_copy[copied] = True
+        left = np.flatnonzero(((flags[pairs] & _OTHER > 0) | b.many[pairs]) & ~is_copy[self.cell])
         first, count = self.window_first[left], self.window_last[left] - self.window_first[left] + 1
         skipped = np.cumsum(count) - count
         self.window = np.repeat(first - skipped, count) + np.arange(int(count.sum()))
@@ -322,6 +335,19 @@ def _replies(entries: DataFrame, depth: int) -> DataFrame:
     return judged.groupBy("slice").agg(F.collect_list(F.struct("part", "flags")).alias(f"replies_{depth}"))
 
 
+def _dealt_out(packed: DataFrame) -> DataFrame:
+    """A checkpoint of the slices, dealt out by their numbers. Adaptive execution is
+    off while it is planned: an adaptive plan does not tell its partitioning."""
+    spark = packed.sparkSession
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return materialise(packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice"))
+    finally:
+        spark.conf.set(key, before)
+
+
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row of ``docs``.
 
@@ -344,7 +370,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = named.mapInArrow(_pack, "slice long, ids array<long>, sizes array<long>, data binary")
     # the checkpoint keeps the partitioning: joins with replies move the replies only
-    slices = materialise(packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice"))
+    slices = _dealt_out(packed)
     total = slices.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     # an anchor every 17 or 18 bytes, three numbers of 8 bytes each
     parts = 1 + int(total * 24 // (GROUP_BYTES * (LENGTH - GRAM + 2) // 2))
