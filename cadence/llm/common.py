@@ -44,6 +44,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._cadence_shipped = True
 
 
+#: Bytes of an Arrow batch, and of a Parquet row group, where whole texts are written between stages.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "parquet.block.size": str(32 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set SMALL_BATCHES for the session where nothing is set: stages that read,
+    work on and write whole texts at once hold fewer of them in memory."""
+    for key, value in SMALL_BATCHES.items():
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,15 +139,19 @@ class WordTable:
 
     def values(self, words: list[str]) -> list:
         young, old = self.young, self.old
-        missing = {w: None for w in words if w not in young}
-        if missing and old:
-            met = {w: old[w] for w in missing if w in old}
-            young.update(met)
-            missing = [w for w in missing if w not in met]
-        if missing:
-            missing = list(missing)
-            young.update(zip(missing, self.work(missing), strict=True))
-        out = list(map(young.__getitem__, words))
+        out = list(map(young.get, words))
+        if None in out:
+            holes = [k for k, x in enumerate(out) if x is None]
+            missing = dict.fromkeys([words[k] for k in holes])
+            if old:
+                met = {w: old[w] for w in missing if w in old}
+                young.update(met)
+                missing = [w for w in missing if w not in met]
+            if missing:
+                missing = list(missing)
+                young.update(zip(missing, self.work(missing), strict=True))
+            for k in holes:
+                out[k] = young[words[k]]
         if len(young) > self.most:
             self.young, self.old = {}, young
         return out
@@ -203,8 +219,12 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - (offsets[0] if len(offsets) else 0), np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
-def joined_values(codes: np.ndarray, offsets: np.ndarray, values: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """The values of coded words strung together, and the byte offsets of each text in them."""
-    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+def joined_values(codes: np.ndarray, offsets: np.ndarray, values: list[bytes], unit: str = "u1") -> tuple[bytes, np.ndarray]:
+    """The values of coded words strung together, and the byte offsets of each text
+    in them. Values are moved in units of that type, which their sizes are multiples of."""
+    kind = np.dtype(unit)
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // kind.itemsize
+    starts = np.cumsum(sizes) - sizes
     ends = np.concatenate(([0], np.cumsum(sizes[codes]))) if len(codes) else np.zeros(1, dtype=np.int64)
-    return b"".join(map(values.__getitem__, codes.tolist())), ends[offsets]
+    here = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
+    return np.frombuffer(b"".join(values), dtype=kind)[here].tobytes(), ends[offsets] * kind.itemsize

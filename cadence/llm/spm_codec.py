@@ -161,7 +161,7 @@ def encode_slice(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     safe = is_word_safe(path)
     odd = irregular(texts) if safe else np.ones(len(texts), dtype=bool)
     offsets, codes, words = coded_words(texts.filter(pa.array(~odd)))
-    data, ends = joined_values(codes, offsets, _words(path).values(words) if safe else [])
+    data, ends = joined_values(codes, offsets, _words(path).values(words) if safe else [], "<i4")
     if not odd.any():
         return np.frombuffer(data, dtype=np.int32), ends // 4
     rare = iter(encode_texts(texts.filter(pa.array(odd)).to_pylist(), path))

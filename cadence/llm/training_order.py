@@ -95,7 +95,7 @@ def encode_slice(texts: pa.Array, path: str) -> list[bytes]:
     odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False), dtype=bool)
     plain = texts.filter(pa.array(~odd))
     offsets, codes, words = coded_words(plain)
-    data, ends = joined_values(codes, offsets, _words(path).values(words))
+    data, ends = joined_values(codes, offsets, _words(path).values(words), "<u2")
     rare = iter([_bytes_of(enc.encode_ordinary(t)) for t in texts.filter(pa.array(odd)).to_pylist()])
     out: list[bytes] = []
     # the first word has no space in front: encoded anew without it
