@@ -13,7 +13,9 @@ enough of the item's windows count (80 %), or enough of them in a row (13 words)
 
 The documents' windows do not leave the executors unless a bitmap of fixed size
 (2 MB), filled from the items' windows, has two bits of their hash: false hits only cost a
-row in the join, and a large benchmark only fills the bitmap.
+row in the join, and a large benchmark only fills the bitmap. A second one (128 kB)
+has the items' words: a word that no item has can only stand for a name, which
+leaves few readings of most windows to be hashed.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ COVERAGE, RUN_WORDS = 0.8, 13
 #: A window with fewer plain words keeps its words, and so only matches word for word.
 LEAST_PLAIN = 2
 BITMAP_BITS = 1 << 24
+#: Bits of the bitmap of the items' words.
+WORD_BITS = 1 << 20
 _SECOND_BIT = 40  # the second bit is what is left of a hash from here on
 
 #: Words for numbers and units.
@@ -100,16 +104,28 @@ def _factors() -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def template_windows(texts: pa.Array, table: WordTable, wanted: np.ndarray | None, masks: Sequence[int] = range(1 << WINDOW)) -> list[list[dict]]:
+def _allowed() -> np.ndarray:
+    """[mask, plain places * 32 + missing places]: whether a window of a document may
+    have that reading. Places read as names are plain, LEAST_PLAIN other plain
+    words are left, and every plain word that no item has is read as a name."""
+    mask, plain, missing = np.ogrid[: 1 << WINDOW, : 1 << WINDOW, : 1 << WINDOW]
+    left = np.bitwise_count(plain) - np.bitwise_count(mask)
+    return ((mask & ~plain == 0) & (left.astype(np.int8) >= LEAST_PLAIN) & (missing & ~mask == 0)).reshape(1 << WINDOW, -1)
+
+
+_ALLOWED = _allowed()
+
+
+def template_windows(texts: pa.Array, table: WordTable, wanted: tuple[np.ndarray, np.ndarray] | None, masks: Sequence[int] = range(1 << WINDOW)) -> list[list[dict]]:
     """For each text of a slice, its windows: h, at (place of the first template
     word), mask (bits of the words read as names; -1 for the window word for
     word), sure (every such word is capitalised inside a sentence, or the window
     is word for word) and slots (values of its placeholders, in order).
 
     Without ``wanted`` the texts are items: all readings of their names. With
-    it, a bitmap as bytes, they are documents: any plain words may be names, at
-    the places of one of ``masks``; only windows that the bitmap has, and no
-    slots for those word for word, as they are the item's."""
+    it, bitmaps of the items' windows and words as bytes, they are documents: any
+    plain words may be names, at the places of one of ``masks``; only windows that
+    the bitmap has, and no slots for those word for word, as they are the item's."""
     words = pc.utf8_split_whitespace(texts)
     offsets = np.asarray(words.offsets)
     offsets = offsets - (offsets[0] if len(offsets) else 0)
@@ -141,47 +157,57 @@ def template_windows(texts: pa.Array, table: WordTable, wanted: np.ndarray | Non
     mark ^= mark >> np.uint64(29)
     value_mark = value ^ (value >> np.uint64(31))
     name_mark = _KIND_MARKS[_NAME] ^ (_KIND_MARKS[_NAME] >> np.uint64(29))
-    plains, capitals, insides = (sum(x[k : k + total].astype(np.uint8) << k for k in range(WINDOW)) for x in (plain, capital, inside))
+
+    def places(x: np.ndarray) -> np.ndarray:
+        return sum(x[k : k + total].astype(np.uint8) << k for k in range(WINDOW))
+
+    plains, capitals, insides = places(plain), places(capital), places(inside)
     whole = row[:total] == row[WINDOW - 1 :]
     first = np.searchsorted(row, np.arange(len(texts)))
 
     def add(h: np.ndarray, mask: int, some: np.ndarray) -> None:
-        """The windows of one reading, of those that ``some`` names."""
+        """The windows of one reading: their hashes and places."""
         h ^= h >> np.uint64(32)
-        if wanted is not None:
-            for bit in (h & np.uint64(BITMAP_BITS - 1), h >> np.uint64(_SECOND_BIT)):
-                some &= (wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        for k in np.flatnonzero(some).tolist():
+        if wanted is not None:  # the second bit only where the first one is set
+            for shift in (0, _SECOND_BIT):
+                bit = (h >> np.uint64(shift)) & np.uint64(BITMAP_BITS - 1)
+                hit = np.flatnonzero((wanted[0][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                h, some = h[hit], some[hit]
+        for x, k in zip(h.view(np.int64).tolist(), some.tolist(), strict=True):
             of = (int(plains[k]) ^ 31) | (int(insides[k]) if mask < 0 else mask)
             slots = [] if mask < 0 and wanted is not None else [int(v) for j, v in enumerate(value[k : k + WINDOW].view(np.int64)) if of >> j & 1]
             sure = mask < 0 or not mask & ~int(insides[k])
-            out[row[k]].append({"h": int(h[k : k + 1].view(np.int64)[0]), "at": int(k - first[row[k]]), "mask": mask, "sure": sure, "slots": slots})
-
-    as_words = sum(value_mark[k : k + total] * factors[k] for k in range(WINDOW)) ^ np.uint64(0xA0761D6478BD642F)
-    add(as_words, -1, whole.copy())
+            out[row[k]].append({"h": x, "at": int(k - first[row[k]]), "mask": mask, "sure": sure, "slots": slots})
+
+    if wanted is None:
+        missing = np.zeros(total, dtype=np.uint8)
+    else:
+        bit = value & np.uint64(WORD_BITS - 1)
+        missing = places(plain & ((wanted[1][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 0))
+    some = np.flatnonzero(whole & (missing == 0))
+    add(sum(value_mark[some + k] * factors[k] for k in range(WINDOW)) ^ np.uint64(0xA0761D6478BD642F), -1, some)
     unread = sum(mark[k : k + total] * factors[k] for k in range(WINDOW))
-    n_plain = np.bitwise_count(plains)
+    shape = np.where(whole, plains.astype(np.int16) << WINDOW | missing, 0)  # no reading is allowed without plain words
     for mask in masks:
-        places = [k for k in range(WINDOW) if mask >> k & 1]
-        some = whole & (n_plain >= LEAST_PLAIN + len(places))
-        some &= (plains & mask) == mask
+        fits = _ALLOWED[mask][shape]
         if wanted is None:
-            some &= ((capitals & mask) == mask) & ((insides & mask) == insides)
-        if some.any():
-            add(sum(((name_mark - mark[k : k + total]) * factors[k] for k in places), unread.copy()), mask, some)
+            fits &= ((capitals & mask) == mask) & ((insides & mask) == insides)
+        some = np.flatnonzero(fits)
+        if len(some):
+            add(sum(((name_mark - mark[some + k]) * factors[k] for k in range(WINDOW) if mask >> k & 1), unread[some]), mask, some)
     return out
 
 
 _WINDOWS = "array<struct<h:long,at:int,mask:int,sure:boolean,slots:array<long>>>"
 
 
-def windows(text: Column, wanted: bytes | None = None, masks: Sequence[int] = range(1 << WINDOW)) -> Column:
+def windows(text: Column, wanted: tuple[bytes, bytes] | None = None, masks: Sequence[int] = range(1 << WINDOW)) -> Column:
     """Template windows of a whole text (see ``template_windows``); null counts as empty."""
 
     @arrow_udf(_WINDOWS)
     def of(texts: pa.Array) -> pa.Array:
         table = _described()
-        bits = np.frombuffer(wanted, dtype=np.uint8) if wanted is not None else None
+        bits = tuple(np.frombuffer(w, dtype=np.uint8) for w in wanted) if wanted is not None else None
         rows = [w for part in text_slices(as_texts(texts)) for w in template_windows(part, table, bits, masks)]
         kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("mask", pa.int32()), ("sure", pa.bool_()), ("slots", pa.list_(pa.int64()))])
         return pa.array(rows, type=pa.list_(kind))
@@ -226,17 +252,36 @@ def _judged(found: Column) -> Column:
     return of(found)
 
 
-def _bitmap(item_windows: DataFrame) -> bytes:
-    """BITMAP_BITS bits with two bits for every hash: at most 2^18 rows of 64 bits are gathered."""
-    bits = F.array(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), F.shiftrightunsigned("h", _SECOND_BIT))
-    bit = item_windows.select(F.explode(bits).alias("b"))
-    cells = bit.select(F.shiftright("b", 6).alias("cell"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+def item_words(text: Column) -> Column:
+    """Hashes of the distinct template words of a text, whatever their kind; null counts as empty."""
+
+    @arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for words in pc.utf8_split_whitespace(as_texts(texts)).to_pylist():
+            known = np.frombuffer(b"".join(_described().values(list(dict.fromkeys(words)))), dtype=_WORD)
+            rows.append(np.unique(np.concatenate((known["value"], known["unit"]))).view(np.int64))
+        return pa.array(rows, type=pa.list_(pa.int64()))
+
+    return of(text)
+
+
+def _bitmap(bits: DataFrame, size: int) -> bytes:
+    """A bitmap with the bits ``b`` (0 to size - 1) set: at most size / 64 rows are gathered."""
+    cells = bits.select(F.shiftright("b", 6).alias("cell"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 64, dtype=np.int64)
     got = cells.toArrow()
     out[np.asarray(got["cell"])] = np.asarray(got["bits"])
     return out.astype("<i8").tobytes()
 
 
+def _wanted(benchmark: DataFrame, item_windows: DataFrame) -> tuple[bytes, bytes]:
+    """Two bits for every window hash of the items, and one for every word."""
+    both = F.array(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), F.shiftrightunsigned("h", _SECOND_BIT))
+    words = benchmark.select(F.explode(item_words(F.col("text"))).alias("w")).select(F.col("w").bitwiseAND(F.lit(WORD_BITS - 1)).alias("b"))
+    return _bitmap(item_windows.select(F.explode(both).alias("b")), BITMAP_BITS), _bitmap(words, WORD_BITS)
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, text_hash, item_id, n_matched, n_windows, coverage, longest_run,
     reparameterised): one row per document and benchmark item it holds.
@@ -255,7 +300,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     items = materialise(items.select("item_id", F.explode(windows(F.col("text"))).alias("w")).select("item_id", "w.h", F.col("w.at").alias("place"), "w.mask", F.col("w.slots").alias("item_slots")))
     sizes = items.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
     masks = sorted(r["mask"] for r in items.where("mask >= 0").select("mask").distinct().collect())  # at most 2^WINDOW
-    in_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), _bitmap(items), masks)).alias("w"))
+    in_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), _wanted(benchmark, items), masks)).alias("w"))
     in_docs = in_docs.select("doc_id", "text_hash", "w.h", "w.at", F.col("w.mask").alias("doc_mask"), "w.sure", F.col("w.slots").alias("doc_slots"))
     met = in_docs.join(items, "h").where(F.col("doc_mask") == F.col("mask"))
     met = met.withColumn("doc_slots", F.when(F.col("mask") < 0, F.col("item_slots")).otherwise(F.col("doc_slots"))).where(F.size("doc_slots") == F.size("item_slots"))
