@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cadence.llm.common import as_texts, held_out, materialise, read_table, ship_package, spare_name
+from cadence.llm.common import as_texts, held_out, materialise, read_table, ship_package, spare_name, text_slices
 
 #: Statistics of a text, each a share or a mean and so free of its length,
 #: except for the logarithms of its size.
@@ -68,7 +68,7 @@ def text_statistics(text: Column) -> Column:
 
     @arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics_of(x.as_py()) for x in as_texts(texts)], type=pa.list_(pa.float64()))
+        return pa.array([statistics_of(x.as_py()) for part in text_slices(texts) for x in as_texts(part)], type=pa.list_(pa.float64()))
 
     return of(text)
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cadence.llm.common import as_texts, connected_components, materialise, ship_package, spare_name
+from cadence.llm.common import as_texts, connected_components, materialise, ship_package, spare_name, text_slices
 
 SEED = 42
 #: Hashes voted on at once; longer texts go on block by block.
@@ -58,8 +58,8 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
 
     @arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        data = as_texts(texts).cast(pa.large_binary())
-        out = np.fromiter((text_fingerprint(x.as_py(), shingle) for x in data), dtype=np.uint64, count=len(data))
+        parts = (as_texts(part).cast(pa.large_binary()) for part in text_slices(texts))
+        out = np.fromiter((text_fingerprint(x.as_py(), shingle) for part in parts for x in part), dtype=np.uint64, count=len(texts))
         return pa.array(out.view(np.int64))
 
     return of(text)
@@ -126,7 +126,9 @@ def linked_fingerprints(fps: DataFrame, max_distance: int = 2) -> DataFrame:
         kind = pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())]))
         return pa.array([spanning_links(np.asarray(g.values).astype(np.int64).view(np.uint64), max_distance) for g in groups], type=kind)
 
-    copies = fps.select("fp", F.explode(_anchors("fp")).alias("anchor"))
+    # few bytes become 33 times as many rows: a number of partitions that is not coalesced
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    copies = dealt.select("fp", F.explode(_anchors("fp")).alias("anchor"))
     # at most 2,081 distinct fingerprints lie within two bits of an anchor
     met = copies.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select(F.explode(forest("fps")).alias("e")).select("e.u", "e.v").distinct()
@@ -173,12 +175,16 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 3, max_distance: int
     fingerprint and then the first text decide (nulls first). A component whose
     ids are all null keeps one row likewise. All columns stay as they are."""
     fp, rank = spare_name(docs, "fp"), spare_name(docs, "rank")
-    rows = _components(docs, "doc_id", "text", shingle, max_distance).where(F.col("id").eqNullSafe(F.col("component_id")))
-    best = rows.groupBy("component").agg(F.min("fp").alias("best_fp"), F.min("id").alias("best_id"))
-    marked = docs.withColumn(fp, fingerprint(F.col("text"), shingle))
-    best = best.select(F.col("best_fp"), F.col("best_id"))
-    same = F.col(fp) == best["best_fp"]
+    rows = _components(docs, "doc_id", "text", shingle, max_distance)
+    copies = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
+    chosen = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("fp").alias("best_fp"), F.min("id").alias("best_id"))
+    chosen = materialise(chosen.join(copies, F.col("best_id").eqNullSafe(F.col("id"))).select("best_fp", "best_id", "n_rows"))
+    once, often = chosen.where("n_rows = 1"), chosen.where("n_rows > 1")
+    single = docs.join(once, docs["doc_id"].eqNullSafe(once["best_id"]), "left_semi")
+    # only texts whose id stands in several rows are fingerprinted again
+    ids = often.select("best_id").distinct()
+    several = docs.join(ids, docs["doc_id"].eqNullSafe(ids["best_id"]), "left_semi").withColumn(fp, fingerprint(F.col("text"), shingle))
+    joined = several.join(often, (several[fp] == often["best_fp"]) & several["doc_id"].eqNullSafe(often["best_id"]), "left_semi")
     order = [F.col("text"), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]]
-    joined = marked.join(best, same & docs["doc_id"].eqNullSafe(best["best_id"]), "left_semi")
     ranked = joined.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(*order)))
-    return ranked.where(F.col(rank) == 1).select(*docs.columns)
+    return single.select(*docs.columns).union(ranked.where(F.col(rank) == 1).select(*docs.columns))
