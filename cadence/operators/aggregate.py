@@ -47,15 +47,23 @@ def exact_sum(v: Column | str, scale: int | None) -> Column:
     sum (whose buffer is a wide decimal), and exact. The per-group result is
     turned into a DECIMAL once, after the aggregate. An overflow fails the job
     (ANSI) instead of wrapping. ``scale=None`` sums plain doubles."""
+    return sum_of_summands(summand(v, scale), scale)
+
+
+def summand(v: Column | str, scale: int | None) -> Column:
+    """What ``exact_sum`` adds up for a row: whole units, or the double."""
     col = F.col(v) if isinstance(v, str) else v
     if scale is None:
-        return F.sum(col.cast("double"))
+        return col.cast("double")
     scaled = col * F.lit(float(10**scale))
     # within the rounding of the double product; NULL measures stay NULL
     whole = scaled.isNull() | (F.abs(scaled - F.rint(scaled)) <= F.lit(1e-6) + F.abs(scaled) * F.lit(4e-16))
     wrong = F.raise_error(F.concat(F.lit(f"measure with more than {scale} decimals: "), col.cast("string")))
-    units = F.when(whole, F.rint(scaled).cast("bigint")).otherwise(wrong.cast("bigint"))
-    return F.sum(units).cast("decimal(38,0)") / F.lit(10**scale)
+    return F.when(whole, F.rint(scaled).cast("bigint")).otherwise(wrong.cast("bigint"))
+
+
+def sum_of_summands(x: Column, scale: int | None) -> Column:
+    return F.sum(x) if scale is None else F.sum(x).cast("decimal(38,0)") / F.lit(10**scale)
 
 
 def total_of(s: Column | str) -> Column:

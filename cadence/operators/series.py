@@ -1,12 +1,11 @@
 """24-slot series per entity: coverage filter, hour spine, linear gap fill,
 series mean.
 
-After the per-(series, hour) aggregate a series has at most 24 rows, so the
-series are regrouped into one row each (a map of at most 24 hour -> value
-entries, a bounded group), filtered on coverage, and exploded back onto the
-full 0-23 spine. The regroup leaves the rows hash-partitioned by the series
-keys, which is exactly what the gap-fill windows need: no further shuffle,
-and no join with a calendar table.
+A series is one row with an array of its slots, made by one aggregate of
+conditional sums and counts (``slot_sums``, combined map-side and written from
+the facts: one exchange) or of conditional values where per-slot rows exist
+already. Everything after it works inside the row with higher-order functions:
+no window, no sort, no list of unknown length.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.calendar import hour_label
+from cadence.operators.aggregate import mean_of, sum_of_summands, summand
 
 SLOTS = 24
 MIN_SLOTS = 12  # at least half of the hours must hold a value
@@ -29,6 +29,34 @@ def first_seen_name(ts: str = "ts", name: str = "entity") -> Column:
     return F.min(F.struct(F.col(ts), F.col(name)))[name]
 
 
+def slot_values(
+    per_slot: DataFrame, keys: Iterable[str], slot: str = "hour", value: str = "v", slots: int = SLOTS, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """(keys, carried, ``values``): rows of (keys, slot, value), at most one for
+    each slot, as an array over the slots."""
+    cells = [F.max(F.when(F.col(slot) == h, F.col(value))).alias(f"_v{h}") for h in range(slots)]
+    carry = carry or {}
+    wide = per_slot.groupBy(*keys).agg(*cells, *[c.alias(n) for n, c in carry.items()])
+    return wide.select(*keys, *carry, F.array(*[f"_v{h}" for h in range(slots)]).alias("values"))
+
+
+def slot_means(
+    rows: DataFrame, keys: Iterable[str], slot: str = "hour", value: str = "v", slots: int = SLOTS, scale: int | None = None, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """(keys, carried, ``values``): the mean of ``value`` in every slot straight from
+    the facts, as an array over the slots (NULL where a slot has no value).
+
+    One aggregate holds a sum and a count for each slot, so a series is one row
+    from the first shuffle on, however many facts it has."""
+    carry = carry or {}
+    rows = rows.withColumn("_u", summand(value, scale))
+    of_slot = [F.when(F.col(slot) == h, F.col("_u")) for h in range(slots)]
+    sums = [sum_of_summands(x, scale).alias(f"_s{h}") for h, x in enumerate(of_slot)]
+    counts = [F.count(x).alias(f"_n{h}") for h, x in enumerate(of_slot)]
+    wide = rows.groupBy(*keys).agg(*sums, *counts, *[c.alias(n) for n, c in carry.items()])
+    return wide.select(*keys, *carry, F.array(*[mean_of(f"_s{h}", f"_n{h}") for h in range(slots)]).alias("values"))
+
+
 def spine(
     per_slot: DataFrame,
     keys: Iterable[str],
@@ -38,27 +66,18 @@ def spine(
     min_slots: int | None = MIN_SLOTS,
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Every series of ``per_slot`` on the full slot axis 0 .. slots-1.
+    """Every series of ``per_slot`` on the full slot axis 0 .. slots-1: keys,
+    carried columns, ``n_slots`` (non-null values the series had), slot, ``value``
+    (NULL where the slot had none). Series with fewer than ``min_slots`` values
+    are dropped when it is set."""
+    kept = _covered(slot_values(per_slot, list(keys), slot, value, slots, carry), min_slots)
+    return kept.select(*keys, *(carry or {}), "n_slots", F.posexplode("values").alias(slot, value))
 
-    Output: keys, ``n_slots`` (non-null values the series had), slot,
-    ``value`` (NULL where the slot had no value), plus the per-series
-    aggregates in ``carry`` (e.g. the first-seen name). Series with fewer
-    than ``min_slots`` values are dropped (the coverage filter) when set.
-    """
-    keys = list(keys)
-    carry = carry or {}
-    grouped = per_slot.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(slot), F.col(value)))).alias("_m"),
-        F.count(value).alias("n_slots"),
-        *[c.alias(name) for name, c in carry.items()],
-    )
-    if min_slots is not None:
-        grouped = grouped.where(F.col("n_slots") >= min_slots)
-    axis = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias(slot)
-    exploded = grouped.select(*keys, *carry, "n_slots", "_m", axis)
-    return exploded.select(
-        *keys, *carry, "n_slots", slot, F.try_element_at(F.col("_m"), F.col(slot)).alias(value)
-    )
+
+def _covered(arrays: DataFrame, min_slots: int | None) -> DataFrame:
+    """The series with enough values, with their number ``n_slots``."""
+    counted = arrays.withColumn("n_slots", F.size(F.filter("values", lambda x: x.isNotNull())).cast("long"))
+    return counted if min_slots is None else counted.where(F.col("n_slots") >= min_slots)
 
 
 def gap_fill(
@@ -68,7 +87,8 @@ def gap_fill(
     value: str = "v",
     out: str = "filled",
 ) -> DataFrame:
-    """Linear fill of the gaps of each series, by slot number.
+    """Linear fill of the gaps of series in rows, for any number of slots (the
+    reports' 24 slots are filled inside one row, see ``fill_slots``).
 
     * a value is kept;
     * a leading gap (no earlier value) stays NULL;
@@ -95,21 +115,50 @@ def gap_fill(
     return df.withColumn(out, filled)
 
 
-def series_mean(
-    df: DataFrame, keys: Iterable[str], value: str = "filled", out: str = "mean", digits: int = 6
-) -> DataFrame:
-    """Mean of a series' values (NULLs skipped).
+def fill_slots(values: Column) -> Column:
+    """Linear fill of the gaps of an array of slots.
 
-    Each value is taken to ``digits`` decimals as an integer count of units
-    (``floor(x * 10^digits + 0.5)``) and the units are summed as BIGINT, so
-    the mean does not depend on the order rows are added in (a sum of doubles
-    does): the same series gives the same mean on any cluster layout."""
-    scale = float(10**digits)
-    units = F.floor(F.col(value) * F.lit(scale) + F.lit(0.5))
-    w = Window.partitionBy(*list(keys))
-    total = F.sum(units).over(w)
-    n = F.count(value).over(w)
-    return df.withColumn(out, F.when(n > 0, total.cast("double") / (n * F.lit(scale))))
+    * a value is kept;
+    * a leading gap (no earlier value) stays NULL;
+    * a trailing gap (no later value) takes the last value;
+    * an inner gap is interpolated: pv + (nv - pv) * (h - ph) / (nh - ph).
+    """
+    places = F.sequence(F.lit(0), F.size(values) - 1)
+    seen = F.filter(places, lambda h: F.get(values, h).isNotNull())
+
+    def at(h: Column) -> Column:
+        ph, nh = F.array_max(F.filter(seen, lambda x: x <= h)), F.array_min(F.filter(seen, lambda x: x >= h))
+        pv, nv = F.get(values, ph), F.get(values, nh)
+        inner = pv + (nv - pv) * (h - ph) / (nh - ph)
+        return F.when(ph == h, pv).when(ph.isNull(), F.lit(None).cast("double")).when(nh.isNull(), pv).otherwise(inner)
+
+    return F.transform(places, at)
+
+
+def mean_in_order(values: Column) -> Column:
+    """Mean of the values of an array (NULLs skipped; NULL if there are none),
+    added in the order of the array: one result on any cluster layout, and no
+    digit is cut."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(known) > 0, total / F.size(known))
+
+
+def series_rows(
+    arrays: DataFrame,
+    keys: Iterable[str],
+    *,
+    min_slots: int | None = MIN_SLOTS,
+    slot: str = "hour",
+    value: str = "v",
+    carry: Iterable[str] = (),
+) -> DataFrame:
+    """Series as arrays (``values``) -> one row per slot: coverage filter (series
+    with fewer than ``min_slots`` values go), gap fill, mean and 12-hour label."""
+    kept = _covered(arrays, min_slots).withColumn("_filled", fill_slots(F.col("values"))).withColumn("mean", mean_in_order(F.col("_filled")))
+    rows = kept.select(*keys, *carry, "n_slots", "mean", F.posexplode(F.arrays_zip(F.col("values").alias("v"), F.col("_filled").alias("f"))).alias(slot, "_cell"))
+    rows = rows.select(*keys, *carry, "n_slots", slot, F.col("_cell.v").alias(value), F.col("_cell.f").alias("filled"), "mean")
+    return rows.withColumn("label", hour_label(slot))
 
 
 def filled_series(
@@ -121,9 +170,7 @@ def filled_series(
     value: str = "v",
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Coverage filter -> spine -> gap fill -> mean, with the 12-hour label."""
+    """``series_rows`` of rows of (keys, slot, value)."""
     keys = list(keys)
-    s = spine(per_slot, keys, slot=slot, value=value, min_slots=min_slots, carry=carry)
-    s = gap_fill(s, keys, slot=slot, value=value)
-    s = series_mean(s, keys)
-    return s.withColumn("label", hour_label(slot))
+    arrays = slot_values(per_slot, keys, slot=slot, value=value, carry=carry)
+    return series_rows(arrays, keys, min_slots=min_slots, slot=slot, value=value, carry=list(carry or {}))

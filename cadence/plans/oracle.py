@@ -4,8 +4,8 @@ oracle. Tables are the driver's views of the same Parquet files.
 
 Conventions: sums are exact at two decimals -- here over DECIMAL(18,2), on the
 Spark side over BIGINT cents -- and cast to DOUBLE (0 when empty); averages
-are DOUBLE sum / count; calendar parts are INTEGER; series means are
-fixed-point sums of 6-decimal units.
+are DOUBLE sum / count; calendar parts are INTEGER; the values of a series are
+added in the order of its hours.
 """
 
 from __future__ import annotations
@@ -140,12 +140,12 @@ w AS (SELECT *,
 x AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv
                      ELSE pv + (nv - pv) * (hour - ph) / (nh - ph) END AS filled FROM w)
 SELECT year, month, id, entity, hour, {_label('hour')} AS label, v, filled,
-       CASE WHEN COUNT(filled) OVER (PARTITION BY year, month, id, entity) > 0
-            THEN CAST(SUM(CAST(floor(filled * 1000000.0 + 0.5) AS BIGINT))
-                      OVER (PARTITION BY year, month, id, entity) AS DOUBLE)
-                 / (COUNT(filled) OVER (PARTITION BY year, month, id, entity) * 1000000.0) END AS mean,
-       n_slots
-FROM x"""
+       m.mean, n_slots
+FROM x JOIN (SELECT year, month, id, entity,
+                    CASE WHEN COUNT(filled) > 0
+                         THEN list_reduce(list(filled ORDER BY hour) FILTER (WHERE filled IS NOT NULL),
+                                          lambda a, b : a + b) / COUNT(filled) END AS mean
+             FROM x GROUP BY 1, 2, 3, 4) m USING (year, month, id, entity)"""
 
 
 HOUR_SUMS_H = f"""SELECT entity, {HR} AS hour, {TOTAL} AS total, COUNT(v) AS n

@@ -45,7 +45,6 @@ from cadence.operators.aggregate import (
     by_entity,
     by_keys,
     entity_sums,
-    exact_sum,
     key_sums,
     mean_of,
     measure,
@@ -58,7 +57,7 @@ from cadence.operators.aggregate import (
 from cadence.operators.rank import entity_aligned, rank_aligned, rank_within, share_of_total
 from cadence.functions.text import ratio_to_pct
 from cadence.operators.reshape import pivot_one, pivot_sum, pivot_sum_cells, row_max
-from cadence.operators.series import filled_series
+from cadence.operators.series import filled_series, series_rows, slot_means
 from cadence.session import shared_dir
 from cadence.sinks.writers import materialize as write_and_read
 
@@ -313,28 +312,26 @@ def monthly_series(
     elif year is not None:
         f = fs.for_years([year])
     cols = [*SERIES_KEYS, "hour", "label", "v", "filled", "mean", "n_slots"]
-    if name_rule == "group":
+    id_keys = ["year", "month", "id"]
+    if name_rule not in ("group", "first_seen"):
+        raise ValueError("name_rule must be 'group' or 'first_seen'")
+    if not fs.inline:
+        if name_rule == "first_seen":
+            raise ValueError("first_seen needs names on the fact rows")
         keys = {"year": F.year("ts"), "month": F.month("ts"), "hour": F.hour("ts")}
         sums = entity_sums(f, keys, with_id=True)
-        per_slot = sums.select(*SERIES_KEYS, "hour", mean_of().alias("v"))
-        out = filled_series(per_slot, SERIES_KEYS, min_slots=min_slots)
-    elif name_rule == "first_seen":
-        if not fs.inline:
-            raise ValueError("first_seen needs names on the fact rows")
-        id_keys = ["year", "month", "id"]
+        out = filled_series(sums.select(*SERIES_KEYS, "hour", mean_of().alias("v")), SERIES_KEYS, min_slots=min_slots)
+    else:
         rows = f.facts.select(
             F.year("ts").alias("year"), F.month("ts").alias("month"), F.hour("ts").alias("hour"),
             "id", "ts", "entity", measure("v").alias("v"),
-        ).where(non_null(["year", "month", "hour", "id"]))
-        per_slot = rows.groupBy(*id_keys, "hour").agg(
-            exact_sum("v", fs.scale).alias("s"),
-            F.count("v").alias("n"),
-            F.min(F.when(F.col("v").isNotNull(), F.struct("ts", "entity"))).alias("first"),
-        ).select(*id_keys, "hour", mean_of().alias("v"), "first")
-        out = filled_series(
-            per_slot, id_keys, min_slots=min_slots, carry={"entity": F.min("first")["entity"]}
         )
-    else:
-        raise ValueError("name_rule must be 'group' or 'first_seen'")
+        if name_rule == "group":
+            arrays = slot_means(rows.where(non_null([*SERIES_KEYS, "hour"])), SERIES_KEYS, scale=fs.scale)
+            out = series_rows(arrays, SERIES_KEYS, min_slots=min_slots)
+        else:
+            named = F.min(F.when(F.col("v").isNotNull(), F.struct("ts", "entity")))["entity"]
+            arrays = slot_means(rows.where(non_null([*id_keys, "hour"])), id_keys, scale=fs.scale, carry={"entity": named})
+            out = series_rows(arrays, id_keys, min_slots=min_slots, carry=["entity"])
     # hours in slot order (not label order) within each series
     return out.select(*cols).sortWithinPartitions(*SERIES_KEYS, "hour")

@@ -107,10 +107,12 @@ def read_hourly_csv(
 
 def read_json_pages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Landed API pages (JSON arrays of records, values as text) with the
-    export's fields; an empty page adds no rows."""
+    export's fields; an empty page adds no rows, and a page that cannot be read
+    fails the job. To go on without such pages, see ``sources.pages``."""
     return (
         spark.read.schema(RAW_SCHEMA)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .json(path if isinstance(path, str) else list(path))
     )
 
