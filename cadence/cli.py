@@ -5,7 +5,10 @@
     python -m cadence land    --input 'raw/*.csv' --out landed/
 
 Each report writes its tables under ``<out>/<report>/run_ts=<time>/<table>/``
-(never over an earlier run) and prints the table paths as JSON.
+(never over an earlier run) and prints the table paths as JSON. Beside them stands
+``run_counters``: rows read, kept, with a bad stamp, with a bad measure and in each
+target year, counted on the pass that parses the input; for JSON pages also
+``quarantined_pages``.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from cadence.operators import entity as ent
 from cadence.plans import bundles
 from cadence.plans import reports as rpt
 from cadence.plans.labels import as_report_columns
-from cadence.session import build_session
+from cadence.operators.quality import counters_table
+from cadence.session import build_session, shared_dir
 from cadence.sources.files import (
-    clean_hourly,
     land_as_parquet,
-    read_hourly_csv,
-    read_json_pages,
+    landed_counters,
     read_landed,
+    read_raw_csv_by_name,
+    stage_facts,
 )
+from cadence.sources.pages import land_pages
 
 REPORTS = (
     "seasonal", "yearly", "hourly", "weekday", "monthly", "profile", "network", "histogram", "peak-hours",
@@ -37,12 +42,25 @@ REPORTS = (
 )
 
 
-def _facts(spark, args) -> FactSet:
+def _raw(spark, args):
+    """Raw cells of the text sources, and what else the run has to write."""
     if args.source == "csv":
-        return read_hourly_csv(spark, args.input, mode=args.mode)
-    if args.source == "json":
-        return FactSet(clean_hourly(read_json_pages(spark, args.input), mode=args.mode))
-    return read_landed(spark, args.input)
+        return read_raw_csv_by_name(spark, args.input), {}, {}
+    landed = land_pages(spark, args.input, shared_dir(spark, "pages"))
+    quarantine = landed.quarantine
+    counts = {"pages_read": landed.ledger.count(), "pages_in_quarantine": quarantine.count()}
+    return landed.records, counts, {"quarantined_pages": quarantine}
+
+
+def _facts(spark, args) -> tuple[FactSet, dict[str, int], dict]:
+    """The facts, the run's counters and further tables. Text is parsed once, into
+    typed facts in the shared folder, and counted on that pass."""
+    if args.source == "landed":
+        return read_landed(spark, args.input), landed_counters(spark, args.input, args.years), {}
+    raw, counts, tables = _raw(spark, args)
+    path = shared_dir(spark, "staged-facts")
+    counts |= stage_facts(raw, path, mode=args.mode, years=args.years)
+    return read_landed(spark, path), counts, tables
 
 
 def _bundle(spark, args, fs: FactSet) -> dict:
@@ -100,14 +118,23 @@ def parse(argv: Sequence[str]) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None) -> dict[str, str]:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = build_session(args.master, profile=args.profile)
-    fs = _facts(spark, args)
-    if args.report == "land":
-        paths = {"facts": land_as_parquet(fs, args.out, mode="append" if args.append else "errorifexists")}
+    if args.report == "land" and args.source != "landed":
+        raw, counts, tables = _raw(spark, args)
+        counts |= stage_facts(raw, args.out, mode=args.mode, years=args.years, write_mode="append" if args.append else "errorifexists")
+        # beside the facts: readers pass over folders that begin with an underscore
+        root = f"{args.out.rstrip('/')}/_runs"
+        paths = {"facts": args.out, **bundles.write_report(spark, {"run_counters": counters_table(spark, counts), **tables}, root)}
     else:
-        bundle = _bundle(spark, args, fs)
+        fs, counts, tables = _facts(spark, args)
+        if args.report == "land":
+            bundle = {}
+            paths = {"facts": land_as_parquet(fs, args.out, mode="append" if args.append else "errorifexists")}
+        else:
+            bundle, paths = _bundle(spark, args, fs), {}
         if not args.plain_names:
             bundle = as_report_columns(bundle)
-        root = f"{args.out.rstrip('/')}/{args.report}"
-        paths = bundles.write_report(spark, bundle, root, fmt=args.format)
+        bundle = {**bundle, "run_counters": counters_table(spark, counts), **tables}
+        root = f"{args.out.rstrip('/')}/{'_runs' if args.report == 'land' else args.report}"
+        paths |= bundles.write_report(spark, bundle, root, fmt="parquet" if args.report == "land" else args.format)
     print(json.dumps(paths))
     return paths

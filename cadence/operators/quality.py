@@ -1,8 +1,11 @@
-"""Data-quality counters in one aggregate (one scan)."""
+"""Data-quality counters: as an aggregate of their own (one scan), or taken on
+the pass that a run makes anyway (observed metrics)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +39,36 @@ def rows_per_year(df: DataFrame, ts: str = "ts") -> DataFrame:
         .groupBy(F.year(ts).alias("year"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+
+
+#: Counters of a run that stand for a whole input, in the order they are written.
+RUN_COUNTERS = ("rows_read", "bad_stamp", "bad_measure", "rows_kept")
+#: Kept rows of a target year.
+IN_YEAR = "rows_in_year"
+COUNTERS_SCHEMA = "counter string, year int, value long"
+
+
+def observed(parsed: DataFrame, years: Sequence[int] = (), ts: str = "ts", v: str = "v") -> tuple[DataFrame, Observation]:
+    """``parsed`` (NULL where a cell was bad) with counters that Spark takes while
+    the rows go by, in whatever action runs first: no second scan. The observation
+    has RUN_COUNTERS and, for each of ``years``, the kept rows in it."""
+    observation = Observation()
+    ok_ts, ok_v = F.col(ts).isNotNull(), F.col(v).isNotNull() & ~F.isnan(v)
+    counted = {
+        "rows_read": F.count(F.lit(1)),
+        "bad_stamp": F.count_if(~ok_ts),
+        "bad_measure": F.count_if(~ok_v),
+        "rows_kept": F.count_if(ok_ts & ok_v),
+        **{f"{IN_YEAR}_{y}": F.count_if(ok_ts & ok_v & (F.year(ts) == y)) for y in years},
+    }
+    return parsed.observe(observation, *[c.alias(n) for n, c in counted.items()]), observation
+
+
+def counters_table(spark: SparkSession, values: Mapping[str, int]) -> DataFrame:
+    """(counter, year, value): counters of a run as a table; the year of a counter
+    for a target year stands in a column of its own."""
+    rows = []
+    for name, value in values.items():
+        head, _, year = name.rpartition("_")
+        rows.append((IN_YEAR, int(year), int(value)) if head == IN_YEAR else (name, None, int(value)))
+    return spark.createDataFrame(rows, COUNTERS_SCHEMA)

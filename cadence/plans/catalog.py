@@ -30,13 +30,15 @@ from cadence.functions.text import (
 from cadence.functions.clean import to_number
 from cadence.operators import aggregate as agg
 from cadence.operators import entity as ent
-from cadence.operators.quality import quality_counts, rows_per_year
+from cadence.operators.quality import counters_table, quality_counts, rows_per_year
 from cadence.operators.series import filled_series
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
 from cadence.sinks.writers import write_partitioned
-from cadence.sources.files import read_profile
+from cadence.sources.files import clean_hourly, read_hourly_csv, read_profile, read_raw_csv_by_name, stage_facts
+from cadence.sources.pages import Pages, land_pages
+from cadence.sources.pages import append_pages as append_array_pages
 from cadence.sources.tables import (
     events_dirty,
     events_dirty_text,
@@ -61,6 +63,7 @@ PAGE_OFFSET, PAGE_SIZE = 200, 100
 SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
 OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
 SERIES_YEAR, SERIES_MONTH = 2024, 1
+PAGE_ROWS = 500  # records of an API page
 PROFILE_YEAR = 2024
 
 _REGISTRY: dict[str, Query] = {}
@@ -124,6 +127,15 @@ def top_10_entity_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpt.top_entity_aligned(lineitem_supplier(spark, sf_dir), YEAR_A, YEAR_B, n=10)
 
 
+@query("entity_totals_fine")
+def entity_totals_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a measure with many decimals and no declared scale: sums of
+    doubles as they are (quantities in 1024ths, which doubles hold exactly)."""
+    fs = lineitem_supplier(spark, sf_dir)
+    fine = fs.facts.withColumn("v", F.col("v") / 1024)
+    return rpt.entity_year_totals(FactSet(fine, fs.names), [YEAR_A, YEAR_B])
+
+
 # ------------------------------------------------------------------ seasons
 @query("season_matrix")
 def season_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +270,78 @@ def regex_year_hour12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("year", "clock_hour12", agg.total_of("s").alias("total"))
 
 
+# ------------------------------------------------------------------ text files
+def _export_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Binding D as the hourly export's CSV files in two folders with different
+    headers: blanks around names in one, another order and a further column in
+    the other."""
+    raw = events_dirty_text(spark, sf_dir)
+    cells = {"transit_timestamp": "ts_text", "station_complex_id": "id", "station_complex": "entity", "ridership": "v_text"}
+    first = raw.where("key % 2 = 0").select(*[F.col(c).cast("string").alias(f" {n} ") for n, c in cells.items()])
+    second = raw.where("key % 2 = 1").select(F.lit("Q").alias("borough"), *[F.col(c).cast("string").alias(n) for n, c in reversed(cells.items())])
+    folders = [shared_dir(spark, "export-a"), shared_dir(spark, "export-b")]
+    for df, folder in zip((first, second), folders, strict=True):
+        df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return folders
+
+
+@query("csv_facts")
+def csv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of CSV files whose columns stand in different orders (SRC-1..5, PRJ-1..4)."""
+    return read_hourly_csv(spark, _export_files(spark, sf_dir)).facts.select("ts", "id", "entity", "v")
+
+
+@query("run_counters")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run writes beside its report: counters observed while the CSV cells
+    are parsed into landed facts (AGG-17)."""
+    raw = read_raw_csv_by_name(spark, _export_files(spark, sf_dir))
+    counts = stage_facts(raw, shared_dir(spark, "staged-facts"), mode="lenient", years=HOUR_YEARS)
+    return counters_table(spark, counts)
+
+
+def _landed_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Events as API pages, one JSON array a file: PAGE_ROWS records each, every
+    seventh page cut off, and one empty page."""
+    record = F.to_json(
+        F.struct(
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("transit_timestamp"),
+            F.col("user_id").cast("string").alias("station_complex_id"),
+            F.col("event_type").alias("station_complex"),
+            F.col("value").cast("string").alias("ridership"),
+        )
+    )
+    numbered = read_table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / PAGE_ROWS).alias("p"), record.alias("r"))
+    body = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]"))
+    bodies = numbered.groupBy("p").agg(body.alias("body"))
+    cut = F.when(F.col("p") % 7 == 3, F.expr("left(body, length(body) - 20)")).otherwise(F.col("body"))
+    every = bodies.select("p", cut.alias("value")).union(spark.sql("SELECT -1L AS p, '[]' AS value"))
+    folder = shared_dir(spark, "landing-pages")
+    every.repartition("p").write.partitionBy("p").text(folder)
+    return folder
+
+
+def _page_report(pages: Pages) -> DataFrame:
+    """Pages and records by state, and the cleaned records by entity."""
+    state = F.coalesce("reason", F.lit("whole")).alias("name")
+    states = pages.ledger.groupBy(state).agg(F.count(F.lit(1)).alias("pages"), F.sum("n_records").alias("records"))
+    entities = clean_hourly(pages.records).groupBy(F.col("entity").alias("name")).agg(F.count(F.lit(1)).alias("records"))
+    return states.select("name", "pages", "records").union(entities.select("name", F.lit(None).cast("long"), "records"))
+
+
+@query("pages_quarantine")
+def pages_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array pages read once; broken ones go to quarantine, the others on (SRC-8)."""
+    return _page_report(land_pages(spark, _landed_pages(spark, sf_dir), shared_dir(spark, "pages")))
+
+
+@query("append_pages_quarantine")
+def append_pages_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages added by a stream, some files a trigger (STM-2, SNK-4)."""
+    out, checkpoint = shared_dir(spark, "pages-table"), shared_dir(spark, "pages-ckpt")
+    return _page_report(append_array_pages(spark, _landed_pages(spark, sf_dir), out, checkpoint, files_per_trigger=16))
+
+
 # ------------------------------------------------------------------ entity tools
 @query("entity_directory")
 def entity_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +486,7 @@ def monthly_series_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("append_pages")
 def append_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed JSON pages appended to a table by a stream (STM-2, SNK-4)."""
-    from cadence.sources.files import RAW_SCHEMA, clean_hourly
+    from cadence.sources.files import RAW_SCHEMA
 
     e = read_table(spark, sf_dir, "events")
     pages = e.select(

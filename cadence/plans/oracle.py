@@ -298,6 +298,27 @@ SELECT year, id, entity,
        MAX(CASE WHEN rp = 1 THEN hour END) AS peak_hour, MAX(CASE WHEN rp = 1 THEN avg END) AS peak_avg,
        MAX(CASE WHEN rl = 1 THEN hour END) AS low_hour, MAX(CASE WHEN rl = 1 THEN avg END) AS low_avg
 FROM r GROUP BY 1, 2, 3"""
+ORACLE["entity_totals_fine"] = f"""SELECT {YR} AS year, entity, COALESCE(SUM(v / 1024), 0.0) AS total
+FROM ({Y}) WHERE {_years(1996, 1997)} AND entity IS NOT NULL GROUP BY 1, 2"""
+ORACLE["csv_facts"] = f"""SELECT ts, CAST(id AS VARCHAR) AS id, entity, v FROM ({D}) d
+WHERE ts IS NOT NULL AND v IS NOT NULL"""
+ORACLE["run_counters"] = f"""WITH d AS ({D}),
+k AS (SELECT ts FROM d WHERE ts IS NOT NULL AND v IS NOT NULL)
+SELECT 'rows_read' AS counter, CAST(NULL AS INTEGER) AS year, COUNT(*) AS value FROM d
+UNION ALL SELECT 'bad_stamp', NULL, COUNT(*) FILTER (WHERE ts IS NULL) FROM d
+UNION ALL SELECT 'bad_measure', NULL, COUNT(*) FILTER (WHERE v IS NULL) FROM d
+UNION ALL SELECT 'rows_kept', NULL, COUNT(*) FROM k
+UNION ALL SELECT 'rows_in_year', 2023, COUNT(*) FILTER (WHERE year(ts) = 2023) FROM k
+UNION ALL SELECT 'rows_in_year', 2024, COUNT(*) FILTER (WHERE year(ts) = 2024) FROM k"""
+ORACLE["pages_quarantine"] = """WITH e AS (SELECT *, event_id // 500 AS p FROM events),
+s AS (SELECT CASE WHEN p % 7 = 3 THEN 'not one JSON array' ELSE 'whole' END AS name, p,
+             CASE WHEN p % 7 = 3 THEN 0 ELSE COUNT(*) END AS n FROM e GROUP BY p
+      UNION ALL SELECT 'whole', -1, 0)
+SELECT name, COUNT(*) AS pages, CAST(SUM(n) AS BIGINT) AS records FROM s GROUP BY 1
+UNION ALL
+SELECT event_type, NULL, COUNT(*) FROM e
+WHERE p % 7 <> 3 AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1"""
+ORACLE["append_pages_quarantine"] = ORACLE["pages_quarantine"]
 ORACLE["monthly_series_by_id"] = _series("", "HAVING COUNT(v) >= 12", first_seen=True)
 ORACLE["season_bundle_top5"] = ORACLE["season_top5"]
 ORACLE["monthly_series_streamed"] = ORACLE["monthly_series"]

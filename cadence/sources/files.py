@@ -7,8 +7,11 @@ cell is a query matter (strict: the job fails; lenient: the cell is NULL).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
+from itertools import islice
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 
 from cadence.binding import FactSet, missing_columns, require_columns, strip_column_names
 from cadence.functions.clean import US_STAMP, to_number, to_stamp, to_stamp_guess
+from cadence.operators.quality import IN_YEAR, observed
 from cadence.session import ensure_defaults
 
 # ---------------------------------------------------------------------------
@@ -36,7 +40,8 @@ def read_raw_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Headered CSV, every column as STRING (no inference pass over the
     data), column names stripped of outer blanks. All files must have the same
     header: a file whose columns differ or stand in another order fails the read
-    instead of being taken by position."""
+    instead of being taken by position. For files of several headers, see
+    ``read_raw_csv_by_name``."""
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -47,6 +52,47 @@ def read_raw_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return strip_column_names(df)
 
 
+#: Different headers that one input may have.
+MAX_HEADERS = 64
+
+
+def header_index(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file. One task a file, which stops
+    after its first line, so no file is read through; empty files have no row."""
+    # a file alone in its partition, and in one piece, while this listing is planned
+    alone = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50)}
+    before = {k: spark.conf.get(k) for k in alone}
+    for k, v in alone.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.read.text(path if isinstance(path, str) else list(path)).select(F.input_file_name().alias("file"), F.col("value").alias("header"))
+        first = lines.rdd.mapPartitions(lambda rows: islice(rows, 1)).collect()  # a row for each file, as Spark's own listing
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.createDataFrame(first, "file string, header string")
+
+
+def read_raw_csv_by_name(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Headered CSV files whose headers differ, joined by column name: every column
+    as STRING under its name without outer blanks, NULL in files that lack it.
+
+    Files are grouped by their header line, each group is read as one table, and
+    the tables are united by name. More than MAX_HEADERS headers, or a header that
+    names a column twice, is refused."""
+    by_header = header_index(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").limit(MAX_HEADERS + 1).collect()
+    if len(by_header) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    if not by_header:
+        raise ValueError("no file has a header")
+    for r in by_header:  # Spark would number the names that stand twice
+        names = [c.strip().lower() for c in next(csv.reader([r["header"]]))]
+        if len(set(names)) < len(names):
+            raise ValueError(f"a header names a column twice: {names}")
+    tables = [read_raw_csv(spark, [unquote(f) for f in r["files"]]) for r in by_header]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def sample(df: DataFrame, n: int = 5) -> DataFrame:
     """A head-n preview (reads only the first split)."""
     return df.limit(n)
@@ -101,8 +147,9 @@ def clean_hourly(
 def read_hourly_csv(
     spark: SparkSession, path: str | Sequence[str], mode: str = "lenient", fmt: str = US_STAMP
 ) -> FactSet:
-    """The hourly export as a FactSet with names inline."""
-    return FactSet(clean_hourly(read_raw_csv(spark, path), mode=mode, fmt=fmt))
+    """The hourly export as a FactSet with names inline; files may differ in the
+    order and number of their columns."""
+    return FactSet(clean_hourly(read_raw_csv_by_name(spark, path), mode=mode, fmt=fmt))
 
 
 def read_json_pages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -164,6 +211,26 @@ def land_as_parquet(fs: FactSet, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
+def stage_facts(
+    raw: DataFrame, path: str, mode: str = "lenient", years: Sequence[int] = (), fmt: str = US_STAMP, write_mode: str = "errorifexists"
+) -> dict[str, int]:
+    """Parse raw cells once into landed Parquet facts at ``path`` and return the
+    run's counters, taken on the same pass. Reports then read typed, pruned columns
+    instead of parsing the text again for every table."""
+    parsed, counters = observed(clean_hourly(raw, mode="strict" if mode == "strict" else "keep", fmt=fmt), years)
+    kept = parsed.dropna(subset=["ts", "v"]) if mode == "lenient" else parsed
+    land_as_parquet(FactSet(kept), path, mode=write_mode)
+    return counters.get
+
+
+def landed_counters(spark: SparkSession, path: str | Sequence[str], years: Sequence[int]) -> dict[str, int]:
+    """Rows of each target year in landed folders: only the folders' year is used,
+    so the row counts come from file footers and no column is read."""
+    facts = read_landed(spark, path).facts
+    found = {r["year"]: r["n"] for r in facts.where(F.col("year").isin(list(years))).groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {f"{IN_YEAR}_{y}": found.get(y, 0) for y in years}
+
+
 def read_landed(spark: SparkSession, path: str | Sequence[str]) -> FactSet:
     """Facts of all given folders landed by ``land_as_parquet`` (names inline). The ``year`` and
     ``month`` partition columns stay, so year and month filters of the
