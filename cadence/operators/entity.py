@@ -101,9 +101,9 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFr
     ``order`` must be a total order (end it with a unique key). Planned as a
     top-(offset+limit) per task, so it is for shallow pages; page deep with
     ``page_after``, whose cost does not grow with the depth. Pages that end
-    beyond row MAX_PAGE_END are refused."""
+    beyond row MAX_PAGE_END are refused: ``operators.position.page_at`` has them."""
     if offset + limit > MAX_PAGE_END:
-        raise ValueError(f"page ends at row {offset + limit}, over {MAX_PAGE_END}: use page_after")
+        raise ValueError(f"page ends at row {offset + limit}, over {MAX_PAGE_END}: use page_after, or page_at of operators.position")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 

@@ -49,7 +49,7 @@ def rank_within(
     Only ranks ``<= n`` are kept (the top-n list). Spark limits each task's rows
     before the shuffle up to ``spark.sql.optimizer.windowGroupLimitThreshold``;
     a larger ``n`` is refused, since it would send a whole group to one task
-    (raise that setting to ask for longer lists)."""
+    (``operators.position.rank_every`` ranks groups of any size)."""
     most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > most:
         raise ValueError(f"n = {n} is over spark.sql.optimizer.windowGroupLimitThreshold = {most}")

@@ -30,8 +30,10 @@ from cadence.functions.text import (
 from cadence.functions.clean import to_number
 from cadence.operators import aggregate as agg
 from cadence.operators import entity as ent
+from cadence.operators.position import page_at, rank_every, with_position
 from cadence.operators.quality import counters_table, quality_counts, rows_per_year
 from cadence.operators.series import filled_series
+from cadence.operators.store import PartialStore
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
@@ -64,6 +66,7 @@ SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
 OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
 SERIES_YEAR, SERIES_MONTH = 2024, 1
 PAGE_ROWS = 500  # records of an API page
+DEEP_OFFSET = 50_000
 PROFILE_YEAR = 2024
 
 _REGISTRY: dict[str, Query] = {}
@@ -374,6 +377,28 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ent.page(in_range, ["ts", "key"], PAGE_OFFSET, PAGE_SIZE)
 
 
+@query("entity_range_positions")
+def entity_range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range extract with the position of every row in time order (SRT-5, SRT-10)."""
+    rows = ent.range_extract(orders_customer(spark, sf_dir), EXTRACT_IDS, RANGE_START, RANGE_END, cols=("key", "id", "ts", "v"))
+    return with_position(rows, ["ts", "key", "id"])
+
+
+@query("deep_page")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far into the time order of all shipped items, by position (SRT-9)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = li.select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    return page_at(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"], DEEP_OFFSET, PAGE_SIZE)
+
+
+@query("entity_ranks")
+def entity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of every entity in its year, however many there are (WIN-5)."""
+    totals = rpt.entity_year_totals(orders_customer(spark, sf_dir), [YEAR_A, YEAR_B])
+    return rank_every(totals, ["year"], [F.col("total").desc(), F.col("entity")])
+
+
 @query("sanitized_names")
 def sanitized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = read_table(spark, sf_dir, "pages").select(F.col("url").alias("raw"))
@@ -414,6 +439,20 @@ def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("entity", "hour", agg.total_of("s").alias("total"), "n")
 
 
+@query("stored_partials")
+def stored_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hour sums from a store of monthly partials: every month put once from its own
+    facts, one of them again, then merged (AGG-23, SET-1)."""
+    fs = events_hourly(spark, sf_dir)
+    store = PartialStore(spark, shared_dir(spark, "partials"), ["entity", "hour"])
+    keys = {"entity": F.col("entity"), "hour": F.hour("ts")}
+    months = [(r["year"], r["month"]) for r in ent.distinct_months(fs.facts).collect()]  # calendar months
+    for year, month in months:
+        store.put_month(fs, year, month, keys)
+    store.put_month(fs, *months[0], keys)
+    return store.merged().select("entity", "hour", agg.total_of("s").alias("total"), "n")
+
+
 @query("outer_add")
 def outer_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour sums of two slices with different hours, full-outer added."""

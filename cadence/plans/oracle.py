@@ -300,6 +300,17 @@ SELECT year, id, entity,
 FROM r GROUP BY 1, 2, 3"""
 ORACLE["entity_totals_fine"] = f"""SELECT {YR} AS year, entity, COALESCE(SUM(v / 1024), 0.0) AS total
 FROM ({Y}) WHERE {_years(1996, 1997)} AND entity IS NOT NULL GROUP BY 1, 2"""
+ORACLE["entity_range_positions"] = f"""SELECT key, id, ts, v, row_number() OVER (ORDER BY ts, key, id) AS position
+FROM ({ORACLE['entity_range_extract']}) x"""
+ORACLE["deep_page"] = """SELECT * FROM (
+  SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity,
+         row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) AS position FROM lineitem) x
+WHERE position BETWEEN 50001 AND 50100"""
+ORACLE["entity_ranks"] = f"""SELECT year, entity, total,
+       CAST(row_number() OVER (PARTITION BY year ORDER BY total DESC, entity ASC) AS INTEGER) AS rank
+FROM (SELECT {YR} AS year, entity, {TOTAL} AS total FROM ({O})
+      WHERE {_years(1996, 1997)} AND entity IS NOT NULL GROUP BY 1, 2) e"""
+ORACLE["stored_partials"] = HOUR_SUMS_H
 ORACLE["csv_facts"] = f"""SELECT ts, CAST(id AS VARCHAR) AS id, entity, v FROM ({D}) d
 WHERE ts IS NOT NULL AND v IS NOT NULL"""
 ORACLE["run_counters"] = f"""WITH d AS ({D}),

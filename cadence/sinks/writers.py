@@ -116,3 +116,23 @@ def materialize(spark, df: DataFrame, path: str) -> DataFrame:
     actually small, and stays a sort-merge join when it is not."""
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def _path_of(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_folders(spark, path: str) -> list[str]:
+    """Names of the folders in ``path`` (none if there is no such path), on whatever
+    file system the session reads."""
+    p, fs = _path_of(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def delete_folder(spark, path: str) -> bool:
+    """Remove a folder with what it holds; False if there was none."""
+    p, fs = _path_of(spark, path)
+    return bool(fs.delete(p, True))

@@ -6,6 +6,9 @@
   is the latest row of each key among whole folders. Nothing is overwritten,
   so a reader never meets a half-written result, and a batch that is run
   again writes the same folder. No watermark: a late row must still count.
+  Once ``compact_every`` whole folders have gathered they are merged into a base
+  folder, and a note makes the base count; folders that the base before it holds
+  are removed then, so a reader that began with that base still finds what it needs.
 * :func:`append_stream` -- landed pages appended to a Parquet table with
   exactly-once file-sink semantics.
 
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from cadence.operators.aggregate import exact_sum, measure, non_null
+from cadence.sinks.writers import delete_folder, list_folders
 
 
 def running_totals(
@@ -37,6 +41,7 @@ def running_totals(
     fmt: str = "parquet",
     scale: int | None = None,
     files_per_trigger: int | None = None,
+    compact_every: int | None = 16,
 ) -> DataFrame:
     """Run the running aggregate over everything landed so far
     (``availableNow``), then return the result table (keys, s, n, rows).
@@ -59,7 +64,6 @@ def running_totals(
     own = f"{out.rstrip('/')}/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
     # an empty first folder, so that the result has a table before any batch
     spark.createDataFrame([], agg.schema).write.mode("ignore").parquet(f"{own}/changed/epoch=-1")
-    spark.range(1).select(F.lit(-1).alias("epoch")).write.mode("ignore").json(f"{own}/whole/start")
 
     def add_changed(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{own}/changed/epoch={epoch}")
@@ -74,10 +78,79 @@ def running_totals(
         .start()
     )
     query.awaitTermination()
-    changed = spark.read.schema(T.StructType([*agg.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{own}/changed")
-    whole = spark.read.schema("epoch LONG").json(f"{own}/whole/*").distinct()
-    latest = changed.join(whole, "epoch", "left_semi").groupBy(*key_names).agg(F.max(F.struct("epoch", "s", "n", "rows")).alias("last"))
-    return latest.select(*key_names, "last.s", "last.n", "last.rows")
+    state = RunningState(spark, own, key_names, agg.schema)
+    if compact_every and len(state.epochs_since_base()) >= compact_every:
+        state.compact()
+    return state.table()
+
+
+class RunningState:
+    """The folders of a running result:
+
+        changed/epoch=7/      keys that batch 7 changed
+        whole/epoch_7/        note: that folder is whole
+        base/upto=5/          the latest rows of epochs up to 5
+        whole_base/upto_5/    note: that base is whole, and counts
+
+    A crash between any two steps leaves the state as it was, or as it shall be:
+    a base counts only with its note, and nothing is removed that the last two
+    bases or the epochs behind them need."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType) -> None:
+        self.spark, self.path, self.keys, self.schema = spark, path, keys, schema
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        return sorted(int(n.removeprefix(prefix)) for n in list_folders(self.spark, f"{self.path}/{folder}") if n.startswith(prefix))
+
+    def bases(self) -> list[int]:
+        return self._numbers("whole_base", "upto_")
+
+    def epochs_since_base(self) -> list[int]:
+        """Whole epochs behind the last base."""
+        last = max(self.bases(), default=-1)
+        return [e for e in self._numbers("whole", "epoch_") if e > last]
+
+    def table(self) -> DataFrame:
+        """(keys, s, n, rows): the latest row of each key."""
+        return self._latest().select(*self.keys, "last.s", "last.n", "last.rows")
+
+    def _latest(self) -> DataFrame:
+        base = max(self.bases(), default=None)
+        stored = T.StructType([*self.schema.fields, T.StructField("epoch", T.LongType())])
+        paths = [f"{self.path}/changed/epoch={e}" for e in self.epochs_since_base()]
+        rows = self.spark.read.schema(stored).option("basePath", f"{self.path}/changed").parquet(*paths, f"{self.path}/changed/epoch=-1")
+        if base is not None:
+            rows = rows.unionByName(self.spark.read.schema(stored).parquet(f"{self.path}/base/upto={base}"))
+        return rows.groupBy(*self.keys).agg(F.max(F.struct("epoch", "s", "n", "rows")).alias("last"))
+
+    def compact(self) -> int | None:
+        """Merge the last base and the epochs behind it into a new base; then remove
+        what only bases before the last one need. Returns the base's number."""
+        epochs = self.epochs_since_base()
+        if epochs:
+            upto = epochs[-1]
+            self._write_base(upto)
+            self.spark.range(1).write.mode("overwrite").json(f"{self.path}/whole_base/upto_{upto}")
+        self._remove_old()
+        return max(self.bases(), default=None)
+
+    def _write_base(self, upto: int) -> None:
+        merged = self._latest().select(*self.keys, "last.s", "last.n", "last.rows", "last.epoch")
+        merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+
+    def _remove_old(self) -> None:
+        bases = self.bases()
+        if len(bases) < 2:
+            return
+        oldest = bases[-2]  # readers of this base need the epochs behind it
+        for b in [b for b in bases if b < oldest]:
+            delete_folder(self.spark, f"{self.path}/whole_base/upto_{b}")
+        for b in [b for b in self._numbers("base", "upto=") if b < oldest]:
+            delete_folder(self.spark, f"{self.path}/base/upto={b}")
+        for e in [e for e in self._numbers("whole", "epoch_") if e <= oldest]:
+            delete_folder(self.spark, f"{self.path}/whole/epoch_{e}")
+        for e in [e for e in self._numbers("changed", "epoch=") if 0 <= e <= oldest]:
+            delete_folder(self.spark, f"{self.path}/changed/epoch={e}")
 
 
 def append_stream(
