@@ -63,7 +63,15 @@ def first_month_rows(fs: FactSet, spark: SparkSession | None = None) -> DataFram
     firsts = first_month(fs).select("id", "first_month")
     if spark is not None:
         firsts = materialize(spark, firsts, shared_dir(spark, "first-months"))
-    facts = fs.facts.withColumn("first_month", month_start())
+    facts = fs.facts
+    if spark is not None and {"year", "month"} <= set(facts.columns):
+        # landed facts: only the folders of months that are someone's first are read
+        months = firsts.select(F.year("first_month").alias("y"), F.month("first_month").alias("m")).distinct().collect()  # calendar months
+        wanted = F.lit(False)
+        for y in sorted({r["y"] for r in months}):
+            wanted = wanted | ((F.col("year") == y) & F.col("month").isin(sorted(r["m"] for r in months if r["y"] == y)))
+        facts = facts.where(wanted)
+    facts = facts.withColumn("first_month", month_start())
     rows = facts.join(firsts, ["id", "first_month"], "left_semi")
     return rows.withColumns({"year": F.year("ts"), "month": F.month("ts")}).drop("first_month")
 

@@ -38,9 +38,19 @@ from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
 from cadence.sinks.writers import write_partitioned
-from cadence.sources.files import clean_hourly, read_hourly_csv, read_profile, read_raw_csv_by_name, stage_facts
+from cadence.sources.files import (
+    clean_hourly,
+    land_as_parquet,
+    landed_months,
+    read_hourly_csv,
+    read_landed,
+    read_profile,
+    read_raw_csv_by_name,
+    stage_facts,
+)
 from cadence.sources.pages import Pages, land_pages
 from cadence.sources.pages import append_pages as append_array_pages
+from cadence.sources.stamps import read_hourly_csv_voted
 from cadence.sources.tables import (
     events_dirty,
     events_dirty_text,
@@ -294,6 +304,44 @@ def csv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_hourly_csv(spark, _export_files(spark, sf_dir)).facts.select("ts", "id", "entity", "v")
 
 
+@query("voted_stamps")
+def voted_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of CSV files that write their stamps in three forms, each file read
+    in the form most of its cells fit (PRJ-5)."""
+    e = read_table(spark, sf_dir, "events")
+    folders = []
+    for k, form in enumerate(("MM/dd/yyyy hh:mm:ss a", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")):
+        cells = e.where(F.col("event_id") % 3 == k).select(
+            F.date_format("ts", form).alias("transit_timestamp"),
+            F.col("user_id").cast("string").alias("station_complex_id"),
+            F.col("event_type").alias("station_complex"),
+            F.col("value").cast("string").alias("ridership"),
+        )
+        folders.append(shared_dir(spark, f"stamps-{k}"))
+        cells.write.option("header", True).csv(folders[-1])
+    facts, _ = read_hourly_csv_voted(spark, folders)
+    return facts.facts.select("ts", "id", "entity", "v")
+
+
+@query("first_month_landed")
+def first_month_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-month rows per id from facts landed by month: folders of months that
+    are nobody's first are not read (JON-9, WIN-2, RPT-9)."""
+    path = shared_dir(spark, "landed-orders")
+    fs = orders_customer(spark, sf_dir)
+    land_as_parquet(FactSet(fs.facts), path)
+    rows = ent.first_month_rows(read_landed(spark, path), spark)
+    return rows.select("key", "id", "year", "month", "v")
+
+
+@query("months_landed")
+def months_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of landed facts, from the names of their folders (AGG-14)."""
+    path = shared_dir(spark, "landed-months")
+    land_as_parquet(FactSet(orders_customer(spark, sf_dir).facts), path)
+    return landed_months(spark, path)
+
+
 @query("run_counters")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run writes beside its report: counters observed while the CSV cells

@@ -313,6 +313,10 @@ FROM (SELECT {YR} AS year, entity, {TOTAL} AS total FROM ({O})
 ORACLE["stored_partials"] = HOUR_SUMS_H
 ORACLE["csv_facts"] = f"""SELECT ts, CAST(id AS VARCHAR) AS id, entity, v FROM ({D}) d
 WHERE ts IS NOT NULL AND v IS NOT NULL"""
+ORACLE["voted_stamps"] = f"""SELECT date_trunc('second', ts) AS ts, CAST(id AS VARCHAR) AS id, entity, v
+FROM ({H}) h WHERE ts IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)"""
+ORACLE["first_month_landed"] = ORACLE["first_month_rows"]
+ORACLE["months_landed"] = f"SELECT DISTINCT {YR} AS year, {MO} AS month FROM ({O}) o WHERE ts IS NOT NULL"
 ORACLE["run_counters"] = f"""WITH d AS ({D}),
 k AS (SELECT ts FROM d WHERE ts IS NOT NULL AND v IS NOT NULL)
 SELECT 'rows_read' AS counter, CAST(NULL AS INTEGER) AS year, COUNT(*) AS value FROM d

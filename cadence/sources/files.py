@@ -21,6 +21,7 @@ from cadence.binding import FactSet, missing_columns, require_columns, strip_col
 from cadence.functions.clean import US_STAMP, to_number, to_stamp, to_stamp_guess
 from cadence.operators.quality import IN_YEAR, observed
 from cadence.session import ensure_defaults
+from cadence.sinks.writers import list_folders
 
 # ---------------------------------------------------------------------------
 # Column names of the hourly ridership export
@@ -73,13 +74,14 @@ def header_index(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.createDataFrame(first, "file string, header string")
 
 
-def read_raw_csv_by_name(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_raw_csv_by_name(spark: SparkSession, path: str | Sequence[str], with_file: str | None = None) -> DataFrame:
     """Headered CSV files whose headers differ, joined by column name: every column
     as STRING under its name without outer blanks, NULL in files that lack it.
 
     Files are grouped by their header line, each group is read as one table, and
     the tables are united by name. More than MAX_HEADERS headers, or a header that
-    names a column twice, is refused."""
+    names a column twice, is refused. ``with_file`` adds the path of a row's file
+    under that name."""
     by_header = header_index(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").limit(MAX_HEADERS + 1).collect()
     if len(by_header) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers")
@@ -90,6 +92,8 @@ def read_raw_csv_by_name(spark: SparkSession, path: str | Sequence[str]) -> Data
         if len(set(names)) < len(names):
             raise ValueError(f"a header names a column twice: {names}")
     tables = [read_raw_csv(spark, [unquote(f) for f in r["files"]]) for r in by_header]
+    if with_file is not None:
+        tables = [t.withColumn(with_file, F.input_file_name()) for t in tables]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
@@ -223,6 +227,16 @@ def stage_facts(
     return counters.get
 
 
+def landed_months(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(year, month) of landed folders, from their names alone: no file is opened."""
+    found = set()
+    for root in [path] if isinstance(path, str) else path:
+        for y in list_folders(spark, root):
+            if y.startswith("year="):
+                found |= {(int(y[5:]), int(m[6:])) for m in list_folders(spark, f"{root}/{y}") if m.startswith("month=")}
+    return spark.createDataFrame(sorted(found), "year int, month int")
+
+
 def landed_counters(spark: SparkSession, path: str | Sequence[str], years: Sequence[int]) -> dict[str, int]:
     """Rows of each target year in landed folders: only the folders' year is used,
     so the row counts come from file footers and no column is read."""
