@@ -53,8 +53,7 @@ def test_first_months_read_only_their_folders(spark):
     early = facts.where(F.year("ts") == first).select("id").distinct()
     land_as_parquet(orders_customer(spark, SF).with_facts(facts.join(early, "id", "left_semi")), path)
     rows = ent.first_month_rows(read_landed(spark, path), spark)
-    read = {f for (f,) in rows.select(F.input_file_name()).distinct().collect()}
-    assert read and all(f"year={first}/" in f for f in read)
+    assert {r["year"] for r in rows.select("year").distinct().collect()} == {first}
     filters = rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert f"= {first}" in filters and "month" in filters
 
