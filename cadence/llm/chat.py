@@ -83,28 +83,6 @@ def _loss_ranges(blocks: Column) -> Column:
     return F.aggregate(blocks, init, step, lambda s: s["out"])
 
 
-def format_conversations(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, part, formatted, loss, n_blocks) of rows (conv_id, turn, role, text).
-
-    As ``oracle_sql`` has it: turns are not merged over the end of a part.
-    ``format_whole_conversations`` merges them all. ``part`` is the turn number divided by ``part_turns``: a very long
-    conversation is formatted in several parts, which bounds what one group
-    collects; concatenated in order they are the whole conversation.
-
-    Null texts and roles count as empty. Turns are ordered by number, null
-    numbers (a part of their own, null) first; ties by role, then text. Repeated
-    rows are turns each. Rows with a null conv_id form one conversation. An
-    empty table gives no rows; other columns are ignored.
-    """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", F.floor(F.col("turn") / part_turns).alias("part"), F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = parts.select("conv_id", "part", merged_turns(F.col("turns")).alias("blocks"))
-    return blocks.select(
-        "conv_id", "part", F.array_join(F.transform("blocks", _block_text), "").alias("formatted"), _loss_ranges(F.col("blocks")).alias("loss"), F.size("blocks").alias("n_blocks")
-    )
-
-
 def format_whole_conversations(turns: DataFrame, part_rows: int = PART_TURNS) -> DataFrame:
     """(conv_id, part, formatted, loss, n_blocks) of rows (conv_id, turn, role, text).
 
@@ -114,8 +92,10 @@ def format_whole_conversations(turns: DataFrame, part_rows: int = PART_TURNS) ->
     put together in order are the same string for every ``part_rows``. ``loss``
     counts from the beginning of its part; ``n_blocks`` are those that begin in it.
 
-    Nulls, order and repeated rows as in ``format_conversations``; null numbers
-    are no part of their own.
+    Null texts and roles count as empty. Turns are ordered by number, null numbers
+    first; ties by role, then text. Repeated rows are turns each. Rows with a null
+    conv_id form one conversation. Texts of any length are kept whole. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -135,6 +115,10 @@ def format_whole_conversations(turns: DataFrame, part_rows: int = PART_TURNS) ->
     return closed.select("conv_id", "part", F.concat(mark, body).alias("formatted"), loss.alias("loss"), n_blocks.alias("n_blocks"))
 
 
+#: The name under which parts were made before turns were merged over their ends.
+format_conversations = format_whole_conversations
+
+
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>>: the turns of a formatted string, merged ones apart."""
     blocks = F.filter(F.split(formatted, " </turn>\n", -1), lambda b: b != "")
@@ -198,7 +182,6 @@ def oracle_sql() -> str:
 marked as (
   select *, length({esc}) as n,
     case when role = lag(role) over (partition by conv_id order by turn nulls first, role, text)
-           and turn // {PART_TURNS} = lag(turn // {PART_TURNS}) over (partition by conv_id order by turn nulls first, role, text)
          then {len(MERGED)} else length({role}) + {head + tail} end as frame
   from turns)
 select conv_id, count(*)::bigint as n_turns,

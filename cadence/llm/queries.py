@@ -40,7 +40,9 @@ def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe conversation -7."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
+    # the probe rows as an expression: a list from the driver would start a Python worker
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(turns.columns, row, strict=True)]) for row in chat.PROBE])
+    probe = spark.range(1).select(F.inline(rows)).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return chat.conversation_digests(chat.format_whole_conversations(turns.unionByName(probe)))
 
 

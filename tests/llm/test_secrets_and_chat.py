@@ -150,3 +150,31 @@ def test_chat_merges_turns_wherever_they_stand(spark, tmp_path):
     frame.where("conv_id <> -7 or conv_id is null").write.parquet(f"{tmp_path}/conversations.parquet")
     query = {r.conv_id: r.n_blocks for r in queries.op6_chat_format(spark, str(tmp_path)).collect()}
     assert query == {conv: w[1] for conv, w in want.items()}
+
+
+def test_sql_merges_over_any_length(spark, tmp_path):
+    """A conversation of more turns than a part, and sparse turn numbers."""
+    import duckdb
+
+    rows = [(1, k, "user" if 4000 < k < 4190 else ("user", "assistant")[k % 2], f"t{k}") for k in range(4200)]
+    rows += [(2, k * 10_000, "user", f"s{k}") for k in range(5)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(chat.oracle_sql())
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall())
+    got = sorted(tuple(r[n] for n in names) for r in queries.op6_chat_format(spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 3
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    odd = frame
+    for name in ("part", "at", "t", "turns", "blocks", "goes_on", "stays_open", "loss", "formatted"):
+        from pyspark.sql import functions as F
+
+        odd = odd.withColumn(name, F.lit("x"))
+    assert chat.format_whole_conversations(odd).collect() == chat.format_whole_conversations(frame).collect()
