@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, conversation_repair, curves, decontaminate, quality, secrets, simhash, spelling, spm_codec, suffix_dedup, token_counts, toxicity, training_order
+from cadence.llm import chat, conversation_repair, curves, decontaminate, oracle, quality, secrets, simhash, spelling, spm_codec, suffix_dedup, token_counts, toxicity, training_order
 from cadence.llm.common import read_table
 from cadence.session import shared_dir
 
@@ -125,4 +125,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle_sql(), "op6_chat_format": chat.oracle_sql()}
+    return {
+        "op2_secret_scan": secrets.oracle_sql(),
+        "op6_chat_format": chat.oracle_sql(),
+        "op11_conversation_repair": oracle.conversation_repair_sql(),
+        "op12_suffix_dedup": oracle.suffix_dedup_sql(),
+        "op13_spelling_variants": oracle.spelling_sql(GARBLE),
+    }
