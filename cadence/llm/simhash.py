@@ -182,8 +182,9 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 3, max_distance: int
     once, often = chosen.where("n_rows = 1"), chosen.where("n_rows > 1")
     single = docs.join(once, docs["doc_id"].eqNullSafe(once["best_id"]), "left_semi")
     # only texts whose id stands in several rows are fingerprinted again
+    # (written first: the planner would else move the join on fingerprints below this one)
     ids = often.select("best_id").distinct()
-    several = docs.join(ids, docs["doc_id"].eqNullSafe(ids["best_id"]), "left_semi").withColumn(fp, fingerprint(F.col("text"), shingle))
+    several = materialise(docs.join(ids, docs["doc_id"].eqNullSafe(ids["best_id"]), "left_semi")).withColumn(fp, fingerprint(F.col("text"), shingle))
     joined = several.join(often, (several[fp] == often["best_fp"]) & several["doc_id"].eqNullSafe(often["best_id"]), "left_semi")
     order = [F.col("text"), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]]
     ranked = joined.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(*order)))
