@@ -38,7 +38,7 @@ from cadence.sources.pages import land_pages
 
 REPORTS = (
     "seasonal", "yearly", "hourly", "weekday", "monthly", "profile", "network", "histogram", "peak-hours",
-    "directory", "first-month", "extract", "land",
+    "directory", "first-month", "extract", "shares-pct", "stored-profile", "land",
 )
 
 
@@ -88,6 +88,8 @@ def _bundle(spark, args, fs: FactSet) -> dict:
     if args.report == "first-month":
         chosen = fs.where(F.col("id").isin(args.ids)) if args.ids else fs
         return {"first_month_rows": ent.first_month_rows(chosen, spark)}
+    if args.report == "shares-pct":
+        return {"shares_pct": rpt.entity_shares(fs, years, pct=True)}
     if args.report == "extract":
         return {"extract": ent.range_extract(fs, args.ids, args.start, args.end, cols=("id", "entity", "ts", "v"))}
     raise ValueError(args.report)
@@ -118,7 +120,12 @@ def parse(argv: Sequence[str]) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None) -> dict[str, str]:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = build_session(args.master, profile=args.profile)
-    if args.report == "land" and args.source != "landed":
+    if args.report == "stored-profile":
+        fmt = "csv" if args.source == "csv" else "parquet"
+        # without years: a profile that is not kept by year
+        found = {f"stored_profile_{y}" if y else "stored_profile": rpt.stored_profile(spark, args.input[0], y, fmt) for y in args.years or [None]}
+        paths = bundles.write_report(spark, found, f"{args.out.rstrip('/')}/stored-profile", fmt=args.format)
+    elif args.report == "land" and args.source != "landed":
         raw, counts, tables = _raw(spark, args)
         counts |= stage_facts(raw, args.out, mode=args.mode, years=args.years, write_mode="append" if args.append else "errorifexists")
         # beside the facts: readers pass over folders that begin with an underscore

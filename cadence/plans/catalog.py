@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.binding import FactSet
-from cadence.functions.calendar import hour_label
+from cadence.functions.calendar import day_name, hour_label, weekday_slot
 from cadence.functions.text import (
     clock_hour12,
     fixed2,
@@ -27,7 +27,7 @@ from cadence.functions.text import (
     stamp_year,
     thousands,
 )
-from cadence.functions.clean import to_number
+from cadence.functions.clean import to_number, to_stamp_strict_guess
 from cadence.operators import aggregate as agg
 from cadence.operators import entity as ent
 from cadence.operators.position import page_at, rank_every, with_position
@@ -44,7 +44,6 @@ from cadence.sources.files import (
     landed_months,
     read_hourly_csv,
     read_landed,
-    read_profile,
     read_raw_csv_by_name,
     stage_facts,
 )
@@ -238,15 +237,7 @@ def profile_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = agg.entity_sums(fs, {"year": F.year("ts"), "hour": F.hour("ts")}, with_id=True)
     profile = sums.select("year", "id", "entity", "hour", agg.mean_of().alias("avg"))
     path = write_partitioned(profile, shared_dir(spark, "profile"), ["year"])
-    back = read_profile(spark, path, PROFILE_YEAR)
-    return back.select(
-        "id",
-        "entity",
-        sanitize_name("entity").alias("clean_name"),
-        "hour",
-        hour_label("hour").alias("label"),
-        "avg",
-    )
+    return rpt.stored_profile(spark, path, PROFILE_YEAR)
 
 
 # ------------------------------------------------------------------ dirty input
@@ -265,6 +256,21 @@ def quality_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("rows_per_weekday")
+def rows_per_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every weekday by its name (SCL-3)."""
+    facts = orders_customer(spark, sf_dir).facts.where(F.col("ts").isNotNull())
+    return facts.groupBy(weekday_slot("ts").alias("slot"), day_name("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("strict_stamps")
+def strict_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per hour of stamps in ISO text, parsed so that junk would fail the job (PRJ-6)."""
+    text = read_table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+    hours = text.select(F.hour(to_stamp_strict_guess("t")).alias("hour")).where(F.col("hour").isNotNull())
+    return hours.groupBy("hour").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("rows_per_year")
 def rows_per_year_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_per_year(lineitem_supplier(spark, sf_dir).facts)

@@ -313,6 +313,9 @@ FROM (SELECT {YR} AS year, entity, {TOTAL} AS total FROM ({O})
 ORACLE["stored_partials"] = HOUR_SUMS_H
 ORACLE["csv_facts"] = f"""SELECT ts, CAST(id AS VARCHAR) AS id, entity, v FROM ({D}) d
 WHERE ts IS NOT NULL AND v IS NOT NULL"""
+ORACLE["rows_per_weekday"] = f"""SELECT CAST(isodow(ts) - 1 AS INTEGER) AS slot, dayname(ts) AS day, COUNT(*) AS rows
+FROM ({O}) o WHERE ts IS NOT NULL GROUP BY 1, 2"""
+ORACLE["strict_stamps"] = f"SELECT {HR} AS hour, COUNT(*) AS rows FROM ({H}) h WHERE ts IS NOT NULL GROUP BY 1"
 ORACLE["voted_stamps"] = f"""SELECT date_trunc('second', ts) AS ts, CAST(id AS VARCHAR) AS id, entity, v
 FROM ({H}) h WHERE ts IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)"""
 ORACLE["first_month_landed"] = ORACLE["first_month_rows"]

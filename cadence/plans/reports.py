@@ -18,6 +18,7 @@ parameters and returns a lazy DataFrame; nothing is collected.
 | hour_profile                   | slot, hour, avg_per_row                            |
 | hour_sum_for                   | hour, total                                        |
 | network_hour_curve             | hour, label, y<a>, y<b>                            |
+| stored_profile                 | id, entity, clean_name, hour, label, avg           |
 | peak_hours                     | year, id, entity, peak_hour, peak_avg, low_hour,   |
 |                                | low_avg                                            |
 | monthly_series                 | year, month, id, entity, hour, label, v, filled,   |
@@ -35,6 +36,7 @@ from cadence.binding import FactSet
 from cadence.functions.calendar import (
     SEASONS,
     WEEKDAYS,
+    hour_label,
     hours_table,
     season_of,
     seasons_table,
@@ -55,11 +57,12 @@ from cadence.operators.aggregate import (
     with_default,
 )
 from cadence.operators.rank import entity_aligned, rank_aligned, rank_within, share_of_total
-from cadence.functions.text import ratio_to_pct
+from cadence.functions.text import ratio_to_pct, sanitize_name
 from cadence.operators.reshape import pivot_one, pivot_sum, pivot_sum_cells, row_max
 from cadence.operators.series import filled_series, series_rows, slot_means
 from cadence.session import shared_dir
 from cadence.sinks.writers import materialize as write_and_read
+from cadence.sources.files import read_profile
 
 
 def _year_key() -> dict:
@@ -286,6 +289,13 @@ def network_hour_curve(spark: SparkSession, fs: FactSet, years: Sequence[int]) -
     )
 
 
+def stored_profile(spark: SparkSession, path: str, year: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """A stored hourly profile with file-safe names and the 12-hour label: id,
+    entity, clean_name, hour, label, avg."""
+    back = read_profile(spark, path, year, fmt)
+    return back.select("id", "entity", sanitize_name("entity").alias("clean_name"), "hour", hour_label("hour").alias("label"), "avg")
+
+
 # --------------------------------------------------------------------------- series
 SERIES_KEYS = ["year", "month", "id", "entity"]
 

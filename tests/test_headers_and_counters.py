@@ -106,3 +106,13 @@ def test_series_mean_cuts_no_digit(spark):
     df = spark.createDataFrame(rows, "entity string, hour int, v double")
     got = {r["entity"]: r["mean"] for r in filled_series(df, ["entity"], min_slots=None).select("entity", "mean").distinct().collect()}
     assert got["huge"] == 1e13 and abs(got["tiny"] - 1e-7) < 1e-20 and got["none"] is None
+
+
+def test_share_and_stored_profile_reports(spark, folder):
+    out = shared_dir(spark, "t-more")
+    paths = main(["shares-pct", "--input", folder, "--years", "2023", "--out", out, "--plain-names"])
+    assert sum(r["pct"] for r in spark.read.parquet(paths["shares_pct"]).collect()) == pytest.approx(100)
+    profile = main(["profile", "--input", folder, "--years", "2023", "--out", out, "--plain-names"])["hour_profile"]
+    paths = main(["stored-profile", "--source", "landed", "--input", profile, "--out", out, "--years"])
+    rows = spark.read.parquet(paths["stored_profile"]).collect()
+    assert {(r["hour"], r["label"], r["avg"]) for r in rows} == {(13, "1 PM", 5.0), (2, "2 AM", 7.0)}
