@@ -2,7 +2,7 @@
 
 A range shuffle sorts the rows over the cluster and they are written once, each
 with its partition and its place in it. The sizes of the partitions, one row
-each, are summed up and joined back: the sum before a row's partition plus its
+each, are added up and joined back: the sum before a row's partition plus its
 place is its position. Pages of any depth and ranks of any length are then plain
 filters and differences.
 """
@@ -10,8 +10,9 @@ filters and differences.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.session import shared_dir
@@ -38,10 +39,10 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     rows = rows.withColumn("_pos_part", F.spark_partition_id()).withColumn("_pos_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
     spark = df.sparkSession
     rows = materialize(spark, rows, shared_dir(spark, "positions"))
-    before = Window.orderBy("_pos_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("_pos_part").agg(F.count(F.lit(1)).alias("_pos_size"))
-    starts = sizes.select("_pos_part", F.coalesce(F.sum("_pos_size").over(before), F.lit(0)).alias("_pos_start"))
-    # one row per shuffle partition is broadcast
+    # one row per shuffle partition comes to the driver, and is broadcast
+    sizes = sorted(tuple(r) for r in rows.groupBy("_pos_part").agg(F.count(F.lit(1))).collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    starts = spark.createDataFrame([(part, start) for (part, _), start in zip(sizes, before, strict=False)], "_pos_part int, _pos_start long")
     placed = rows.join(F.broadcast(starts), "_pos_part")
     return placed.withColumn(name, F.col("_pos_start") + F.col("_pos_at") + 1).drop("_pos_part", "_pos_at", "_pos_start")
 

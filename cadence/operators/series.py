@@ -156,8 +156,10 @@ def series_rows(
     """Series as arrays (``values``) -> one row per slot: coverage filter (series
     with fewer than ``min_slots`` values go), gap fill, mean and 12-hour label."""
     kept = _covered(arrays, min_slots).withColumn("_filled", fill_slots(F.col("values"))).withColumn("mean", mean_in_order(F.col("_filled")))
-    rows = kept.select(*keys, *carry, "n_slots", "mean", F.posexplode(F.arrays_zip(F.col("values").alias("v"), F.col("_filled").alias("f"))).alias(slot, "_cell"))
-    rows = rows.select(*keys, *carry, "n_slots", slot, F.col("_cell.v").alias(value), F.col("_cell.f").alias("filled"), "mean")
+    places = F.sequence(F.lit(0), F.size("values") - 1)
+    cells = F.arrays_zip(places.alias("h"), F.col("values").alias("v"), F.col("_filled").alias("f"))
+    rows = kept.select(*keys, *carry, "n_slots", "mean", F.explode(cells).alias("_cell"))
+    rows = rows.select(*keys, *carry, "n_slots", F.col("_cell.h").alias(slot), F.col("_cell.v").alias(value), F.col("_cell.f").alias("filled"), "mean")
     return rows.withColumn("label", hour_label(slot))
 
 
