@@ -37,7 +37,7 @@ from cadence.operators.store import PartialStore
 from cadence.plans import reports as rpt
 from cadence.session import ensure_defaults, shared_dir
 from cadence.plans.bundles import monthly_report, seasonal_report, write_report, yearly_report
-from cadence.sinks.writers import write_partitioned
+from cadence.sinks.writers import list_folders, write_partitioned
 from cadence.sources.files import (
     clean_hourly,
     land_as_parquet,
@@ -75,6 +75,7 @@ SLICE_AT = "2024-01-16 00:00:00"     # split of the events into two slices
 OUTER_ADD_CUT = "2024-01-01 12:00:00"  # slices with different hours
 SERIES_YEAR, SERIES_MONTH = 2024, 1
 PAGE_ROWS = 500  # records of an API page
+PAGE_FEEDS = 12  # folders that API pages land in
 DEEP_OFFSET = 50_000
 PROFILE_YEAR = 2024
 
@@ -359,7 +360,8 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed_pages(spark: SparkSession, sf_dir: str) -> str:
     """Events as API pages, one JSON array a file: PAGE_ROWS records each, every
-    seventh page cut off, and one empty page."""
+    seventh page cut off, and one empty page; dealt over a few folders, since a
+    folder for every page makes each listing as slow as a read."""
     record = F.to_json(
         F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("transit_timestamp"),
@@ -369,12 +371,15 @@ def _landed_pages(spark: SparkSession, sf_dir: str) -> str:
         )
     )
     numbered = read_table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / PAGE_ROWS).alias("p"), record.alias("r"))
+    # a given count, which is not coalesced by size: the time goes into files, not bytes
+    numbered = numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")
     body = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]"))
     bodies = numbered.groupBy("p").agg(body.alias("body"))
     cut = F.when(F.col("p") % 7 == 3, F.expr("left(body, length(body) - 20)")).otherwise(F.col("body"))
     every = bodies.select("p", cut.alias("value")).union(spark.sql("SELECT -1L AS p, '[]' AS value"))
     folder = shared_dir(spark, "landing-pages")
-    every.repartition("p").write.partitionBy("p").text(folder)
+    feeds = every.select(F.pmod("p", F.lit(PAGE_FEEDS)).alias("feed"), "value")
+    feeds.write.partitionBy("feed").option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -394,9 +399,12 @@ def pages_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("append_pages_quarantine")
 def append_pages_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pages added by a stream, some files a trigger (STM-2, SNK-4)."""
+    """The same pages added by a stream for every folder they land in, some files a
+    trigger (STM-2, SNK-4)."""
     out, checkpoint = shared_dir(spark, "pages-table"), shared_dir(spark, "pages-ckpt")
-    return _page_report(append_array_pages(spark, _landed_pages(spark, sf_dir), out, checkpoint, files_per_trigger=16))
+    landing = _landed_pages(spark, sf_dir)
+    feeds = [f"{landing}/{n}" for n in list_folders(spark, landing)]
+    return _page_report(append_array_pages(spark, feeds, out, checkpoint, files_per_trigger=16, tasks_per_trigger=1))
 
 
 # ------------------------------------------------------------------ entity tools

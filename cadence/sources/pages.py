@@ -15,8 +15,11 @@ of either prunes to the folder it wants.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,9 @@ from cadence.sources.files import RAW_SCHEMA
 #: Why a page is in quarantine.
 NOT_AN_ARRAY, NOT_RECORDS, EMPTY_FILE = "not one JSON array", "an element is no record", "empty file"
 
+#: Streams of one landing that run side by side.
+STREAMS = 12
+
 _PAGE = "page string, bytes long, n_records long, reason string, body string"
 
 
@@ -98,9 +104,11 @@ def read_pages(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return Pages(page_rows(files, schema), _listed(spark, path), schema)
 
 
-def _written(spark: SparkSession, landing: str | Sequence[str], out: str, schema: T.StructType) -> Pages:
+def _written(spark: SparkSession, landing: str | Sequence[str], outs: Sequence[str], schema: T.StructType) -> Pages:
     fields = [T.StructField("page", T.StringType()), *schema.fields, *T._parse_datatype_string(_PAGE).fields[1:], T.StructField("kind", T.StringType())]
-    return Pages(spark.read.schema(T.StructType(fields)).parquet(out), _listed(spark, landing), schema)
+    # each by itself: a file sink's log is heeded only where its own folder is read
+    parts = [spark.read.schema(T.StructType(fields)).parquet(out) for out in outs]
+    return Pages(reduce(DataFrame.unionByName, parts), _listed(spark, landing), schema)
 
 
 def land_pages(spark: SparkSession, path: str | Sequence[str], out: str, schema: T.StructType = RAW_SCHEMA) -> Pages:
@@ -108,26 +116,45 @@ def land_pages(spark: SparkSession, path: str | Sequence[str], out: str, schema:
     its parts."""
     files = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
     page_rows(files, schema).write.partitionBy("kind").parquet(out)
-    return _written(spark, path, out, schema)
+    return _written(spark, path, [out], schema)
 
 
 def append_pages(
     spark: SparkSession,
-    landing: str,
+    landing: str | Sequence[str],
     out: str,
     checkpoint: str,
     schema: T.StructType = RAW_SCHEMA,
     files_per_trigger: int | None = None,
+    tasks_per_trigger: int | None = None,
 ) -> Pages:
     """Add the pages that have landed since the last run to the table ``out``.
 
     A file sink's log makes each page, its records and its place in quarantine
     appear once, whatever is run again. A page that was in quarantine and lands
-    anew under another name is a new page."""
-    reader = spark.readStream.format("text").option("wholetext", True)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    writer = page_rows(reader.load(landing), schema).writeStream.format("parquet").partitionBy("kind")
-    run = writer.option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return _written(spark, landing, out, schema)
+    anew under another name is a new page.
+
+    A trigger costs the driver some writes of logs however few files it takes. So
+    a landing may be several folders: each is added by a stream of its own, up to
+    ``STREAMS`` side by side, to a part of the table and with progress that belong
+    to that folder's path. If one stream fails, the others end their run before
+    the error is raised. ``tasks_per_trigger`` keeps a trigger of few small pages
+    from leaving a file for every core."""
+    folders = [landing] if isinstance(landing, str) else list(dict.fromkeys(f.rstrip("/") for f in landing))
+    own = [""] if isinstance(landing, str) else [f"/{hashlib.sha256(f.encode()).hexdigest()[:16]}" for f in folders]
+    outs = [out + o for o in own]
+
+    def add(folder: str, to: str, progress: str) -> None:
+        reader = spark.readStream.format("text").option("wholetext", True)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        rows = page_rows(reader.load(folder), schema)
+        if tasks_per_trigger:
+            rows = rows.coalesce(tasks_per_trigger)
+        writer = rows.writeStream.format("parquet").partitionBy("kind")
+        run = writer.option("checkpointLocation", progress).option("path", to).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    with ThreadPoolExecutor(STREAMS) as pool:
+        list(pool.map(add, folders, outs, [checkpoint + o for o in own]))
+    return _written(spark, landing if isinstance(landing, str) else folders, outs, schema)

@@ -84,3 +84,59 @@ def test_plain_reader_never_loses_a_page(spark, tmp_path):
     land(f"{tmp_path}/in", ["full.json", "cut.json"])
     with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
         read_json_pages(spark, f"{tmp_path}/in").collect()
+
+
+def test_folders_are_added_side_by_side_once(spark, tmp_path):
+    names = sorted(BODIES)
+    feeds = [f"{tmp_path}/in/feed={k}" for k in range(4)]
+    out, ckpt = f"{tmp_path}/out", f"{tmp_path}/ckpt"
+
+    def add(folders):
+        return pages.append_pages(spark, folders, out, ckpt, files_per_trigger=2, tasks_per_trigger=1)
+
+    for k, feed in enumerate(feeds):
+        land(feed, names[k:6:3] if k < 3 else [])  # the last folder is empty
+    check(add(feeds), names[:6])
+    check(add(feeds), names[:6])  # nothing new
+    for k, feed in enumerate(feeds):
+        land(feed, names[6 + k :: 4])
+    check(add([f"{f}/" for f in reversed(feeds)]), names)  # a folder's part is its path's, in any order
+    # one file of a kind a trigger, not one for every core
+    assert len(os.listdir(ckpt)) == 4
+    for part in os.listdir(ckpt):
+        triggers = len([n for n in os.listdir(f"{ckpt}/{part}/commits") if n.isdigit()])
+        assert len([n for n in os.listdir(f"{out}/{part}/kind=page") if n.endswith(".parquet")]) <= triggers
+        assert triggers >= 1
+
+
+def test_a_failed_stream_leaves_the_others_whole(spark, tmp_path):
+    land(f"{tmp_path}/in/a", ["full.json", "cut.json"])
+    feeds = [f"{tmp_path}/in/b", f"{tmp_path}/in/a"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        pages.append_pages(spark, feeds, f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    land(feeds[0], ["lines.json"])
+    check(pages.append_pages(spark, feeds, f"{tmp_path}/out", f"{tmp_path}/ckpt"), ["full.json", "cut.json", "lines.json"])
+
+
+def test_query_lands_a_file_a_page_in_few_folders(spark, tmp_path):
+    from cadence.plans import catalog
+    from cadence.sources.tables import read_table
+
+    n = 40 * catalog.PAGE_ROWS - 7
+    ids = spark.range(n).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(2.5).alias("value"), F.lit("{}").alias("props"),
+    )
+    ids.union(ids.limit(3).withColumn("event_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/events.parquet")
+    assert read_table(spark, str(tmp_path), "events").count() == n + 3
+    landing = catalog._landed_pages(spark, str(tmp_path)).removeprefix("file:")
+    folders = [f for f, _, _ in os.walk(landing) if f != landing]
+    assert len(folders) <= catalog.PAGE_FEEDS + 1  # and one for pages without a number
+    files = [f"{f}/{x}" for f in folders for x in os.listdir(f) if x.startswith("part-")]
+    bodies = [open(x).read() for x in files]
+    assert len(bodies) == 42 and sum(b == "[]\n" for b in bodies) == 1
+    whole = [json.loads(b) for b in bodies if b.endswith("]\n")]
+    assert sorted(len(w) for w in whole) == sorted([0, 3, catalog.PAGE_ROWS - 7] + [catalog.PAGE_ROWS] * 33)
+    got = {r["name"]: (r["pages"], r["records"]) for r in catalog.queries()["append_pages_quarantine"](spark, str(tmp_path)).collect()}
+    kept = 34 * catalog.PAGE_ROWS - 7 + 3
+    assert got == {"whole": (36, kept), pages.NOT_AN_ARRAY: (6, 0), "view": (None, kept)}
